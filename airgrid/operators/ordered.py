@@ -37,8 +37,8 @@ def running_sum(
     # One row per (group, range): at most the number of groups plus the number of ranges.
     whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     offsets = sums.select(
-        *by,
-        "_range",
+        *[F.col(c).alias(f"_of_{c}") for c in by],
+        F.col("_range").alias("_of_range"),
         F.coalesce(
             F.sum("_sum").over(whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
         ).alias("_before"),
@@ -46,13 +46,11 @@ def running_sum(
     )
     local = Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     inner = placed.withColumn("_local", F.coalesce(F.sum(value).over(local), F.lit(0)))
-    cond = inner["_range"] == offsets["_range"]
+    cond = F.col("_range") == F.col("_of_range")
     for c in by:
-        cond = cond & inner[c].eqNullSafe(offsets[c])
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
     joined = inner.join(bounded(offsets), cond, "inner")
-    return joined.select(
-        *[inner[c] for c in df.columns], (F.col("_before") + F.col("_local")).alias(out), offsets[total]
-    )
+    return joined.select(*df.columns, (F.col("_before") + F.col("_local")).alias(out), total)
 
 
 def assign_groups(
@@ -114,12 +112,10 @@ def quantiles(
 
 def average_rank(df: DataFrame, x: str, out: str = "rank", total: str = "n", partitions: int | None = None) -> DataFrame:
     """Rank with ties at their average, and the number of ranked rows; rows without x are dropped."""
-    counts = df.where(F.col(x).isNotNull()).groupBy(x).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running_sum(counts, [], [x], "_n", "_cum", total, partitions)
-    ranks = ranked.select(
-        F.col(x), (F.col("_cum") - F.col("_n") + (F.col("_n") + 1) / F.lit(2.0)).alias(out), F.col(total)
-    )
-    return df.join(broadcast_if_small(ranks), x)
+    counts = df.where(F.col(x).isNotNull()).groupBy(x).agg(F.count(F.lit(1)).alias("_ties"))
+    ranked = running_sum(counts, [], [x], "_ties", "_cum", total, partitions)
+    rank = F.col("_cum") - F.col("_ties") + (F.col("_ties") + 1) / F.lit(2.0)
+    return df.join(broadcast_if_small(ranked.select(x, rank.alias(out), total)), x)
 
 
 def rank_quintile(df: DataFrame, x: str, out: str, n: int = 5, partitions: int | None = None) -> DataFrame:
