@@ -34,12 +34,9 @@ def is_in(c: str | Column, values) -> Column:
 
 
 def parse_number(c: str | Column, decimal: str = ".") -> Column:
-    """Text to double; the other of comma and point is a thousands mark. Junk gives NULL."""
+    """Text to double. With a decimal point, commas are thousands marks; junk gives NULL."""
     text = F.trim(_col(c))
-    if decimal == ",":
-        text = F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
-    else:
-        text = F.replace(text, F.lit(","), F.lit(""))
+    text = F.replace(text, F.lit(","), F.lit("." if decimal == "," else ""))
     return text.try_cast("double")
 
 
