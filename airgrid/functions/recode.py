@@ -51,9 +51,9 @@ def mexico_years(accumulated: str, level: str, grade: str) -> Column:
     degree = F.when(((lv == 10) & (gr == 6)) | ((lv == 11) & gr.isin(6.0, 7.0, 8.0)), F.lit(17.0))
     special = F.when(lv == 12, F.lit(17.0))
     counted = F.when(ac.between(13, 19), ac)
-    technical = by_grade(8, {1: 13, 2: 14, 3: 15, 4: 16})
+    technical = F.when(ac.isNotNull(), by_grade(8, {1: 13, 2: 14, 3: 15, 4: 16}))
     base = F.when(ac.between(0, 12), ac)
-    # Thirteen counted years always stand, so a technical level matters only without a valid count.
+    # Thirteen to nineteen counted years stand, so a technical grade decides only for other counts.
     years = F.coalesce(doctorate, degree, master, special, counted, technical, base)
     return F.when(ac == 0, F.lit(0.0)).when((gr == 99) | (ac == 99), F.lit(None).cast("double")).otherwise(years)
 

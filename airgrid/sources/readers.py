@@ -118,7 +118,7 @@ def read_marker_files(spark: SparkSession, path: str) -> DataFrame:
 def read_station_reports(spark: SparkSession, path: str, params: list[tuple[str, str]]) -> DataFrame:
     """Report files with station name and code in header lines and parameter names under ``Data;Hora``.
 
-    ``params`` are (pattern, code) rules tried in order on the parameter names. Gives (file,
+    ``params`` are (pattern, code) rules tried in order on the upper-case parameter names. Gives (file,
     station_name, station_code, datetime, param, value); files without a data block give no rows.
     """
     f = read_files(spark, path)
@@ -149,7 +149,7 @@ def read_station_reports(spark: SparkSession, path: str, params: list[tuple[str,
     out = long.select(
         "file", "station_name", "station_code",
         date_plus_hour(parse_first("day", ["dd/MM/yyyy"]), hour).alias("datetime"),
-        recode_patterns(F.when(name != "", name), params).alias("param"),
+        recode_patterns(F.when(name != "", F.upper(name)), params).alias("param"),
         parse_number("cell", ",").alias("value"),
     )
     return out.dropna(subset=["datetime", "param", "value"])
