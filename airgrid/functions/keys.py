@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 # Accented Latin letters and their plain forms, position by position.
 ACCENTED = "ÁÀÂÃÄÅÉÈÊËÍÌÎÏÓÒÔÕÖØÚÙÛÜÝÇÑŸ"
 PLAIN = "AAAAAAEEEEIIIIOOOOOOUUUUYCNY"
-LIGATURES = (("Æ", "AE"), ("Œ", "OE"), ("ß", "SS"))
+LIGATURES = (("Æ", "AE"), ("Œ", "OE"), ("ß", "SS"), ("ẞ", "SS"))
+WHITESPACE = " \t\r\n"
 
 
 def _col(c: str | Column) -> Column:
@@ -25,7 +26,7 @@ def strip_accents(c: str | Column) -> Column:
 
 def normalize_station(c: str | Column) -> Column:
     """Display key of a station: trimmed, upper case, no accents, no double quotes."""
-    return F.replace(strip_accents(F.upper(F.trim(_col(c).cast("string")))), F.lit('"'), F.lit(""))
+    return F.replace(strip_accents(F.upper(F.btrim(_col(c).cast("string"), F.lit(WHITESPACE)))), F.lit('"'), F.lit(""))
 
 
 def normalize_key(c: str | Column, drop_prefix: str | None = None) -> Column:

@@ -18,10 +18,10 @@ PLAIN_SQL = f"replace(replace(replace(translate({{}}, '{keys.ACCENTED}', '{keys.
 
 
 def plain(x: str) -> str:
-    return PLAIN_SQL.format(x)
+    return PLAIN_SQL.format(x.replace("text", "replace(text, 'ß', 'ss')"))
 
 
-@query("H1_normalize_station", f"""SELECT doc_id, md5(replace({plain("upper(trim(text, ' '))")}, '"', '')) AS station FROM documents""")
+@query("H1_normalize_station", f"""SELECT doc_id, md5(replace({plain("upper(trim(text, ' ' || chr(9) || chr(10) || chr(13)))")}, '"', '')) AS station FROM documents""")
 def _(s, d):
     return t.table(s, d, "documents").select("doc_id", F.md5(keys.normalize_station("text")).alias("station"))
 
