@@ -97,19 +97,19 @@ def read_bogota_secondary(spark: SparkSession, path: str, param: str) -> DataFra
     return map_stations(long, BOGOTA_NAMES, BOGOTA_NAME_PATTERNS).where(F.col("datetime").isNotNull())
 
 
-def read_mexico(spark: SparkSession, path: str, codes: list[str] | None = None) -> DataFrame:
+def read_mexico(spark: SparkSession, path: str, codes: list[str] | None = None, level: int = -1) -> DataFrame:
     """Wide hourly files with parameter names in Spanish."""
-    long = readers.read_wide_stations(spark, path, codes)
+    long = readers.read_wide_stations(spark, path, codes, level)
     return long.withColumn("param", keys.literal_map(MEXICO_PARAMS)[F.upper(F.trim(keys.strip_accents(F.upper("param"))))]).where(
         F.col("param").isNotNull())
 
 
-def read_santiago(spark: SparkSession, path: str, registry: DataFrame) -> DataFrame:
+def read_santiago(spark: SparkSession, path: str, registry: DataFrame, level: int = -1) -> DataFrame:
     """Marker files; station by the longest registered key inside the file name, parameter by pattern."""
     from airgrid.operators.identifiers import longest_key_match
 
     bare = F.regexp_replace(F.upper("file"), r"METROPOLITANA[ _]DE[ _]SANTIAGO", "")
-    rows = readers.read_marker_files(spark, path).withColumn("file_key", keys.normalize_key(bare))
+    rows = readers.read_marker_files(spark, path, level).withColumn("file_key", keys.normalize_key(bare))
     reg = registry.select(keys.normalize_key("station").alias("station_key"), "station")
     files = rows.select("file", "file_key").distinct()
     matched = longest_key_match(files, reg, "file_key", "station_key").join(reg, "station_key")
@@ -117,9 +117,9 @@ def read_santiago(spark: SparkSession, path: str, registry: DataFrame) -> DataFr
     return named.withColumn("param", keys.recode_patterns(F.upper("file"), SANTIAGO_PARAMS)).where(F.col("param").isNotNull())
 
 
-def read_sao_paulo(spark: SparkSession, path: str, registry: DataFrame) -> DataFrame:
+def read_sao_paulo(spark: SparkSession, path: str, registry: DataFrame, level: int = -1) -> DataFrame:
     """Report files; station by normalised name."""
-    rows = readers.read_station_reports(spark, path, SAO_PAULO_PARAMS)
+    rows = readers.read_station_reports(spark, path, SAO_PAULO_PARAMS, level)
     reg = registry.select(keys.normalize_key("station").alias("_k"), "station")
     return rows.withColumn("_k", keys.normalize_key("station_name")).join(broadcast_if_small(reg), "_k").drop("_k")
 

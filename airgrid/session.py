@@ -29,14 +29,13 @@ def get_session(app: str = "airgrid", master: str | None = None, **conf: str) ->
     return builder.getOrCreate()
 
 
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and continue from the written copy.
+def shared_folder(spark: SparkSession) -> str:
+    """Checkpoint folder of the session.
 
-    The folder is the one named by ``spark.checkpoint.dir``. Only a local session without that
-    setting gets a temporary folder; a cluster session without it is refused, because a folder on
-    one machine does not survive the loss of that machine.
+    It is the one named by ``spark.checkpoint.dir``. Only a local session without that setting gets a
+    temporary folder; a cluster session without it is refused, because a folder on one machine does
+    not survive the loss of that machine.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -45,6 +44,12 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def reliable_checkpoint(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the checkpoint folder and continue from the written copy."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -60,22 +60,28 @@ def clean_text_columns(df: DataFrame) -> DataFrame:
     return df.select(*[clean_cell(F.col(f"`{c}`")).alias(c) if t == "string" else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
-def read_lines(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> DataFrame:
-    """Lines of many files with their file name; large files split over tasks."""
+def _path_part(level: int) -> Column:
+    return F.element_at(F.split(F.col("_metadata.file_path"), "/"), level)
+
+
+def read_lines(spark: SparkSession, path: str, encoding: str = "ISO-8859-1", level: int = -1) -> DataFrame:
+    """Lines of many files with their name; large files split over tasks.
+
+    ``level`` is the path part that names a file: -1 is the file name, -2 its folder.
+    """
     raw = spark.read.csv(path, sep="\u0001", quote="", encoding=encoding, schema="line string",
                          ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    return raw.select("line", F.col("_metadata.file_name").alias("file"))
+    return raw.select("line", _path_part(level).alias("file"))
 
 
-def read_files(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> DataFrame:
+def read_files(spark: SparkSession, path: str, encoding: str = "ISO-8859-1", level: int = -1) -> DataFrame:
     """One row per file with its numbered lines as an array, for formats whose line order matters.
 
     Meant for station files, which hold at most some years of hours.
     """
     raw = spark.read.format("binaryFile").load(path)
-    text = F.decode(F.col("content"), F.lit(encoding))
-    name = F.element_at(F.split(F.col("path"), "/"), -1)
-    return raw.select(name.alias("file"), F.split(text, "\r?\n").alias("lines"))
+    text = F.decode(F.col("content"), encoding)
+    return raw.select(_path_part(level).alias("file"), F.split(text, "\r?\n").alias("lines"))
 
 
 def read_after_preamble(spark: SparkSession, path: str, skip: int, schema: str, sep: str = ",") -> DataFrame:
@@ -90,13 +96,13 @@ def _first_line(lines: Column, pattern: str) -> Column:
     return F.array_position(F.transform(lines, lambda x: x.rlike(pattern)), True)
 
 
-def read_marker_files(spark: SparkSession, path: str) -> DataFrame:
+def read_marker_files(spark: SparkSession, path: str, level: int = -1) -> DataFrame:
     """Files whose data lie between a ``#DATA`` or ``EOH`` line and an ``EOF`` line.
 
     Columns are day, clock and several versions of the value, of which the first present one counts.
     Gives (file, datetime, value).
     """
-    f = read_files(spark, path)
+    f = read_files(spark, path, level=level)
     lines = F.col("lines")
     hash_at, eoh_at, eof_at = (_first_line(lines, p) for p in ("^#DATA", "^EOH", "^EOF"))
     start = F.when(hash_at > 0, hash_at).when(eoh_at > 0, eoh_at)
@@ -115,13 +121,13 @@ def read_marker_files(spark: SparkSession, path: str) -> DataFrame:
     return out.where(F.col("datetime").isNotNull() & F.col("value").isNotNull())
 
 
-def read_station_reports(spark: SparkSession, path: str, params: list[tuple[str, str]]) -> DataFrame:
+def read_station_reports(spark: SparkSession, path: str, params: list[tuple[str, str]], level: int = -1) -> DataFrame:
     """Report files with station name and code in header lines and parameter names under ``Data;Hora``.
 
     ``params`` are (pattern, code) rules tried in order on the upper-case parameter names. Gives (file,
     station_name, station_code, datetime, param, value); files without a data block give no rows.
     """
-    f = read_files(spark, path)
+    f = read_files(spark, path, level=level)
     lines = F.col("lines")
     delim = F.when(F.exists(F.slice(lines, 1, 15), lambda x: x.contains(";")), ";").otherwise("\t")
 
@@ -158,7 +164,7 @@ def read_station_reports(spark: SparkSession, path: str, params: list[tuple[str,
 QUOTED_COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 
 
-def read_wide_stations(spark: SparkSession, path: str, codes: list[str] | None = None) -> DataFrame:
+def read_wide_stations(spark: SparkSession, path: str, codes: list[str] | None = None, level: int = -1) -> DataFrame:
     """Hourly CSV files with Fecha, Hora and one column per station named ``CODE : Name``.
 
     Files may list different stations: each file's header meets its lines by file name. The parameter
@@ -166,7 +172,7 @@ def read_wide_stations(spark: SparkSession, path: str, codes: list[str] | None =
     clamped to 0..23. Missing readings stay as NULL rows.
     """
     bare = lambda c: F.trim(F.replace(F.replace(c, F.lit('"'), F.lit("")), F.lit(NBSP), F.lit(" ")))
-    rows = read_lines(spark, path).withColumn("_c", F.transform(F.split("line", QUOTED_COMMA), bare))
+    rows = read_lines(spark, path, level=level).withColumn("_c", F.transform(F.split("line", QUOTED_COMMA), bare))
     is_head = F.array_contains(F.col("_c"), "Fecha") & F.array_contains(F.col("_c"), "Hora")
     # One header line per file; the join is by file name.
     heads = rows.where(is_head).groupBy("file").agg(F.min("_c").alias("_h"))

@@ -90,7 +90,7 @@ def long_panel(spark, folder) -> DataFrame:
     o = table(spark, folder, "orders")
     station = F.concat(F.lit("ST"), F.lpad((F.col("o_custkey") % N_STATIONS).cast("string"), 2, "0"))
     ts = F.col("o_orderdate").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), (F.col("o_orderkey") % 24).cast("int"))
-    value = F.col("o_totalprice") / 10000
+    value = F.col("o_totalprice") / 8192
     wide = o.groupBy(station.alias("station"), ts.alias("datetime")).agg(
         F.avg(F.when(F.col("o_orderstatus") != "F", value)).alias("pm10"),
         F.avg(F.when(F.col("o_orderstatus") != "P", value / 2)).alias("pm25"))
@@ -149,8 +149,8 @@ SQL = {
     "long_panel": """SELECT 'ST' || lpad(CAST(o_custkey % 25 AS VARCHAR), 2, '0') AS station,
         o_orderdate + to_hours(CAST(o_orderkey % 24 AS INTEGER)) AS datetime,
         CAST(year(o_orderdate + to_hours(CAST(o_orderkey % 24 AS INTEGER))) AS INTEGER) AS year,
-        avg(CASE WHEN o_orderstatus <> 'F' THEN o_totalprice / 10000 END) AS pm10,
-        avg(CASE WHEN o_orderstatus <> 'P' THEN o_totalprice / 10000 / 2 END) AS pm25 FROM orders GROUP BY 1, 2, 3""",
+        avg(CASE WHEN o_orderstatus <> 'F' THEN o_totalprice / 8192 END) AS pm10,
+        avg(CASE WHEN o_orderstatus <> 'P' THEN o_totalprice / 8192 / 2 END) AS pm25 FROM orders GROUP BY 1, 2, 3""",
     "cells": """SELECT user_id % 25 AS cell_id, CAST(ts AS DATE) AS date, CAST(hour(ts) AS INTEGER) AS hour,
         avg(CASE WHEN event_type = 'view' THEN value * 1e-10 END) AS DUSMASS25,
         avg(CASE WHEN event_type = 'click' THEN value * 1e-10 END) AS OCSMASS,
