@@ -128,6 +128,8 @@ def group_share(cells: DataFrame) -> DataFrame:
 def fit_gaps(cells: DataFrame, groups: list[int], base: int, se_type: str, conf_level: float | None) -> DataFrame:
     """Gap of every group to the base with its standard error and interval.
 
+    A group without cells keeps its row with NULLs and still counts as a coefficient.
+
     ``cells`` holds one row per (outcome, geo_id, group) with y and w. With ``conf_level=None`` the
     interval columns are left out.
     """
@@ -164,7 +166,7 @@ def fit_gaps(cells: DataFrame, groups: list[int], base: int, se_type: str, conf_
         F.struct(
             F.lit(g).alias("group"),
             (F.lit(0.0) if g == base else F.col(f"_mu{g}") - F.col(f"_mu{base}")).alias("estimate"),
-            (F.lit(0.0) if g == base else se(g)).alias("std_error"),
+            (F.lit(0.0) if g == base else F.when(F.col(f"_mu{g}").isNotNull(), se(g))).alias("std_error"),
         )
         for g in groups
     ])

@@ -61,7 +61,8 @@ def clean_text_columns(df: DataFrame) -> DataFrame:
 
 
 def _path_part(level: int) -> Column:
-    return F.element_at(F.split(F.col("_metadata.file_path"), "/"), level)
+    part = F.element_at(F.split(F.col("_metadata.file_path"), "/"), level)
+    return F.url_decode(F.replace(part, F.lit("+"), F.lit("%2B")))
 
 
 def read_lines(spark: SparkSession, path: str, encoding: str = "ISO-8859-1", level: int = -1) -> DataFrame:
