@@ -234,6 +234,69 @@ def points_near_polygons(
     return points.join(broadcast_if_small(keep), point_id, "left_semi")
 
 
+def _edges(polygons: DataFrame, key: str, suffix: str) -> DataFrame:
+    e = polygons.select(key, F.explode(geo.polygon_edges(F.col("rings"))).alias("e"))
+    return e.select(F.col(key), *[F.col(f"e.{c}").alias(c + suffix) for c in ("x1", "y1", "x2", "y2")])
+
+
+def crossing_polygons(left: DataFrame, right: DataFrame, left_id: str, right_id: str, cell_deg: float = 0.05) -> DataFrame:
+    """Pairs of polygons with properly crossing edges; edges meet by grid cell."""
+
+    def place(polygons: DataFrame, key: str, s: str) -> DataFrame:
+        e = _edges(polygons, key, s)
+        x, y = (F.col("x1" + s), F.col("x2" + s)), (F.col("y1" + s), F.col("y2" + s))
+        return e.withColumn("_cx", F.explode(_cells(F.least(*x), F.greatest(*x), cell_deg))).withColumn(
+            "_cy", F.explode(_cells(F.least(*y), F.greatest(*y), cell_deg))
+        )
+
+    def side(px: str, py: str, s: str) -> Column:
+        c = F.col
+        return F.signum((c("x2" + s) - c("x1" + s)) * (c(py) - c("y1" + s)) - (c("y2" + s) - c("y1" + s)) * (c(px) - c("x1" + s)))
+
+    a, b = place(left, left_id, "a"), place(right, right_id, "b")
+    crossed = (side("x1b", "y1b", "a") * side("x2b", "y2b", "a") < 0) & (side("x1a", "y1a", "b") * side("x2a", "y2a", "b") < 0)
+    return a.join(b, ["_cx", "_cy"]).where(crossed).select(left_id, right_id).distinct()
+
+
+def polygon_distances(
+    left: DataFrame, right: DataFrame, left_id: str, right_id: str, radius_km: float, cell_deg: float = 0.05
+) -> DataFrame:
+    """Shortest distance of polygon pairs within ``radius_km``, zero where they overlap."""
+
+    def corners(polygons: DataFrame, key: str) -> DataFrame:
+        p = polygons.select(key, F.explode(F.flatten("rings")).alias("p"))
+        return p.select(key, F.col("p.lon").alias("lon"), F.col("p.lat").alias("lat")).withColumn(
+            "_corner", F.struct(F.col(key), F.col("lon"), F.col("lat"))
+        )
+
+    def one_way(points: DataFrame, key: str, polygons: DataFrame, other: str) -> DataFrame:
+        d = edge_distances(points.drop(key), polygons, "_corner", other, radius_km)
+        return d.select(F.col("_corner")[key].alias(key), other, "distance_km")
+
+    forth = one_way(corners(left, left_id), left_id, right, right_id)
+    back = one_way(corners(right, right_id), right_id, left, left_id).select(left_id, right_id, "distance_km")
+    crossed = crossing_polygons(left, right, left_id, right_id, cell_deg).withColumn("distance_km", F.lit(0.0))
+    return forth.unionByName(back).unionByName(crossed).groupBy(left_id, right_id).agg(F.min("distance_km").alias("distance_km"))
+
+
+def zones_within(zones: DataFrame, areas: DataFrame, zone_id: str, area_id: str, cell_deg: float = 0.05) -> DataFrame:
+    """Zones whose representative point lies in any of the areas."""
+    pts = zones.withColumn("_p", geo.representative_point(F.col("rings"))).select(
+        zone_id, F.col("_p.lon").alias("lon"), F.col("_p.lat").alias("lat")
+    )
+    keep = points_in_polygons(pts, areas, zone_id, area_id, cell_deg).select(zone_id).distinct()
+    return zones.join(keep, zone_id, "left_semi")
+
+
+def metro_layers(layers: dict[str, DataFrame], code: str, codes: list[str], columns: list[str]) -> DataFrame:
+    """Rows of listed codes from several layers under the same columns, tagged by layer."""
+    parts = [df.where(F.col(code).isin(list(codes))).select(*columns).withColumn("layer", F.lit(name)) for name, df in layers.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def dissolve(features: DataFrame, key: str, attributes: list[str]) -> DataFrame:
     """Give all features of a key the same attributes; those that disagree become NULL.
 

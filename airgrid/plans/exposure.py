@@ -60,7 +60,7 @@ def hourly_idw(
     small = pairs.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows
     if small:
         n = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        fan = rows.repartition(n, "datetime").join(F.broadcast(pairs), "station_id")
+        fan = rows.repartition(n, "datetime").sortWithinPartitions("datetime").join(F.broadcast(pairs), "station_id")
     else:
         sliced = rows.withColumn("_slice", F.pmod(F.xxhash64("datetime"), F.lit(salts)).cast("int"))
         copies = pairs.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

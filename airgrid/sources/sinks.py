@@ -8,15 +8,18 @@ from pyspark.sql import functions as F
 from airgrid.sources.readers import artifact_path
 
 
-def write_panel(panel: DataFrame, root: str, files_per_year: int = 1, keys: list[str] = ("station", "datetime")) -> None:
+def write_panel(panel: DataFrame, root: str, files_per_year: int | None = None, keys: list[str] = ("station", "datetime")) -> None:
     """Year-partitioned Parquet, rows sorted inside each file; only written years are replaced.
 
-    ``files_per_year`` spreads a large year over several tasks by hashed station.
+    Rows are gathered by year and a year too large for one task is split by adaptive execution.
+    ``files_per_year`` fixes the number of files instead, by hashed station.
     """
-    slice_ = F.pmod(F.xxhash64(keys[0]), F.lit(files_per_year))
-    spread = panel.repartition("year", slice_).sortWithinPartitions("year", *keys)
+    if files_per_year is None:
+        spread = panel.hint("rebalance", F.col("year"))
+    else:
+        spread = panel.repartition("year", F.pmod(F.xxhash64(keys[0]), F.lit(files_per_year)))
     (
-        spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        spread.sortWithinPartitions("year", *keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .option("compression", "snappy").partitionBy("year").parquet(root)
     )
 

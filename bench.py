@@ -10,7 +10,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = [
-    "K4_idw_exposure", "D1_hourly_idw", "D4_day_metrics", "D5_legacy_weights", "C2_idw_without_broadcast",
+    "K4_idw_exposure", "D1_hourly_idw", "D4_day_metrics", "D5_legacy_weights",
     "K3_outliers_long", "K3_clean_panel", "K1_precedence_merge", "D6_wide_panel", "C7_densify",
     "E5_equal_population_groups", "D18_census_collapse", "D22_group_summary", "K6_gap_regression",
     "D10_completeness", "D11_exceedance_station_means", "D13_missing_by_hour", "K13_missing_by_quintile",

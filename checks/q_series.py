@@ -276,6 +276,20 @@ def _(s, d):
     return t.rnd(rg.attach_clusters(cov, rg.exposure_regressions(e, p, conf_level=None)))
 
 
+def _summary_sql(buffer: int) -> str:
+    base = t.ctes("panel", "weights", "people", buffer=buffer) + qe.HOURLY + qe.ANNUAL + qe.GROUPED
+    return f"""SELECT * FROM ({base} {qe._cells_sql(qe.OUTCOMES)} SELECT 'city_{buffer}km' AS city_id, outcome, pollutant, grp AS "group", round(sum(pop * y) / sum(pop), 6) AS weighted_mean, sum(pop) AS weighted_population
+      FROM cell GROUP BY outcome, pollutant, grp)"""
+
+
+@query("K8_stacked_runs", _summary_sql(3) + " UNION ALL " + _summary_sql(5))
+def _(s, d):
+    p = qe.persons(s, d)
+    run = lambda b: rg.exposure_summaries(ex.idw_exposure(t.panel(s, d), t.unit_distances(s, d), qe.POLS, b), p)
+    out = ex.stack_runs({f"city_{b}km": run(b) for b in (3, 5)})
+    return t.rnd(out.select("city_id", "outcome", "pollutant", "group", "weighted_mean", "weighted_population"))
+
+
 @query("K5_city_run_units")
 def _(s, d):
     from airgrid.plans.census import collapse_census
@@ -390,6 +404,52 @@ def _(s, d):
     return out.groupBy("label").agg(F.count(F.lit(1)).alias("n_features"), F.min("k").alias("k"), F.min("lon").alias("lon"))
 
 
+BIG = [(0.03, -0.01), (0.03, 0.01), (-0.03, 0.012), (-0.03, -0.012)]
+
+
+def areas(s, d):
+    """One flat box per station."""
+    st = t.stations(s, d)
+    e = [F.struct((F.col("lon") + x).alias("lon"), (F.col("lat") + y).alias("lat")) for x, y in BIG]
+    return st.select("station_id", F.array(F.array(*e)).alias("rings"))
+
+
+_BIG_EDGES = " UNION ALL ".join(
+    f"SELECT station_id, lon + {a[0]} AS x1, lat + {a[1]} AS y1, lon + {b[0]} AS x2, lat + {b[1]} AS y2 FROM stations" for a, b in zip(BIG, BIG[1:] + BIG[:1]))
+_SIDE = "sign(({s}.x2 - {s}.x1) * ({p}.y{i} - {s}.y1) - ({s}.y2 - {s}.y1) * ({p}.x{i} - {s}.x1))"
+
+
+def _sides(s: str, p: str) -> str:
+    return f"{_SIDE.format(s=s, p=p, i=1)} * {_SIDE.format(s=s, p=p, i=2)} < 0"
+
+
+def _corner_sql(pts: str, pid: str, edg: str, eid: str) -> str:
+    """Distances of corners to edges, and zero for corners inside."""
+    return f"""SELECT {pid}, {eid}, sqrt(pow(px + k * (qx - px), 2) + pow(py + k * (qy - py), 2)) AS dkm FROM (SELECT *, greatest(0, least(1, (0 - px * (qx - px) - py * (qy - py)) / (pow(qx - px, 2) + pow(qy - py, 2)))) AS k FROM (
+   SELECT p.{pid}, e.{eid}, (e.x1 - p.x1) * {KMD} * cos(radians(p.y1)) AS px, (e.y1 - p.y1) * {KMD} AS py, (e.x2 - p.x1) * {KMD} * cos(radians(p.y1)) AS qx, (e.y2 - p.y1) * {KMD} AS qy FROM {pts} p, {edg} e))
+  UNION ALL SELECT {pid}, {eid}, 0 FROM (SELECT p.{pid}, p.x1, p.y1, e.{eid} FROM {pts} p, {edg} e WHERE (e.y1 > p.y1) <> (e.y2 > p.y1) AND p.x1 < (e.x2 - e.x1) * (p.y1 - e.y1) / (e.y2 - e.y1) + e.x1 GROUP BY 1, 2, 3, 4 HAVING count(*) % 2 = 1)"""
+
+
+@query("J11_area_distances", t.ctes("units", "stations") + f""", ue AS ({_EDGES}), be AS ({_BIG_EDGES}), alld AS ({_corner_sql('ue', 'geo_id', 'be', 'station_id')}
+  UNION ALL SELECT geo_id, station_id, dkm FROM ({_corner_sql('be', 'station_id', 'ue', 'geo_id')}) UNION ALL SELECT geo_id, station_id, 0 AS dkm FROM ue, be WHERE {_sides('ue', 'be')} AND {_sides('be', 'ue')})
+ SELECT geo_id, station_id, round(min(dkm), 6) AS distance_km FROM alld GROUP BY 1, 2 HAVING min(dkm) <= 1""")
+def _(s, d):
+    return t.rnd(spatial.polygon_distances(polygons(s, d), areas(s, d), "geo_id", "station_id", 1.0))
+
+
+@query("J14_zones_in_areas", t.ctes("units", "stations") + f""", be AS ({_BIG_EDGES}), ue AS ({_EDGES}), c AS (SELECT geo_id, sum((x1 + x2) * (x1 * y2 - x2 * y1)) / (3 * sum(x1 * y2 - x2 * y1)) AS lon, sum((y1 + y2) * (x1 * y2 - x2 * y1)) / (3 * sum(x1 * y2 - x2 * y1)) AS lat FROM ue GROUP BY 1)
+ SELECT DISTINCT geo_id FROM (SELECT geo_id, station_id FROM c, be e WHERE (e.y1 > c.lat) <> (e.y2 > c.lat) AND c.lon < (e.x2 - e.x1) * (c.lat - e.y1) / (e.y2 - e.y1) + e.x1 GROUP BY 1, 2 HAVING count(*) % 2 = 1)""")
+def _(s, d):
+    return spatial.zones_within(polygons(s, d), areas(s, d), "geo_id", "station_id").select("geo_id")
+
+
+@query("J15_metro_layers", "SELECT CAST(c_custkey AS VARCHAR) AS id, c_acctbal AS balance, 'customers' AS layer FROM customer WHERE c_nationkey IN (3, 5) UNION ALL SELECT CAST(s_suppkey AS VARCHAR), s_acctbal, 'suppliers' FROM supplier WHERE s_nationkey IN (3, 5)")
+def _(s, d):
+    c = t.table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_acctbal").alias("balance"), F.col("c_nationkey").cast("string").alias("code"))
+    p = t.table(s, d, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_acctbal").alias("balance"), F.col("s_nationkey").cast("string").alias("code"))
+    return spatial.metro_layers({"customers": c, "suppliers": p}, "code", ["3", "5"], ["id", "balance"])
+
+
 @query("K11_station_context", UNIT_TABLE + f""", edges AS ({_EDGES.replace('FROM units', 'FROM ut')}), hits AS (SELECT station_id, geo_id FROM stations s, edges e WHERE (e.y1 > s.lat) <> (e.y2 > s.lat)
   AND s.lon < (e.x2 - e.x1) * (s.lat - e.y1) / (e.y2 - e.y1) + e.x1 GROUP BY 1, 2 HAVING count(*) % 2 = 1), c AS (SELECT s.station_id, min(h.geo_id) AS g FROM stations s LEFT JOIN hits h USING (station_id) GROUP BY 1),
  sm AS (SELECT station AS station_id, count(pm10) AS n_obs_pm10 FROM panel GROUP BY 1 HAVING greatest(count(pm10), count(pm25)) >= 1)

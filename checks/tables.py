@@ -17,13 +17,22 @@ PARAMS = {"pm10": ["view", "click"], "pm25": ["purchase", "signup"], "ozone": ["
 N_STATIONS = 25
 
 
+_OPENED: dict = {}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """Driver table; the handle is kept, so footers are read once per session."""
+    key = (spark.sparkContext.applicationId, id(spark), folder, name)
+    if key not in _OPENED:
+        _OPENED[key] = spark.read.parquet(f"{folder}/{name}.parquet")
+    return _OPENED[key]
 
 
 def rnd(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every double column, as the SQL twins do."""
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    """Round every double column half away from zero, as the SQL twins do."""
+    k = float(10**digits)
+    half_up = lambda c: F.floor(F.abs(F.col(c)) * k + 0.5) / k
+    return df.select(*[(F.signum(c) * half_up(c)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def readings(spark, folder) -> DataFrame:
@@ -34,7 +43,9 @@ def readings(spark, folder) -> DataFrame:
 
 
 def panel(spark, folder) -> DataFrame:
-    return widen(readings(spark, folder), PARAMS)
+    """Hourly panel; the odd divisor keeps means away from rounding ties."""
+    p = widen(readings(spark, folder), PARAMS)
+    return p.withColumns({c: F.col(c) / 0.9973 for c in PARAMS})
 
 
 def stations(spark, folder) -> DataFrame:
@@ -90,7 +101,7 @@ def long_panel(spark, folder) -> DataFrame:
     o = table(spark, folder, "orders")
     station = F.concat(F.lit("ST"), F.lpad((F.col("o_custkey") % N_STATIONS).cast("string"), 2, "0"))
     ts = F.col("o_orderdate").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), (F.col("o_orderkey") % 24).cast("int"))
-    value = F.col("o_totalprice") / 8192
+    value = F.col("o_totalprice") / 8191
     wide = o.groupBy(station.alias("station"), ts.alias("datetime")).agg(
         F.avg(F.when(F.col("o_orderstatus") != "F", value)).alias("pm10"),
         F.avg(F.when(F.col("o_orderstatus") != "P", value / 2)).alias("pm25"))
@@ -98,13 +109,12 @@ def long_panel(spark, folder) -> DataFrame:
 
 
 def cells(spark, folder) -> DataFrame:
-    """Satellite-like cells: one cell per nation, hourly means of the event values as masses."""
+    """Satellite-like cells: one cell per nation, hourly statistics of the event values as masses."""
     e = table(spark, folder, "events")
-    v = F.col("value") * 1e-10
-    pick = lambda t: F.avg(F.when(F.col("event_type") == t, v))
+    v = F.col("value") / 9.973e9
     return e.groupBy((F.col("user_id") % N_STATIONS).alias("cell_id"), F.to_date("ts").alias("date"), F.hour("ts").alias("hour")).agg(
-        pick("view").alias("DUSMASS25"), pick("click").alias("OCSMASS"), pick("purchase").alias("BCSMASS"),
-        pick("signup").alias("SSSMASS25"), pick("error").alias("SO4SMASS"))
+        F.avg(v).alias("DUSMASS25"), F.min(v).alias("OCSMASS"), F.max(v).alias("BCSMASS"),
+        F.avg(F.when(F.col("event_type") != "view", v)).alias("SSSMASS25"), F.avg(F.when(F.col("event_type") != "error", v)).alias("SO4SMASS"))
 
 
 def coverage(spark, folder) -> DataFrame:
@@ -129,9 +139,9 @@ SQL = {
     "readings": """SELECT event_id, 'ST' || lpad(CAST(user_id % 25 AS VARCHAR), 2, '0') AS station,
         date_trunc('hour', ts) AS datetime, event_type AS param, value FROM events""",
     "panel": """SELECT station, datetime, CAST(year(datetime) AS INTEGER) AS year,
-        avg(CASE WHEN param IN ('view','click') THEN value END) AS pm10,
-        avg(CASE WHEN param IN ('purchase','signup') THEN value END) AS pm25,
-        avg(CASE WHEN param = 'error' THEN value END) AS ozone FROM readings GROUP BY station, datetime""",
+        avg(CASE WHEN param IN ('view','click') THEN value END) / 0.9973 AS pm10,
+        avg(CASE WHEN param IN ('purchase','signup') THEN value END) / 0.9973 AS pm25,
+        avg(CASE WHEN param = 'error' THEN value END) / 0.9973 AS ozone FROM readings GROUP BY station, datetime""",
     "stations": """SELECT 'ST' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS station_id, n_name AS name,
         x - 74 AS lon, y + 4.6 AS lat FROM nation JOIN (SELECT vec_id % 25 AS k, avg(CAST(embedding[1] AS DOUBLE)) AS x,
         avg(CAST(embedding[2] AS DOUBLE)) AS y FROM embeddings GROUP BY 1) ON k = n_nationkey""",
@@ -149,14 +159,12 @@ SQL = {
     "long_panel": """SELECT 'ST' || lpad(CAST(o_custkey % 25 AS VARCHAR), 2, '0') AS station,
         o_orderdate + to_hours(CAST(o_orderkey % 24 AS INTEGER)) AS datetime,
         CAST(year(o_orderdate + to_hours(CAST(o_orderkey % 24 AS INTEGER))) AS INTEGER) AS year,
-        avg(CASE WHEN o_orderstatus <> 'F' THEN o_totalprice / 8192 END) AS pm10,
-        avg(CASE WHEN o_orderstatus <> 'P' THEN o_totalprice / 8192 / 2 END) AS pm25 FROM orders GROUP BY 1, 2, 3""",
+        avg(CASE WHEN o_orderstatus <> 'F' THEN o_totalprice / 8191 END) AS pm10,
+        avg(CASE WHEN o_orderstatus <> 'P' THEN o_totalprice / 8191 / 2 END) AS pm25 FROM orders GROUP BY 1, 2, 3""",
     "cells": """SELECT user_id % 25 AS cell_id, CAST(ts AS DATE) AS date, CAST(hour(ts) AS INTEGER) AS hour,
-        avg(CASE WHEN event_type = 'view' THEN value * 1e-10 END) AS DUSMASS25,
-        avg(CASE WHEN event_type = 'click' THEN value * 1e-10 END) AS OCSMASS,
-        avg(CASE WHEN event_type = 'purchase' THEN value * 1e-10 END) AS BCSMASS,
-        avg(CASE WHEN event_type = 'signup' THEN value * 1e-10 END) AS SSSMASS25,
-        avg(CASE WHEN event_type = 'error' THEN value * 1e-10 END) AS SO4SMASS FROM events GROUP BY 1, 2, 3""",
+        avg(value / 9.973e9) AS DUSMASS25, min(value / 9.973e9) AS OCSMASS, max(value / 9.973e9) AS BCSMASS,
+        avg(CASE WHEN event_type <> 'view' THEN value / 9.973e9 END) AS SSSMASS25,
+        avg(CASE WHEN event_type <> 'error' THEN value / 9.973e9 END) AS SO4SMASS FROM events GROUP BY 1, 2, 3""",
     "coverage": """SELECT r_name AS region, CAST(n_nationkey AS BIGINT) AS cell_id, CAST(n AS DOUBLE) AS coverage
         FROM nation JOIN (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1) ON c_nationkey = n_nationkey
         JOIN region ON r_regionkey = n_regionkey""",
