@@ -102,14 +102,15 @@ def exposure_coverage(
     out = (
         per.withColumn("n_geo_metro", one(units, F.count_distinct("geo_id")))
         .withColumn("n_station_metro", one(stations, F.count_distinct("station_id")))
-        .withColumn("n_geo_in_buffer", one(near, F.count_distinct("geo_id")))
-        .withColumn("n_station_in_buffer", one(near, F.count_distinct("station_id")))
+        .withColumn("_near", one(near, F.struct(F.count_distinct("geo_id").alias("g"), F.count_distinct("station_id").alias("s"))))
+        .withColumn("n_geo_in_buffer", F.col("_near.g"))
+        .withColumn("n_station_in_buffer", F.col("_near.s"))
         .withColumn("n_geo_exposure", one(exposure, F.count_distinct("geo_id")))
         .withColumn("pop_metro", pop)
         .withColumn("share_pop_estimation", F.col("pop_estimation") / F.col("pop_metro"))
         .withColumn("pollutant", F.regexp_replace("outcome", "^avg_", ""))
     )
-    return out.drop("outcome")
+    return out.drop("outcome", "_near")
 
 
 def scale_by_base(cells: DataFrame, base: int) -> DataFrame:

@@ -346,14 +346,17 @@ def _(s, d):
     return t.rnd(rg.exposure_summaries(annual(s, d), persons(s, d)))
 
 
-@query("D25_coverage", BASE + """, grp AS (SELECT DISTINCT geo_id FROM grouped), gp AS (SELECT geo_id, sum(person_weight) AS pop FROM grouped GROUP BY 1),
- lng AS (SELECT 'pm10' AS pollutant, geo_id FROM exposure WHERE avg_pm10 IS NOT NULL UNION ALL SELECT 'pm25', geo_id FROM exposure WHERE avg_pm25 IS NOT NULL),
- tot AS (SELECT sum(person_weight) AS pm FROM people WHERE adult = 1)
- SELECT pollutant, (SELECT count(*) FROM units) AS n_geo_metro, (SELECT count(*) FROM stations) AS n_station_metro,
+COVERAGE = """, gp AS (SELECT geo_id, sum(person_weight) AS pop FROM grouped GROUP BY 1),
+ lngc AS (SELECT 'pm10' AS pollutant, geo_id FROM exposure WHERE avg_pm10 IS NOT NULL UNION ALL SELECT 'pm25', geo_id FROM exposure WHERE avg_pm25 IS NOT NULL),
+ tot AS (SELECT sum(person_weight) AS pm FROM people WHERE adult = 1),
+ cov AS (SELECT pollutant, (SELECT count(*) FROM units) AS n_geo_metro, (SELECT count(*) FROM stations) AS n_station_metro,
   (SELECT count(DISTINCT geo_id) FROM weights) AS n_geo_in_buffer, (SELECT count(DISTINCT station_id) FROM weights) AS n_station_in_buffer,
   (SELECT count(DISTINCT geo_id) FROM exposure) AS n_geo_exposure, count(DISTINCT l.geo_id) AS n_geo_pollutant, count(DISTINCT gp.geo_id) AS n_geo_estimation,
   (SELECT pm FROM tot) AS pop_metro, sum(pop) AS pop_estimation, round(sum(pop) / (SELECT pm FROM tot), 6) AS share_pop_estimation
- FROM lng l LEFT JOIN gp ON l.geo_id = gp.geo_id GROUP BY pollutant""")
+ FROM lngc l LEFT JOIN gp ON l.geo_id = gp.geo_id GROUP BY pollutant)"""
+
+
+@query("D25_coverage", BASE + COVERAGE + " SELECT * FROM cov")
 def _(s, d):
     return t.rnd(rg.exposure_coverage(annual(s, d), persons(s, d), t.unit_distances(s, d), t.units(s, d), t.stations(s, d), buffer_km=5))
 

@@ -226,7 +226,13 @@ def _(s, d):
     return t.rnd(cp.top_bottom_gap(vintage(s, d, 5, "five")))
 
 
-@query("K16_progression")
+def _step_sql(buffer: int, name: str) -> str:
+    base = t.ctes("panel", "weights", "people", buffer=buffer) + qe.HOURLY + qe.ANNUAL + qe.GROUPED
+    return f"""SELECT * FROM ({base} {DOM} SELECT edu_quintile, n_geo, round(wm, 6) AS weighted_mean_conc, round(s1, 6) AS share_hrs_above_it1, round(s4, 6) AS share_hrs_above_it4,
+      round(d1, 6) AS days_with_hr_above_it1, round(d2, 6) AS days_with_2hr_above_it1, '{name}' AS step_id, 'pm25' AS pollutant FROM tab)"""
+
+
+@query("K16_progression", _step_sql(3, "three") + " UNION ALL " + _step_sql(5, "five"))
 def _(s, d):
     return t.rnd(cp.progression([vintage(s, d, 3, "three"), vintage(s, d, 5, "five")]))
 
@@ -269,7 +275,8 @@ def _(s, d):
     return _legacy(s, d, True)
 
 
-@query("C26_coverage_with_clusters")
+@query("C26_coverage_with_clusters", qe.BASE + qe.COVERAGE + qe._cells_sql(qe.CI_OUTCOMES) + """ SELECT cov.*, n_clusters, CAST(5 AS INTEGER) AS n_coef FROM cov LEFT JOIN
+ (SELECT pollutant AS p2, max(g) AS n_clusters FROM (SELECT pollutant, col, count(DISTINCT geo_id) AS g FROM cell GROUP BY 1, 2) GROUP BY 1) ON p2 = pollutant""")
 def _(s, d):
     e, p = qe.annual(s, d), qe.persons(s, d)
     cov = rg.exposure_coverage(e, p, t.unit_distances(s, d), t.units(s, d), t.stations(s, d), buffer_km=5)
@@ -290,7 +297,11 @@ def _(s, d):
     return t.rnd(out.select("city_id", "outcome", "pollutant", "group", "weighted_mean", "weighted_population"))
 
 
-@query("K5_city_run_units")
+@query("K5_city_run_units", qe.BASE + """, ut AS (SELECT geo_id, sum(person_weight) AS pop_total, sum(educ_years * person_weight) / sum(CASE WHEN educ_years IS NOT NULL THEN person_weight END) AS education_mean FROM people WHERE adult = 1 GROUP BY 1),
+ j AS (SELECT e.*, pop_total, education_mean FROM exposure e LEFT JOIN ut ON ut.geo_id = e.geo_id),
+ rk AS (SELECT geo_id, year, sum(pop_total) OVER (ORDER BY education_mean, geo_id, year ROWS UNBOUNDED PRECEDING) / sum(pop_total) OVER () AS sh FROM j WHERE pop_total IS NOT NULL AND education_mean IS NOT NULL)
+ SELECT j.* REPLACE (round(avg_pm10, 6) AS avg_pm10, round(avg_pm25, 6) AS avg_pm25, round(education_mean, 6) AS education_mean),
+  CAST(CASE WHEN sh IS NULL THEN NULL ELSE 1 + """ + " + ".join(f"CASE WHEN sh > CAST({k} AS DOUBLE) / 5 THEN 1 ELSE 0 END" for k in range(1, 5)) + """ END AS INTEGER) AS edu_quintile FROM j LEFT JOIN rk ON rk.geo_id = j.geo_id AND rk.year = j.year""")
 def _(s, d):
     from airgrid.plans.census import collapse_census
     people = t.people(s, d)
