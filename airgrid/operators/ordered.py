@@ -135,7 +135,7 @@ def percentile_rank(df: DataFrame, x: str, tie: list[str], out: str, partitions:
 def with_group_total(df: DataFrame, by: list[str], value: Column, out: str) -> DataFrame:
     """Group sum on every row by aggregate and join back, so no group is gathered in one task."""
     totals = df.groupBy(*by).agg(F.sum(value).alias(out))
-    return df.join(totals, by)
+    return df.join(broadcast_if_small(totals), by)
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

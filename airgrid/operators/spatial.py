@@ -44,19 +44,24 @@ def pairs_within(
     crowded cell over several tasks.
     """
     step = math.degrees(radius_km / sphere_km) * (1 + 1e-9)
-    a = left.select(F.col(left_id).alias("_a"), F.col("lon").alias("_x1"), F.col("lat").alias("_y1"))
-    b = right.select(F.col(right_id).alias("_b"), F.col("lon").alias("_x2"), F.col("lat").alias("_y2"))
-    a = a.where(F.col("_x1").isNotNull() & F.col("_y1").isNotNull()).withColumn("_row", _lat_row(F.col("_y1"), step))
-    a = a.withColumn("_cell", F.floor(F.col("_x1") / _lon_width(F.col("_row"), step, radius_km, sphere_km)).cast("long"))
-    b = b.where(F.col("_x2").isNotNull() & F.col("_y2").isNotNull())
-    b = b.withColumn("_row", F.explode(F.transform(F.array(*[F.lit(i) for i in (-1, 0, 1)]),
-                                                   lambda i: _lat_row(F.col("_y2"), step) + i)))
-    b = b.withColumn("_width", _lon_width(F.col("_row"), step, radius_km, sphere_km))
+    known = F.col("lon").isNotNull() & F.col("lat").isNotNull()
+    row = _lat_row(F.col("lat"), step)
+    a = left.where(known).select(
+        F.col(left_id).alias("_a"), F.col("lon").alias("_x1"), F.col("lat").alias("_y1"), row.alias("_row"),
+        F.floor(F.col("lon") / _lon_width(row, step, radius_km, sphere_km)).cast("long").alias("_cell"),
+    )
+    around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    rows = F.transform(around, lambda i: F.struct((row + i).alias("_row"), _lon_width(row + i, step, radius_km, sphere_km).alias("_width")))
+    b = right.where(known).select(
+        F.col(right_id).alias("_b"), F.col("lon").alias("_x2"), F.col("lat").alias("_y2"), F.inline(rows)
+    )
     # Copies shifted by a full turn serve points on both sides of the date line.
-    b = b.withColumn("_turn", F.explode(F.array(*[F.lit(t) for t in (-360.0, 0.0, 360.0)])))
-    b = b.withColumn("_xt", F.col("_x2") + F.col("_turn")).where(F.abs(F.col("_xt")) <= 180 + F.col("_width"))
-    b = b.withColumn("_cell", F.explode(F.transform(F.array(*[F.lit(i) for i in (-1, 0, 1)]),
-                                                    lambda i: F.floor(F.col("_xt") / F.col("_width")).cast("long") + i)))
+    turns = F.filter(
+        F.array(*[F.col("_x2") + F.lit(t) for t in (-360.0, 0.0, 360.0)]), lambda x: F.abs(x) <= 180 + F.col("_width")
+    )
+    places = F.flatten(F.transform(turns, lambda x: F.transform(around, lambda i: F.struct(
+        x.alias("_xt"), (F.floor(x / F.col("_width")).cast("long") + i).alias("_cell")))))
+    b = b.select("_b", "_x2", "_y2", "_row", F.inline(places))
     keys = ["_row", "_cell"]
     if salts > 1:
         a = a.withColumn("_salt", F.pmod(F.xxhash64("_a"), F.lit(salts)).cast("int"))
@@ -64,10 +69,10 @@ def pairs_within(
         keys.append("_salt")
     gap = F.col("_x1") - F.col("_xt")
     d = geo.haversine_km(F.col("_x1"), F.col("_y1"), F.col("_x2"), F.col("_y2"), sphere_km)
-    near = a.join(b, keys).where((gap > -180) & (gap <= 180)).withColumn("distance_km", d)
-    near = near.where(F.col("distance_km") <= radius_km)
     right_out = right_id if right_id != left_id else right_id + "_to"
-    return near.select(F.col("_a").alias(left_id), F.col("_b").alias(right_out), "distance_km")
+    near = a.join(b, keys).where((gap > -180) & (gap <= 180))
+    near = near.select(F.col("_a").alias(left_id), F.col("_b").alias(right_out), d.alias("distance_km"))
+    return near.where(F.col("distance_km") <= radius_km)
 
 
 def planar_pairs_within(

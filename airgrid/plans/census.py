@@ -31,19 +31,6 @@ def education_bands(df: DataFrame, years: str = "educ_years", bands: dict | None
     return out
 
 
-def recode_single(c: Column, pairs: dict) -> Column:
-    """Exact code map; unlisted codes give NULL."""
-    return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])[c]
-
-
-def recode_later_wins(rules: list[tuple[Column, Column]]) -> Column:
-    """Rules as successive assignments: of all that apply the last one decides."""
-    out = F.lit(None)
-    for test, value in rules:
-        out = F.when(F.coalesce(test, F.lit(False)), value).otherwise(out)
-    return out
-
-
 def age_from_band(c: Column) -> Column:
     """Middle of a five-year age band numbered from 1."""
     return (c - 1) * 5 + 2.5

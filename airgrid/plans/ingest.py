@@ -124,13 +124,18 @@ def read_sao_paulo(spark: SparkSession, path: str, registry: DataFrame, level: i
     return rows.withColumn("_k", keys.normalize_key("station_name")).join(broadcast_if_small(reg), "_k").drop("_k")
 
 
-def ingest_panel(readings: DataFrame, config: CityConfig, secondary: DataFrame | None = None) -> DataFrame:
-    """Long readings to the wide panel of a city's years.
+def ingest_panel(readings: DataFrame, config: CityConfig, secondary: DataFrame | None = None,
+                 stations: DataFrame | None = None) -> DataFrame:
+    """Long readings to the wide panel of a city's years, optionally of registered stations only.
 
     A secondary source fills what the primary does not cover. Cities marked dense get a row for every
     hour of their calendar years, with the commonest code of each station attached.
     """
-    in_years = lambda df: df.where(F.year("datetime").isin(list(config.years)))
+
+    def in_years(df: DataFrame) -> DataFrame:
+        kept = df.where(F.year("datetime").isin(list(config.years)))
+        return kept if stations is None else only_listed(kept, stations)
+
     long = in_years(readings)
     if secondary is not None:
         long = pn.precedence_merge(long, in_years(secondary))

@@ -97,20 +97,19 @@ def flag_long(
     along = cell.orderBy("datetime")
     v = F.col("value")
     inner = year_month(dt) == F.col("ym")
-    rows = (
-        rows.withColumn("_lag", F.when(F.lag("datetime").over(along) == dt - F.expr(HOUR), F.lag("value").over(along)))
-        .withColumn("_lead", F.when(F.lead("datetime").over(along) == dt + F.expr(HOUR), F.lead("value").over(along)))
-        .withColumn("_own", F.when(inner, v))
-        .withColumn("_diff", F.when(inner, v - F.col("_lag")))
-        .withColumn("_d1", F.when(inner, v - F.col("nb1")))
-        .withColumn("_d2", F.when(inner, v - F.col("nb2")))
-    )
+    shifted = lambda f, gap: F.when(f("datetime").over(along) == gap, f("value").over(along))
+    rows = rows.withColumns({
+        "_lag": shifted(F.lag, dt - F.expr(HOUR)),
+        "_lead": shifted(F.lead, dt + F.expr(HOUR)),
+        "_own": F.when(inner, v),
+        "_d1": F.when(inner, v - F.col("nb1")),
+        "_d2": F.when(inner, v - F.col("nb2")),
+    }).withColumn("_diff", F.when(inner, v - F.col("_lag")))
     stats = {"_p": F.expr(f"percentile(_own, {float(pct_flag)})")}
     for name, c in (("t", "_diff"), ("1", "_d1"), ("2", "_d2")):
         stats["_m" + name] = F.avg(c)
         stats["_s" + name] = F.stddev_samp(c)
-    for name, agg in stats.items():
-        rows = rows.withColumn(name, agg.over(cell))
+    rows = rows.withColumns({name: agg.over(cell) for name, agg in stats.items()})
     return _classify(rows.where(inner), cell, n_sd, on_missing_temporal)
 
 
@@ -123,19 +122,14 @@ def _band(x: str, mean: str, sd: str, n_sd: float):
 def _classify(rows: DataFrame, cell, n_sd: float, on_missing_temporal: str) -> DataFrame:
     lag, lead, v = F.col("_lag"), F.col("_lead"), F.col("value")
     bench = F.coalesce((lag + lead) / 2, lag, lead)
-    rows = rows.withColumn("_flag", F.coalesce(v > F.col("_p"), F.lit(False))).withColumn("_b", v - bench)
+    rows = rows.withColumns({"_flag": F.coalesce(v > F.col("_p"), F.lit(False)), "_b": v - bench})
     _, calm = _band("_b", "_mt", "_st", n_sd)
     feas1, pass1 = _band("_d1", "_m1", "_s1", n_sd)
     feas2, pass2 = _band("_d2", "_m2", "_s2", n_sd)
     kind = F.when(bench.isNull(), 3).when(calm, 1).otherwise(2)
     failed = F.when(feas1, ~pass1).otherwise(feas2 & ~pass2)
     passed = F.when(feas1, pass1).otherwise(pass2)
-    rows = (
-        rows.withColumn("_kind", kind)
-        .withColumn("_none", ~feas1 & ~feas2)
-        .withColumn("_failed", failed)
-        .withColumn("_passed", passed)
-    )
+    rows = rows.withColumns({"_kind": kind, "_none": ~feas1 & ~feas2, "_failed": failed, "_passed": passed})
     k = F.col("_kind")
     rescued = F.col("_passed") & ((k == 2) | (k == 3) if on_missing_temporal == "continue" else k == 2)
     final = F.when(rescued, 1).otherwise(k)
@@ -157,18 +151,16 @@ def _classify(rows: DataFrame, cell, n_sd: float, on_missing_temporal: str) -> D
         "n_missing_spatial_sd": flagged & missing_s,
         "n_zero_spatial_sd": flagged & zero_s,
     }
-    rows = rows.withColumn("outlier_reason", F.when(flagged, reason).otherwise(0))
-    for name, test in counts.items():
-        rows = rows.withColumn(name, F.count_if(test).over(cell).cast("int"))
+    code = F.when(flagged, reason).otherwise(0)
     return rows.select(
         "pollutant",
         "station",
         "datetime",
         v.alias("raw_value"),
-        F.when(F.col("outlier_reason") == 0, v).alias("value"),
-        (F.col("outlier_reason") > 0).cast("int").alias("outlier"),
-        "outlier_reason",
-        *counts,
+        F.when(code == 0, v).alias("value"),
+        (code > 0).cast("int").alias("outlier"),
+        code.alias("outlier_reason"),
+        *[F.count_if(test).over(cell).cast("int").alias(name) for name, test in counts.items()],
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airgrid.functions.keys import recode_patterns, split_code_name
-from airgrid.functions.numbers import parse_number
+from airgrid.functions.numbers import mask_values, parse_number
 from airgrid.functions.times import add_hours, clamp_hour, date_plus_hour, parse_compact, parse_first
 from airgrid.session import require_columns
 
@@ -42,11 +42,8 @@ def read_numeric_csv(spark: SparkSession, path: str, columns: list[str], sep: st
     """Chosen columns as numbers with sentinel codes masked."""
     df = spark.read.csv(path, sep=sep, header=True, inferSchema=False)
     require_columns(df, columns, path)
-    cols = []
-    for c in columns:
-        x = F.col(c).try_cast("double")
-        cols.append(F.when(~x.isin([float(s) for s in sentinels]), x).alias(c))
-    return df.select(*cols)
+    codes = [float(s) for s in sentinels]
+    return df.select(*[mask_values(F.col(c).try_cast("double"), codes).alias(c) for c in columns])
 
 
 def clean_cell(c: Column) -> Column:
