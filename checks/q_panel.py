@@ -126,9 +126,9 @@ def _(s, d):
     return t.rnd(reshape.densify(t.panel(s, d)))
 
 
-@query("C13_missing_combinations", t.ctes("long_panel") + " SELECT a.station, b.year FROM (SELECT DISTINCT station FROM long_panel WHERE pm10 > 30) a, (SELECT DISTINCT year FROM long_panel WHERE pm10 > 30) b EXCEPT SELECT station, year FROM long_panel WHERE pm10 > 30")
+@query("C13_missing_combinations", t.ctes("long_panel") + " SELECT a.station, b.year FROM (SELECT DISTINCT station FROM long_panel WHERE pm10 > 60.5) a, (SELECT DISTINCT year FROM long_panel WHERE pm10 > 60.5) b EXCEPT SELECT station, year FROM long_panel WHERE pm10 > 60.5")
 def _(s, d):
-    return reshape.missing_combinations(t.long_panel(s, d).where("pm10 > 30"), "station", "year")
+    return reshape.missing_combinations(t.long_panel(s, d).where("pm10 > 60.5"), "station", "year")
 
 
 @query("F6_stack", """ SELECT s_suppkey AS k, s_acctbal AS balance, NULL AS segment FROM supplier UNION ALL SELECT c_custkey, c_acctbal, c_mktsegment FROM customer""")
