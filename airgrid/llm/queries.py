@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airgrid.llm import document_fingerprints, secret_scans, sentencepiece_nbest, token_counts, url_filters
-from airgrid.llm.common import table
+from airgrid.llm import best_fit_packing, document_fingerprints, exact_search, language_id, secret_scans, sentencepiece_nbest, token_counts, url_filters
+from airgrid.llm.common import table, written
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -43,6 +43,26 @@ def op5_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op6_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Token pieces of every document and their places in sequences of 4096."""
+    return best_fit_packing.pack(written(best_fit_packing.token_pieces(table(spark, folder, "documents"))))
+
+
+@query
+def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learned from the documents that are not held out."""
+    docs = table(spark, folder, "documents")
+    found = language_id.predict(docs.select("doc_id", "text"), language_id.learned(docs))
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "lang_set", "no_lang")
+
+
+@query
+def op8_exact_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 best inner products of every twentieth vector."""
+    return exact_search.top_k(exact_search.integer_vectors(table(spark, folder, "embeddings")))
+
+
 @query
 def op9_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     """Host, path, rule and verdict of every page."""
@@ -53,3 +73,15 @@ def op9_url_filters(spark: SparkSession, folder: str) -> DataFrame:
 def op10_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprints of every document and its edited text, with likenesses."""
     return document_fingerprints.fingerprints(table(spark, folder, "documents"))
+
+
+ORACLES["op8_exact_search"] = """
+WITH sound AS (
+  SELECT vec_id, min(list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 GROUP BY vec_id),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM sound q JOIN sound c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pairs)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
