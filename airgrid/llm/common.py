@@ -15,6 +15,8 @@ from airgrid.session import shared_folder
 
 #: Text that one vectorised step handles at a time.
 SLICE_BYTES = 1 << 20
+#: Rows up to which the small side of a join with whole texts is broadcast; they hold an id and a short list each.
+SMALL_ROWS = 300_000
 #: A fixed odd base and fixed random letters for hashes modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 LETTERS = np.random.default_rng(20240517).integers(1, 1 << 63, 257, dtype=np.uint64) | np.uint64(1)
@@ -35,6 +37,13 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_side(df: DataFrame, most: int | None = None) -> DataFrame:
+    """``df`` written out, with a hint to broadcast it if it holds at most ``most`` rows; else joins shuffle both sides."""
+    kept = written(df)
+    most = SMALL_ROWS if most is None else most
+    return F.broadcast(kept) if kept.limit(most + 1).count() <= most else kept
+
+
 def text_or_empty(name: str = "text") -> Column:
     """The text, null read as empty."""
     return F.coalesce(F.col(name), F.lit(""))

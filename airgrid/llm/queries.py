@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airgrid.llm import best_fit_packing, document_fingerprints, exact_search, language_id, secret_scans, sentencepiece_nbest, token_counts, url_filters
+from airgrid.llm import best_fit_packing, document_fingerprints, exact_search, language_id, ngram_join, secret_scans, sentencepiece_nbest, token_counts, url_filters
 from airgrid.llm.common import table, written
 
 QUERIES = {}
@@ -24,6 +24,12 @@ def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return sentencepiece_nbest.decode(sentencepiece_nbest.encode_nbest(docs)).withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
 
 
+@query
+def op3_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Shingle set size and component of every document."""
+    return ngram_join.jaccard_components(table(spark, folder, "documents"))
+
+
 @query
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Token count and score of every document."""
