@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airgrid.llm import best_fit_packing, document_fingerprints, exact_search, language_id, ngram_join, secret_scans, sentencepiece_nbest, token_counts, url_filters
+from airgrid.llm import best_fit_packing, document_fingerprints, exact_search, language_id, ngram_join, secret_scans, sentencepiece_nbest, suffix_dedup, token_counts, url_filters
 from airgrid.llm.common import table, written
 
 QUERIES = {}
@@ -24,6 +24,13 @@ def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return sentencepiece_nbest.decode(sentencepiece_nbest.encode_nbest(docs)).withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
 
 
+@query
+def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes that each document loses to passages of 400 bytes found elsewhere."""
+    found = suffix_dedup.dedup(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @query
 def op3_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     """Shingle set size and component of every document."""
