@@ -4,8 +4,8 @@
 2. Classes that share a minimum meet the first of them; those similar enough are linked, which gathers groups of similar
    documents in time linear in their number.
 3. A token-group matrix holds, for each group, the union of its members' leading tokens. Two similar sets share one of
-   their leading tokens, in any order of tokens common to all; frequent tokens come last in it. Two groups that
-   share none aren't compared.
+   their leading tokens, in any order of tokens common to all; frequent tokens come last in it. How many they share at
+   least follows from their sizes. Two groups that share fewer, or of unlike sizes, aren't compared.
 4. For the other pairs the queries of one group meet blocks of the other. A block's union bounds the overlap with any member;
    only blocks that pass are opened and compared in full.
 Shingles are 64-bit hashes; two that differ are taken as equal with odds of 2**-64.
@@ -165,10 +165,17 @@ def _leading_tokens(docs: DataFrame, frequent: np.ndarray, words: int, least: in
 def _group_links(docs: DataFrame, members: DataFrame, matrix: DataFrame, words: int, least: int, of: int) -> DataFrame:
     """Links (a, b) between documents of different groups; one for each query and block of a group is enough."""
     left, right = matrix.select("token", F.col("grp").alias("g")), matrix.select("token", F.col("grp").alias("h"))
-    meet = written(left.join(right, "token").where("g < h").select("g", "h").distinct())
-    sizes = members.groupBy("grp").agg(F.count("*").alias("n"))
-    small, large = sizes.select(F.col("grp").alias("g"), F.col("n").alias("n_g")), sizes.select(F.col("grp").alias("h"), F.col("n").alias("n_h"))
-    meet = meet.join(small, "g").join(large, "h")
+    meet = left.join(right, "token").where("g < h").groupBy("g", "h").agg(F.count("*").alias("shared"))
+    sizes = members.groupBy("grp").agg(F.count("*").alias("n"), F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"))
+    meet = meet.join(sizes.select(*[F.col(c).alias(f"{c}_g") for c in ("n", "lo", "hi")], F.col("grp").alias("g")), "g")
+    meet = meet.join(sizes.select(*[F.col(c).alias(f"{c}_h") for c in ("n", "lo", "hi")], F.col("grp").alias("h")), "h")
+
+    def demand(hi: str, lo: str):
+        """Leading tokens that a set of ``hi`` shingles shares at least with a similar one of ``lo``, if its own end first."""
+        return F.expr(f"1 - ceil({least} * {hi} / {of}) + ceil({least} * ({hi} + {lo}) / {of + least})")
+
+    meet = meet.where((F.col("lo_g") * least <= F.col("hi_h") * of) & (F.col("lo_h") * least <= F.col("hi_g") * of))
+    meet = meet.where(F.col("shared") >= F.least(demand("hi_g", "lo_h"), demand("hi_h", "lo_g")))
     turned = F.col("n_g") > F.col("n_h")
     meet = meet.select(F.when(turned, F.col("h")).otherwise(F.col("g")).alias("asks"), F.when(turned, F.col("g")).otherwise(F.col("h")).alias("grp"), F.ceil(F.greatest("n_g", "n_h") / BLOCK_ROWS).cast("int").alias("blocks"))
     asked = written(meet)
@@ -204,13 +211,13 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     facts = written(_facts(source, words))
     sized = facts.where("token is null")
     known = sized.where("n_shingles > 0 and doc_id is not null")
-    classes = written(known.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), *(F.min(m).alias(m) for m in ("m0", "m1", "m2"))))
+    classes = written(known.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), *(F.min(m).alias(m) for m in ("m0", "m1", "m2"))))
     top = facts.where("token is not null").groupBy("token").agg(F.sum("n_shingles").alias("n")).orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).select("token").toPandas()
     frequent = np.sort(top["token"].to_numpy(np.int64).view(np.uint64))
     stars = _star_links(source, classes, words, least, of)
     groups = components(stars)
-    members = written(classes.select(F.col("rep").alias("doc_id")).join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("grp")).distinct())
-    tokens = _leading_tokens(source, frequent, words, least, of).join(members, "doc_id")
+    members = written(classes.select(F.col("rep").alias("doc_id"), "n_shingles").join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("grp")))
+    tokens = _leading_tokens(source, frequent, words, least, of).join(members.drop("n_shingles"), "doc_id")
     matrix = tokens.select(F.explode("tokens").alias("token"), "grp").distinct()
     links = _group_links(source, members, matrix, words, least, of)
     whole = written(components(stars.union(links)))
