@@ -131,8 +131,8 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     ))
     buckets = written(known.where("place = 1").select("bucket"))
     links = _lower_neighbours(buckets, "bucket")
-    top = buckets.agg(F.max("bucket").alias("top"))
-    links = links.join(top, links.lower.isNull(), "left").select("bucket", F.coalesce("lower", "top").alias("lower"))
+    top = buckets.agg(F.max("bucket")).first()[0]
+    links = links.select("bucket", F.coalesce("lower", F.lit(top).cast("long")).alias("lower"))
     heads = known.where("place = 1").select(F.col("bucket").alias("lower"), F.col("edge").alias("head"), F.col("own").alias("head_own"))
     tails = known.where("last").drop("edited_sha256", "changed", "following").join(links, "bucket").join(heads, "lower")
     other = edited(F.col("edge"), F.col("head"))
