@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -24,7 +25,7 @@ END = 1
 #: Pieces that one partition packs, and rounds in which partitions exchange pieces.
 PARTITION_ROWS, ROUNDS = 8192, 4
 #: Distinct words that a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 250_000
+REMEMBERED = 600_000
 
 
 class WordIds(dict):
@@ -32,6 +33,7 @@ class WordIds(dict):
 
     def __init__(self, path: str):
         super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.forget()
 
@@ -54,7 +56,7 @@ class WordIds(dict):
             rows.append(np.fromiter(map(self.__getitem__, words), np.int64, len(words)))
         fresh = list(itertools.islice(self, known, None))
         if fresh:
-            ids = [x.ids for x in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
+            ids = [x.ids for k in range(0, len(fresh), 500) for x in self.tokenizer.encode_batch_fast(fresh[k : k + 500], add_special_tokens=False)]
             size = np.fromiter(map(len, ids), np.int64, len(ids))
             self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
             self.size = np.concatenate([self.size, size])
