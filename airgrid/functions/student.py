@@ -15,14 +15,15 @@ from pyspark.sql import types as T
 # Tasks get the functions themselves, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+NODES, WEIGHTS = np.polynomial.legendre.leggauss(64)
+
 
 def _upper_half(t: float, df: float) -> float:
     """P(0 < T < t) by Gauss-Legendre quadrature of the density in the angle atan(t / sqrt(df))."""
     angle = math.atan(t / math.sqrt(df))
-    nodes, weights = np.polynomial.legendre.leggauss(64)
-    theta = angle * (nodes + 1) / 2
+    theta = angle * (NODES + 1) / 2
     scale = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(math.pi)
-    return scale * float(np.sum(weights * np.cos(theta) ** (df - 1))) * angle / 2
+    return scale * float(np.sum(WEIGHTS * np.cos(theta) ** (df - 1))) * angle / 2
 
 
 def t_quantile_value(p: float, df: float) -> float:

@@ -118,10 +118,16 @@ def nearest(
     """The k nearest right points of every left point with their rank; ties go to the smaller id.
 
     The radius doubles until every left point has k partners or the sphere is covered. A point leaves
-    the search once its k partners lie inside the radius, so the answer is exact.
+    the search once its k partners lie inside the radius, so the answer is exact. Points without
+    coordinates have no partners and take no part; if fewer than k right points are known, the whole
+    sphere is searched at once.
     """
     right_out = right_id if right_id != left_id else right_id + "_to"
-    pending, found, radius = left, None, start_km
+    known = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    pending, found, radius = left.where(known), None, start_km
+    right = right.where(known)
+    if right.limit(k).count() < k:
+        radius = HALF_TURN_KM
     while True:
         last = radius >= HALF_TURN_KM
         near = pairs_within(pending, right, left_id, right_id, min(radius, HALF_TURN_KM))
@@ -135,7 +141,7 @@ def nearest(
         found = ranked if found is None else found.unionByName(ranked)
         if last:
             return found
-        pending = pending.join(ranked.select(left_id).distinct(), left_id, "left_anti")
+        pending = reliable_checkpoint(pending.join(ranked.select(left_id).distinct(), left_id, "left_anti"))
         if pending.isEmpty():
             return found
         radius *= 2

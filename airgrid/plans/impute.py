@@ -136,7 +136,7 @@ def impute_pooled(panel: DataFrame, pollutant: str, station: str = "station") ->
     heat = OneHotEncoder(inputCols=["si", "month", "weekday", "hour"], outputCols=["sv", "mv", "dv", "hv"], handleInvalid="keep")
     pairs = [Interaction(inputCols=[a, b], outputCol=a + b) for a, b in (("mv", "dv"), ("hv", "dv"), ("mv", "hv"))]
     parts = VectorAssembler(inputCols=["o", "om", "sv", "mv", "dv", "hv", "mvdv", "hvdv", "mvhv"], outputCol="features")
-    model = LinearRegression(featuresCol="features", labelCol="value", predictionCol="prediction", regParam=0.0)
+    model = LinearRegression(featuresCol="features", labelCol="value", predictionCol="prediction", regParam=0.0, solver="normal")
     fitted = Pipeline(stages=[index, heat, *pairs, parts, model]).fit(train)
     predicted = fitted.transform(feats).select(F.col("station").alias("_id"), "datetime", F.col("prediction").alias("_p"))
     base = panel.withColumn("_id", slug(station)).withColumn("_x", finite(F.col(pollutant)))

@@ -111,3 +111,12 @@ def test_text_coordinates(spark):
 def test_utm_zone(spark):
     df = spark.createDataFrame([(-74.0, 4.6), (-99.1, 19.4), (-70.6, -33.5), (-46.6, -23.5)], "lon double, lat double")
     assert [r.z for r in df.select(geo.utm_epsg(F.col("lon"), F.col("lat")).alias("z")).collect()] == [32618, 32614, 32719, 32723]
+
+
+def test_nearest_leaves_unknown_points_out(spark):
+    from airgrid.operators.spatial import nearest
+
+    left = spark.createDataFrame([("a", 4.6, -74.1), ("b", None, -74.0), ("c", 4.7, None)], "u string, lat double, lon double")
+    right = spark.createDataFrame([("s", 4.61, -74.1), ("t", None, None)], "v string, lat double, lon double")
+    assert [(r.u, r.v) for r in nearest(left, right, "u", "v").collect()] == [("a", "s")]
+    assert [(r.u, r.v) for r in nearest(left, right, "u", "v", k=2).collect()] == [("a", "s")]
