@@ -5,21 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-PAIR = r"(-?\d+(?:[.,]\d+)?)\s*([ns])[^\d-]*(-?\d+(?:[.,]\d+)?)\s*([eow])"
+#: A magnitude and the letter of its hemisphere.
+HALF = r"(-?\d+(?:[.,]\d+)?)\s*([neosw])"
 
 
 def _number(text: Column) -> Column:
     return F.replace(text, F.lit(","), F.lit(".")).try_cast("double")
 
 
+def _angle(text: Column, letters: str, negative: str) -> Column:
+    """First angle of ``text`` whose hemisphere is one of ``letters``; those in ``negative`` turn it below zero."""
+    found = F.arrays_zip(
+        F.regexp_extract_all(text, F.lit(HALF), F.lit(1)).alias("size"), F.regexp_extract_all(text, F.lit(HALF), F.lit(2)).alias("half")
+    )
+    own = F.get(F.filter(found, lambda x: F.contains(F.lit(letters), x["half"])), F.lit(0))
+    size = _number(own["size"])
+    return F.when(F.contains(F.lit(negative), own["half"]), -F.abs(size)).otherwise(size)
+
+
 def text_lat_lon(c: str | Column) -> tuple[Column, Column]:
-    """``20.06 N, 99.22 O`` to (lat, lon); south, west and O are negative."""
+    """``20.06 N, 99.22 O`` to (lat, lon), in either order; south, west and O are negative."""
     text = F.lower(F.col(c) if isinstance(c, str) else c)
-    part = lambda i: F.regexp_extract(text, PAIR, i)
-    lat, lon = _number(part(1)), _number(part(3))
-    lat = F.when(part(2) == "s", -F.abs(lat)).otherwise(lat)
-    lon = F.when(part(4).isin("o", "w"), -F.abs(lon)).otherwise(lon)
-    return lat, lon
+    return _angle(text, "ns", "s"), _angle(text, "eow", "ow")
 
 
 def text_altitude(c: str | Column) -> Column:
@@ -29,20 +36,19 @@ def text_altitude(c: str | Column) -> Column:
 
 
 def utm_from_text(c: str | Column) -> tuple[Column, Column]:
-    """Easting and northing: leading digits and digits before a final N, else the first two numbers."""
-    text = F.col(c) if isinstance(c, str) else c
-    parts = F.split(text, r"\D+")
-    x = F.coalesce(F.nullif(F.regexp_extract(text, r"^(\d+)", 1), F.lit("")), F.get(parts, F.lit(0)))
-    y = F.coalesce(F.nullif(F.regexp_extract(text, r"(\d+)(?=\s*N$)", 1), F.lit("")), F.get(parts, F.lit(1)))
-    return x.try_cast("double"), y.try_cast("double")
+    """Easting and northing: the first number, and the last one of a text that ends in N, else the second."""
+    text = F.trim(F.col(c) if isinstance(c, str) else c)
+    numbers = F.regexp_extract_all(text, F.lit(r"\d+"), F.lit(0))
+    north = F.when(F.endswith(text, F.lit("N")), F.try_element_at(numbers, F.lit(-1))).otherwise(F.get(numbers, F.lit(1)))
+    return F.get(numbers, F.lit(0)).try_cast("double"), north.try_cast("double")
 
 
 def shifted_utm(x: str, y: str, zone: str) -> tuple[Column, Column]:
-    """Repair of rows whose columns slipped: six digits are an easting, seven a northing."""
+    """Repair of rows whose columns slipped: six whole digits are an easting, seven a northing."""
 
     def pick(digits: int, order: list[str]) -> Column:
-        hit = lambda c: F.when(F.col(c).rlike(rf"^\d{{{digits}}}(\.\d+)?$"), F.col(c).try_cast("double"))
-        return F.coalesce(*[hit(c) for c in order])
+        values = F.array(*[F.col(c).try_cast("double") for c in order])
+        return F.get(F.filter(values, lambda v: (v >= 10.0 ** (digits - 1)) & (v < 10.0**digits)), F.lit(0))
 
     return pick(6, [x, y, zone]), pick(7, [y, zone, x])
 

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airgrid.functions import keys, times
-from airgrid.operators.ordered import modal_value
-from airgrid.operators.reshape import densify, to_long
+from airgrid.operators.ordered import first_by, modal_value
+from airgrid.operators.reshape import to_long
 from airgrid.plans import panel as pn
 from airgrid.session import broadcast_if_small
 from airgrid.sources import readers
@@ -156,13 +156,21 @@ def calendar_grid(wide: DataFrame) -> DataFrame:
 
 
 def prepare_legacy(readings: DataFrame, exact: dict[str, str], start: str, end: str) -> DataFrame:
-    """Older panel rules: date plus hour with 24 rolling over, synonyms, one row per key, dense hours."""
+    """Older panel rules: date plus hour with 24 rolling over, synonyms, one whole row per key, calendar years.
+
+    Of rows with one (station, hour) the first by written date, hour and values stays as it is. Each station
+    gets every hour from 1 January of the first to 31 December of the last year of the range.
+    """
     stamped = readings.withColumn("datetime", times.date_plus_hour(F.col("date"), F.col("hour")))
     named = stamped.withColumn("station", keys.recode_exact(keys.normalize_station("station"), exact))
     kept = named.where(times.in_range("datetime", start, end))
     value_cols = [c for c in kept.columns if c not in ("station", "datetime", "date", "hour")]
-    single = kept.groupBy("station", "datetime").agg(*[F.min(c).alias(c) for c in value_cols])
-    return densify(single, per_year=False)
+    single = first_by(kept, ["station", "datetime"], ["date", "hour", *value_cols]).drop("date", "hour")
+    first, last = F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz") - F.expr("INTERVAL 1 HOUR")
+    opening = F.make_date(F.year(first), F.lit(1), F.lit(1)).cast("timestamp_ntz")
+    closing = F.make_date(F.year(last), F.lit(12), F.lit(31)).cast("timestamp_ntz") + F.expr("INTERVAL 23 HOURS")
+    grid = single.select("station").distinct().withColumn("datetime", F.explode(F.sequence(opening, closing, F.expr("INTERVAL 1 HOUR"))))
+    return grid.join(single, ["station", "datetime"], "left").withColumn("year", F.year("datetime"))
 
 
 register_city(CityConfig("bogota", list(range(2000, 2024)), read=read_bogota_primary))

@@ -23,11 +23,16 @@ def widen(readings: DataFrame, params: dict[str, list[str]], station: str = "sta
     return readings.groupBy(station, "datetime").agg(*cols).withColumn("year", F.year("datetime"))
 
 
+#: Label of an hour that the primary source covers without a value.
+NOT_FILLED = "primary (hour missing, not filled)"
+
+
 def precedence_merge(primary: DataFrame, secondary: DataFrame) -> DataFrame:
     """Merge two sources hour by hour.
 
     Where the primary source covers a (station, year, param) with any value, it decides every hour of
-    it, NULLs included; elsewhere the secondary source does.
+    it, NULLs included; elsewhere the secondary source does. ``source`` tells hours that the primary
+    source decides without a value apart.
     """
     keys = ["station", "datetime", "param"]
     a = mean_duplicates(primary, keys).withColumnRenamed("value", "_first")
@@ -44,7 +49,7 @@ def precedence_merge(primary: DataFrame, secondary: DataFrame) -> DataFrame:
         *keys,
         "year",
         F.when(use_first, F.col("_first")).otherwise(F.col("_second")).alias("value"),
-        F.when(use_first, F.lit("primary")).otherwise(F.lit("secondary")).alias("source"),
+        F.when(use_first & F.col("_first").isNull(), F.lit(NOT_FILLED)).when(use_first, F.lit("primary")).otherwise(F.lit("secondary")).alias("source"),
     )
 
 

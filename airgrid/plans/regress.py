@@ -129,12 +129,11 @@ def group_share(cells: DataFrame) -> DataFrame:
 def fit_gaps(cells: DataFrame, groups: list[int], base: int, se_type: str, conf_level: float | None) -> DataFrame:
     """Gap of every group to the base with its standard error and interval.
 
-    A group without cells keeps its row with NULLs and still counts as a coefficient.
+    A group without cells in an outcome gets no row there and is no coefficient of it (``n_coef``).
 
     ``cells`` holds one row per (outcome, geo_id, group) with y and w. With ``conf_level=None`` the
     interval columns are left out.
     """
-    k = len(groups)
     means = cells.groupBy("outcome", "group").agg(wmean("y", "w").alias("_mu"), F.sum("w").alias("_W"))
     e = cells.join(F.broadcast(means), ["outcome", "group"]).withColumn("_e", F.col("y") - F.col("_mu"))
     score = F.col("w") * F.col("_e") / F.col("_W")
@@ -148,31 +147,33 @@ def fit_gaps(cells: DataFrame, groups: list[int], base: int, se_type: str, conf_
         F.count(F.lit(1)).alias("n_clusters"),
         F.sum("_rss").alias("_rss"),
         *[F.sum(F.pow(F.col(f"_s{g}") - F.col(f"_s{base}"), F.lit(2.0))).alias(f"_v{g}") for g in groups],
-    ).where(F.col("n_units") >= k)
+    )
     stats = means.groupBy("outcome").agg(
+        F.count_if(F.col("group").isin(groups)).cast("int").alias("n_coef"),
         *[F.max(F.when(F.col("group") == g, F.col("_mu"))).alias(f"_mu{g}") for g in groups],
         *[F.max(F.when(F.col("group") == g, F.col("_W"))).alias(f"_W{g}") for g in groups],
     )
-    rows = model.join(F.broadcast(stats), "outcome")
-    n, g_n = F.col("n_units"), F.col("n_clusters")
+    n, g_n, k = F.col("n_units"), F.col("n_clusters"), F.col("n_coef")
+    rows = model.join(F.broadcast(stats), "outcome").where(n >= k)
     if se_type == "cluster_geo":
-        factor = ratio(g_n, g_n - 1.0) * ratio(n - 1.0, n - F.lit(float(k)))
+        factor = ratio(g_n, g_n - 1.0) * ratio(n - 1.0, (n - k).cast("double"))
         se = lambda g: F.when(g_n > k, F.sqrt(factor * F.col(f"_v{g}")))
         dof = g_n - 1
     else:
-        sigma2 = ratio(F.col("_rss"), n - F.lit(float(k)))
+        sigma2 = ratio(F.col("_rss"), (n - k).cast("double"))
         se = lambda g: F.sqrt(sigma2 * (1 / F.col(f"_W{g}") + 1 / F.col(f"_W{base}")))
         dof = n - k
     per_group = F.array(*[
         F.struct(
             F.lit(g).alias("group"),
+            F.col(f"_W{g}").isNotNull().alias("_present"),
             (F.lit(0.0) if g == base else F.col(f"_mu{g}") - F.col(f"_mu{base}")).alias("estimate"),
             (F.lit(0.0) if g == base else F.when(F.col(f"_mu{g}").isNotNull(), se(g))).alias("std_error"),
         )
         for g in groups
     ])
-    out = rows.select("outcome", "n_units", "n_clusters", dof.alias("_dof"), F.explode(per_group).alias("r"))
-    out = out.select("outcome", "r.*", "n_units", "n_clusters", "_dof").withColumn("n_coef", F.lit(k))
+    out = rows.select("outcome", "n_units", "n_clusters", dof.alias("_dof"), "n_coef", F.explode(per_group).alias("r"))
+    out = out.where("r._present").select("outcome", "r.*", "n_units", "n_clusters", "_dof", "n_coef").drop("_present")
     if conf_level is not None:
         crit = t_quantile(1 - (1 - conf_level) / 2, F.col("_dof"))
         out = out.withColumn("_half", F.when(F.col("std_error") == 0, F.lit(0.0)).otherwise(crit * F.col("std_error")))

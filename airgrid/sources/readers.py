@@ -119,44 +119,76 @@ def read_marker_files(spark: SparkSession, path: str, level: int = -1) -> DataFr
     return out.where(F.col("datetime").isNotNull() & F.col("value").isNotNull())
 
 
-def read_station_reports(spark: SparkSession, path: str, params: list[tuple[str, str]], level: int = -1) -> DataFrame:
-    """Report files with station name and code in header lines and parameter names under ``Data;Hora``.
-
-    ``params`` are (pattern, code) rules tried in order on the upper-case parameter names. Gives (file,
-    station_name, station_code, datetime, param, value); files without a data block give no rows.
-    """
+def _report_files(spark: SparkSession, path: str, level: int) -> DataFrame:
+    """Report files with their header fields, the line of ``Data;Hora`` (``_h``), its delimiter and the parameter names."""
     f = read_files(spark, path, level=level)
     lines = F.col("lines")
-    delim = F.when(F.exists(F.slice(lines, 1, 15), lambda x: x.contains(";")), ";").otherwise("\t")
 
     def header(pattern: str) -> Column:
         line = F.get(F.filter(lines, lambda x: x.rlike(pattern)), F.lit(0))
         return F.trim(F.regexp_replace(F.regexp_replace(line, r"(?i)^.*?esta..o[^0-9a-zA-Z]*", ""), "[:;\t]", " "))
 
-    f = (
-        f.withColumn("station_code", header(r"(?i)C.digo da esta..o"))
-        .withColumn("station_name", header(r"(?i)Nome da esta..o"))
-        .withColumn("_d", delim)
-        .withColumn("_h", _first_line(lines, r"(?i)^Data\s*[;\t]\s*Hora"))
-        .where(F.col("station_code").isNotNull() & F.col("station_name").isNotNull() & (F.col("_h") > 0))
-        .withColumn("_p", F.split(F.get(lines, F.col("_h").cast("int")), F.col("_d")))
-    )
-    rows = f.select("file", "station_name", "station_code", "_d", "_p", "_h", F.posexplode("lines").alias("i", "line"))
+    f = f.withColumn("station_code", header(r"(?i)C.digo da esta..o")).withColumn("station_name", header(r"(?i)Nome da esta..o"))
+    f = f.withColumn("_h", _first_line(lines, r"(?i)^Data\s*[;\t]\s*Hora"))
+    f = f.withColumn("_d", F.when(F.get(lines, (F.col("_h") - 1).cast("int")).contains(";"), ";").otherwise("\t"))
+    whole = F.col("station_code").isNotNull() & F.col("station_name").isNotNull() & (F.col("_h") > 0)
+    return f.withColumn("_p", F.split(F.get(lines, F.col("_h").cast("int")), F.col("_d"))).withColumn("_whole", whole)
+
+
+def _report_lines(files: DataFrame) -> DataFrame:
+    rows = files.where("_whole").select("file", "station_name", "station_code", "_d", "_p", "_h", F.posexplode("lines").alias("i", "line"))
     rows = rows.where((F.col("i") > F.col("_h")) & (F.trim("line") != ""))
-    cells = rows.withColumn("_c", F.split("line", F.col("_d")))
-    long = cells.select(
-        "file", "station_name", "station_code", "_p",
+    return rows.withColumn("_c", F.split("line", F.col("_d"))).withColumn("line", F.col("i") + 1)
+
+
+def _report_cells(lines: DataFrame, params: list[tuple[str, str]]) -> DataFrame:
+    """Every cell behind day and clock, parsed or not."""
+    long = lines.select(
+        "file", "station_name", "station_code", "_p", "line",
         F.get("_c", F.lit(0)).alias("day"), F.get("_c", F.lit(1)).alias("clock"), F.posexplode("_c").alias("j", "cell"),
     ).where(F.col("j") >= 2)
     name = F.trim(F.get("_p", F.col("j")))
     hour = F.regexp_replace("clock", ":.*$", "").try_cast("int")
-    out = long.select(
+    return long.select(
         "file", "station_name", "station_code",
         date_plus_hour(parse_first("day", ["dd/MM/yyyy"]), hour).alias("datetime"),
         recode_patterns(F.when(name != "", F.upper(name)), params).alias("param"),
         parse_number("cell", ",").alias("value"),
+        "line", F.col("j").alias("cell"),
+    )
+
+
+def read_station_reports(spark: SparkSession, path: str, params: list[tuple[str, str]], level: int = -1) -> DataFrame:
+    """Report files with station name and code in header lines and parameter names under ``Data;Hora``.
+
+    ``params`` are (pattern, code) rules tried in order on the upper-case parameter names. Gives (file,
+    station_name, station_code, datetime, param, value); what gives no row is in :func:`station_report_rejects`.
+    """
+    cells = _report_cells(_report_lines(_report_files(spark, path, level)), params)
+    return cells.drop("line", "cell").dropna(subset=["datetime", "param", "value"])
+
+
+def station_report_rejects(spark: SparkSession, path: str, params: list[tuple[str, str]], level: int = -1) -> DataFrame:
+    """Files, lines and cells that :func:`read_station_reports` gives no row for: (file, line, cell, reason).
+
+    ``line`` counts from 1 and ``cell`` from 0; they are NULL where a whole file or line is meant. Rows and
+    rejected cells together are all cells of all readable lines.
+    """
+    files = _report_files(spark, path, level)
+    none = F.lit(None).cast("int")
+    lost_files = files.where("not _whole").select(
+        "file", none.alias("line"), none.alias("cell"),
+        F.when(F.col("_h") > 0, F.lit("no station name or code")).otherwise(F.lit("no data block")).alias("reason"),
+    )
+    lines = _report_lines(files)
+    lost_lines = lines.where(F.size("_c") < 3).select("file", "line", none.alias("cell"), F.lit("no cells").alias("reason"))
+    reason = (
+        F.when(F.col("param").isNull(), F.lit("unknown parameter"))
+        .when(F.col("datetime").isNull(), F.lit("unreadable time"))
+        .when(F.col("value").isNull(), F.lit("missing or unreadable value"))
     )
-    return out.dropna(subset=["datetime", "param", "value"])
+    cells = _report_cells(lines, params).select("file", "line", "cell", reason.alias("reason")).where(F.col("reason").isNotNull())
+    return lost_files.union(lost_lines).union(cells)
 
 
 QUOTED_COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'

@@ -204,7 +204,7 @@ def _(s, d):
 
 @query("K19_legacy_preparation", t.ctes("readings") + """, x AS (SELECT CASE station WHEN 'ST01' THEN 'ALPHA' ELSE station END AS station, datetime + INTERVAL 1 HOUR AS datetime, value FROM readings),
  k AS (SELECT station, datetime, min(value) AS value FROM x WHERE datetime >= TIMESTAMP '2024-01-03' AND datetime < TIMESTAMP '2024-01-28' GROUP BY 1, 2),
- g AS (SELECT station, unnest(generate_series((SELECT min(datetime) FROM k), (SELECT max(datetime) FROM k), INTERVAL 1 HOUR)) AS datetime FROM (SELECT DISTINCT station FROM k))
+ g AS (SELECT station, unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-12-31 23:00:00', INTERVAL 1 HOUR)) AS datetime FROM (SELECT DISTINCT station FROM k))
  SELECT g.station, g.datetime, CAST(year(g.datetime) AS INTEGER) AS year, value FROM g LEFT JOIN k ON k.station = g.station AND k.datetime = g.datetime""")
 def _(s, d):
     r = t.readings(s, d).select("station", F.to_date("datetime").alias("date"), (F.hour("datetime") + 1).alias("hour"), "value")

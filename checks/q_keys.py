@@ -131,23 +131,25 @@ def _id_tables(s, d):
     return geo, census
 
 
-@query("H12_reconcile_ids", IDS + """, todo AS (SELECT geo_id FROM geo WHERE geo_id NOT IN (SELECT geo_id FROM census)), ws AS (SELECT DISTINCT length(geo_id) AS w FROM census),
+REPAIRS = IDS + """, todo AS (SELECT geo_id FROM geo WHERE geo_id NOT IN (SELECT geo_id FROM census)), ws AS (SELECT DISTINCT length(geo_id) AS w FROM census),
  cand AS (SELECT t.geo_id, 'left' AS rule, repeat('0', w - length(t.geo_id)) || t.geo_id AS c FROM todo t, ws WHERE w > length(t.geo_id)
   UNION ALL SELECT t.geo_id, 'right', t.geo_id || repeat('0', w - length(t.geo_id)) FROM todo t, ws WHERE w > length(t.geo_id)
   UNION ALL SELECT geo_id, 'strip', regexp_replace(geo_id, '^0+', '') FROM todo WHERE regexp_replace(geo_id, '^0+', '') NOT IN ('', geo_id)),
- hit AS (SELECT geo_id, min(c) AS repaired, min(rule) AS rule FROM cand WHERE c IN (SELECT geo_id FROM census) GROUP BY 1 HAVING count(DISTINCT c) = 1)
+ hit AS (SELECT geo_id, min(c) AS repaired, min(rule) AS rule FROM cand WHERE c IN (SELECT geo_id FROM census) GROUP BY 1 HAVING count(DISTINCT c) = 1)"""
+
+
+@query("H12_reconcile_ids", REPAIRS + """
  SELECT g.geo_id AS original, coalesce(h.repaired, g.geo_id) AS repaired, h.rule FROM geo g LEFT JOIN hit h ON g.geo_id = h.geo_id""")
 def _(s, d):
     return ids.reconcile_ids(*_id_tables(s, d))
 
 
-@query("H12_apply_repairs", IDS + " SELECT count(*) AS n, count(*) FILTER (x LIKE '0%') AS n_zero FROM (SELECT CASE WHEN o_custkey % 5 = 0 THEN '00' || CAST(o_custkey AS VARCHAR) ELSE CAST(o_custkey AS VARCHAR) END AS x FROM orders)")
+@query("H12_apply_repairs", REPAIRS + """, raw AS (SELECT CASE WHEN o_custkey % 5 = 0 THEN '00' || CAST(o_custkey AS VARCHAR) ELSE CAST(o_custkey AS VARCHAR) END AS x FROM orders)
+ SELECT coalesce(h.repaired, x) AS geo_id, count(*) AS n FROM raw LEFT JOIN hit h ON h.geo_id = x GROUP BY 1""")
 def _(s, d):
     geo, census = _id_tables(s, d)
-    rep = ids.reconcile_ids(geo, census)
-    back = rep.select(F.col("repaired").alias("original"), F.col("original").alias("repaired"))
-    fixed = ids.apply_repairs(ids.apply_repairs(geo, rep), back)
-    return fixed.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("geo_id").startswith("0")).alias("n_zero"))
+    fixed = ids.apply_repairs(geo, ids.reconcile_ids(geo, census))
+    return fixed.groupBy("geo_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("H13_hierarchical_repair", """WITH census AS (SELECT DISTINCT rpad(CAST(10 + c_custkey // 3 AS VARCHAR), 8, '0') AS c FROM customer),

@@ -50,7 +50,7 @@ def _(s, d):
  j AS (SELECT coalesce(a.station, b.station) AS station, coalesce(a.datetime, b.datetime) AS datetime, coalesce(a.param, b.param) AS param, a.v AS av, b.v AS bv
    FROM a FULL JOIN b ON a.station = b.station AND a.datetime = b.datetime AND a.param = b.param)
  SELECT j.station, j.datetime, j.param, CAST(year(j.datetime) AS INTEGER) AS year, round(CASE WHEN cov.y IS NOT NULL THEN av ELSE bv END, 6) AS value,
-  CASE WHEN cov.y IS NOT NULL THEN 'primary' ELSE 'secondary' END AS source FROM j LEFT JOIN cov ON cov.station = j.station AND cov.y = year(j.datetime) AND cov.param = j.param""")
+  CASE WHEN cov.y IS NULL THEN 'secondary' WHEN av IS NULL THEN 'primary (hour missing, not filled)' ELSE 'primary' END AS source FROM j LEFT JOIN cov ON cov.station = j.station AND cov.y = year(j.datetime) AND cov.param = j.param""")
 def _(s, d):
     a, b = two_sources(s, d)
     return t.rnd(pn.precedence_merge(a.where("station <> 'ST03'"), b))

@@ -82,9 +82,11 @@ def test_several_years_average(spark):
     assert run(spark, two, normalized=False, years=[2023])[1].estimate == pytest.approx(1.7 - 1.1)
 
 
-def test_empty_group_is_a_null_row(spark):
-    rows = run(spark, groups=(1, 2, 3), base=2, normalized=False)
-    assert rows[3].estimate is None and rows[3].std_error is None
+def test_empty_group_has_no_row_and_no_coefficient(spark):
+    rows = run(spark, groups=(1, 2, 3, 4), base=2, normalized=False)
+    plain = run(spark, groups=(1, 2), base=2, normalized=False)
+    assert set(rows) == {1, 2} and rows[1].n_coef == 2
+    assert rows[1].std_error == pytest.approx(plain[1].std_error)
     assert rows[1].estimate == pytest.approx(1.7 - 1.1)
 
 

@@ -53,6 +53,21 @@ def test_station_reports(spark, tmp_path):
                     ("SAO CAETANO", "83", dt.datetime(2023, 2, 2), "rh", 80.0)}
 
 
+def test_station_report_rejects_and_long_headers(spark, tmp_path):
+    head = "Código da estação: 83\nNome da estação: São Caetano\n" + "nota\n" * 30
+    put(tmp_path / "a.csv", head + "Data;Hora;x;y\n;;MP10;???\n01/02/2023;01:00;10,5;1\n99/99/2023;02:00;3;1\n01/02/2023;03:00;---;1\nfim\n")
+    put(tmp_path / "b.csv", "no header\n")
+    put(tmp_path / "c.csv", "Data;Hora;x\n;;MP10\n01/02/2023;01:00;1\n")
+    rows = rd.read_station_reports(spark, str(tmp_path), ig.SAO_PAULO_PARAMS).collect()
+    assert [(r.file, r.param, r.value) for r in rows] == [("a.csv", "pm10", 10.5)]
+    lost = {(r.file, r.line, r.cell, r.reason) for r in rd.station_report_rejects(spark, str(tmp_path), ig.SAO_PAULO_PARAMS).collect()}
+    assert lost == {
+        ("a.csv", 35, 3, "unknown parameter"), ("a.csv", 36, 3, "unknown parameter"), ("a.csv", 37, 3, "unknown parameter"),
+        ("a.csv", 36, 2, "unreadable time"), ("a.csv", 37, 2, "missing or unreadable value"), ("a.csv", 38, None, "no cells"),
+        ("b.csv", None, None, "no data block"), ("c.csv", None, None, "no station name or code"),
+    }
+
+
 def test_wide_station_files_with_different_headers(spark, tmp_path):
     put(tmp_path / "a__b__c__PM10__x.csv", 'Fecha,Hora,"A1 : Uno, Centro",B2 : Dos\n2023-01-01,01:00,"1,234.5",-\n02/01/2023,24,3,\xa04\n')
     put(tmp_path / "other.csv", "Fecha,Hora,Parámetro,C3 : Tres\n2023-01-01,05:30,Dióxido de nitrógeno,7\n")
