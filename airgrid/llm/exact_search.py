@@ -10,16 +10,17 @@ from pyspark.sql import functions as F
 
 from airgrid.llm.common import written
 
-#: Vectors that share a block (a tree), on average; the sample of pivots that block vectors by likeness.
-BLOCK_ROWS, MOST_PIVOTS = 4096, 64
-LEAF = 48
+#: Vectors that share a block (a tree), on average; the sample of pivots that block vectors by likeness; queries that visit a block together.
+BLOCK_ROWS, MOST_PIVOTS, QUERY_ROWS = 4096, 64, 2048
+#: Rows of a leaf of the query tree and of the vector tree.
+QUERY_LEAF, VECTOR_LEAF = 128, 512
 
 
 class CoverTree:
-    """Nested balls over integer vectors: every node covers its points, and radii fall by half at least from level to level."""
+    """Nested balls over integer vectors: every node covers its points; radii fall by half from level to level, as far as 16 children allow."""
 
-    def __init__(self, points: np.ndarray):
-        self.points = points
+    def __init__(self, points: np.ndarray, leaf: int):
+        self.points, self.leaf = points, leaf
         self.norms = np.sqrt((points**2).sum(1))
         self.center: list[np.ndarray] = []
         self.radius: list[float] = []
@@ -38,7 +39,7 @@ class CoverTree:
         self.radius.append(float(far.max()))
         self.rows.append(rows)
         self.children.append([])
-        if len(rows) > LEAF and self.radius[me] > 0:
+        if len(rows) > self.leaf and self.radius[me] > 0:
             nearest, label, count = far.copy(), np.zeros(len(rows), np.int64), 1
             while nearest.max() > self.radius[me] / 2 and count < 16:
                 far = np.sqrt(((own - own[nearest.argmax()]) ** 2).sum(1))
@@ -56,7 +57,7 @@ def dual_search(query_ids, queries, ids, vectors, k: int, floor: np.ndarray) ->
     ``floor`` holds for each query a score that its k-th best of all vectors reaches. A pair of nodes is left
     out when no inner product across it can reach the worst k-th score among the node's queries.
     """
-    upper, lower = CoverTree(queries), CoverTree(vectors)
+    upper, lower = CoverTree(queries, QUERY_LEAF), CoverTree(vectors, VECTOR_LEAF)
     n = len(queries)
     scores, found = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
     kth = floor.astype(float).copy()
@@ -79,14 +80,22 @@ def dual_search(query_ids, queries, ids, vectors, k: int, floor: np.ndarray) ->
             q, v = upper.rows[a], lower.rows[b]
             product = (queries[q] @ vectors[v].T).astype(float)
             product[query_ids[q][:, None] == ids[v][None, :]] = -np.inf
-            useful = (product >= kth[q][:, None]).any(1)
-            if not useful.any():
+            least = kth[q]
+            if len(v) > k and not np.isfinite(least).all():
+                least = np.maximum(least, np.partition(product, len(v) - k, axis=1)[:, len(v) - k])
+            hit, column = np.nonzero((product >= least[:, None]) & np.isfinite(product))
+            if not len(hit):
                 return
-            q, product = q[useful], product[useful]
-            together = np.concatenate([scores[q], product], 1)
-            names = np.concatenate([found[q], np.broadcast_to(ids[v], product.shape)], 1)
-            order = np.lexsort((names, -together), axis=1)[:, :k]
-            scores[q], found[q] = np.take_along_axis(together, order, 1), np.take_along_axis(names, order, 1)
+            # The hits of a query and what it holds, best first; its first k stay.
+            asked = np.unique(hit)
+            row = np.concatenate([np.searchsorted(asked, hit), np.repeat(np.arange(len(asked)), k)])
+            score = np.concatenate([product[hit, column], scores[q[asked]].ravel()])
+            name = np.concatenate([ids[v][column], found[q[asked]].ravel()])
+            order = np.lexsort((name, -score, row))
+            first = np.searchsorted(row[order], np.arange(len(asked)))
+            order = order[first[:, None] + np.arange(k)]
+            q = q[asked]
+            scores[q], found[q] = score[order], name[order]
             kth[q] = np.maximum(kth[q], scores[q, k - 1])
 
     if n and len(vectors):
@@ -115,7 +124,8 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
 
     Vectors are blocked by the most alike of at most ``MOST_PIVOTS`` pivots (a bounded sample, which decides
     speed only) and a hash that splits large groups. Queries first search the block they lie in; the k-th
-    score found there prunes the pairs of the other blocks, which every query visits.
+    score found there prunes the pairs of the other blocks, which every query visits. Queries are dealt into
+    groups of some ``QUERY_ROWS`` by a hash, and a task takes one group and one block.
     """
     rows = written(vectors)
     n = rows.count()
@@ -129,7 +139,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
         for part in batches:
             if len(part):
                 own = np.stack(part["v"].to_numpy())
-                yield part.assign(pivot=(((own[:, None, :] - matrix) ** 2).sum(2)).argmin(1).astype("int32"))
+                yield part.assign(pivot=((matrix**2).sum(1) - 2 * (own @ matrix.T)).argmin(1).astype("int32"))
 
     keyed = written(rows.mapInPandas(nearest, "vec_id long, v array<long>, pivot int"))
     sizes = keyed.groupBy("pivot").count().collect()
@@ -150,11 +160,14 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
         place, found, score = dual_search(ids, np.stack(mine["q"].to_numpy()).astype(float), theirs["vec_id"].to_numpy(np.int64), np.stack(theirs["v"].to_numpy()).astype(float), k, np.where(np.isnan(floor), -np.inf, floor))
         return pd.DataFrame({"query_id": ids[place], "vec_id": found, "score": score})
 
-    by_block = keyed.select(F.col("block").alias("own_block"), "vec_id", "v").groupBy("own_block")
-    near = written(queries.groupBy("block").cogroup(by_block).applyInPandas(search, shape))
+    by_block = keyed.select("block", "vec_id", "v")
+    near = written(queries.groupBy("block").cogroup(by_block.groupBy("block")).applyInPandas(search, shape))
     kth = near.groupBy("query_id").agg(F.min("score").alias("kth"), F.count("*").alias("n")).where(F.col("n") >= k).select("query_id", "kth")
-    known = queries.join(kth, "query_id", "left").withColumn("own", F.col("block"))
-    visits = known.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(at - 1)))).where("block <> own").drop("own")
-    far = visits.groupBy("block").cogroup(by_block).applyInPandas(search, shape)
+    groups = max(1, -(-queries.count() // QUERY_ROWS))
+    every_one = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    known = queries.join(kth, "query_id", "left").withColumns({"own": F.col("block"), "asks": F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int")})
+    visits = known.withColumn("block", every_one(at)).where("block <> own").drop("own")
+    visited = by_block.withColumn("asks", every_one(groups))
+    far = visits.groupBy("asks", "block").cogroup(visited.groupBy("asks", "block")).applyInPandas(search, shape)
     best = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return near.union(far).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

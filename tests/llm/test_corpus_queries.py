@@ -176,6 +176,7 @@ def test_search(spark, sf_dir, monkeypatch):
     expected = {tuple(map(int, r)) for r in con.sql(f"SELECT query_id, rank, vec_id, score FROM ({queries.ORACLES['op8_exact_search']})").fetchall()}
     for rows in (4096, 60):
         monkeypatch.setattr(exact_search, "BLOCK_ROWS", rows)
+        monkeypatch.setattr(exact_search, "QUERY_ROWS", max(1, rows // 8))
         assert {tuple(r) for r in queries.op8_exact_search(spark, sf_dir).collect()} == expected
     odd = spark.createDataFrame([(0, [1.0, 0.5], "x"), (20, [1.0, 0.5], "x"), (1, None, "x"), (40, [float("nan"), 1.0], "x"), (2, [None, 1.0], "x"), (None, [1.0, 1.0], "x"), (3, [0.1, -0.1], "x"), (0, [1.0, 0.5], "x")], "vec_id long, embedding array<double>, v string")
     got = exact_search.top_k(exact_search.integer_vectors(odd)).collect()
