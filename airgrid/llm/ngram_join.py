@@ -4,7 +4,7 @@
 2. Classes that share a minimum meet the first of them; those similar enough are linked, which gathers groups of similar
    documents in time linear in their number.
 3. A token-group matrix holds, for each group, the union of its members' leading tokens. Two similar sets share one of
-   their leading tokens, in any order of tokens common to all; frequent tokens come last in it. How many they share at
+   their leading tokens, in any order of tokens common to all; frequent tokens come last in it, the most frequent ones at the very end. How many they share at
    least follows from their sizes. Two groups that share fewer, or of unlike sizes, aren't compared.
 4. For the other pairs the queries of one group meet blocks of the other. A block's union bounds the overlap with any member;
    only blocks that pass are opened and compared in full.
@@ -142,8 +142,11 @@ def _star_links(docs: DataFrame, classes: DataFrame, words: int, least: int, of:
     return written(texts.groupBy("first", "block").applyInArrow(work, "a long, b long"))
 
 
-def _leading_tokens(docs: DataFrame, frequent: np.ndarray, words: int, least: int, of: int) -> DataFrame:
-    """Rows (doc_id, tokens): as many of a set's first tokens, frequent ones last, as leave too few for the similarity."""
+def _leading_tokens(docs: DataFrame, frequent: np.ndarray, rank: np.ndarray, words: int, least: int, of: int) -> DataFrame:
+    """Rows (doc_id, tokens): as many of a set's first tokens, frequent ones last, as leave too few for the similarity.
+
+    ``frequent`` is sorted; ``rank`` holds for each of them its place, the most frequent one's being 0.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -153,7 +156,7 @@ def _leading_tokens(docs: DataFrame, frequent: np.ndarray, words: int, least: in
                 if len(frequent) and n:
                     at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
                     late = frequent[at] == own
-                    own = np.concatenate([own[~late], own[late]])
+                    own = np.concatenate([own[~late], own[late][np.argsort(-rank[at[late]])]])
                 parts.append(own[:n])
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(parts).view(np.int64)))
@@ -213,11 +216,13 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     known = sized.where("n_shingles > 0 and doc_id is not null")
     classes = written(known.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), *(F.min(m).alias(m) for m in ("m0", "m1", "m2"))))
     top = facts.where("token is not null").groupBy("token").agg(F.sum("n_shingles").alias("n")).orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).select("token").toPandas()
-    frequent = np.sort(top["token"].to_numpy(np.int64).view(np.uint64))
+    frequent = top["token"].to_numpy(np.int64).view(np.uint64)
+    rank = np.argsort(frequent)
+    frequent = frequent[rank]
     stars = _star_links(source, classes, words, least, of)
     groups = components(stars)
     members = written(classes.select(F.col("rep").alias("doc_id"), "n_shingles").join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("grp")))
-    tokens = _leading_tokens(source, frequent, words, least, of).join(members.drop("n_shingles"), "doc_id")
+    tokens = _leading_tokens(source, frequent, rank, words, least, of).join(members.drop("n_shingles"), "doc_id")
     matrix = tokens.select(F.explode("tokens").alias("token"), "grp").distinct()
     links = _group_links(source, members, matrix, words, least, of)
     whole = written(components(stars.union(links)))
