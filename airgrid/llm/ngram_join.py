@@ -5,7 +5,7 @@
    documents in time linear in their number.
 3. A token-group matrix holds, for each group, the union of its members' leading tokens. Two similar sets share one of
    their leading tokens, in any order of tokens common to all; frequent tokens come last in it, the most frequent ones at the very end. How many they share at
-   least follows from their sizes. Two groups that share fewer, or of unlike sizes, aren't compared.
+   least follows from their sizes, for a group from the one of its sizes that asks for the fewest. Two groups that share fewer, or of unlike sizes, aren't compared.
 4. For the other pairs the queries of one group meet blocks of the other. A block's union bounds the overlap with any member;
    only blocks that pass are opened and compared in full.
 Shingles are 64-bit hashes; two that differ are taken as equal with odds of 2**-64.
@@ -173,12 +173,17 @@ def _group_links(docs: DataFrame, members: DataFrame, matrix: DataFrame, words:
     meet = meet.join(sizes.select(*[F.col(c).alias(f"{c}_g") for c in ("n", "lo", "hi")], F.col("grp").alias("g")), "g")
     meet = meet.join(sizes.select(*[F.col(c).alias(f"{c}_h") for c in ("n", "lo", "hi")], F.col("grp").alias("h")), "h")
 
-    def demand(hi: str, lo: str):
-        """Leading tokens that a set of ``hi`` shingles shares at least with a similar one of ``lo``, if its own end first."""
-        return F.expr(f"1 - ceil({least} * {hi} / {of}) + ceil({least} * ({hi} + {lo}) / {of + least})")
+    # The demand falls with the size of the set whose leading tokens end first, but not at every step: from a larger size it can rise by
+    # rounding. Only so few sizes below the largest can demand less than it; no group holds sizes below its smallest.
+    below = [d for d in range(2 * of * (of + least) // least**2 + 2) if d == 0 or least * d // of < -(-least * d // (of + least))]
+
+    def demand(own: str, other: str):
+        """Leading tokens that a set of group ``own`` shares at least with a similar one of group ``other``, if its own end first."""
+        sizes = [f"greatest(hi_{own} - {d}, lo_{own})" for d in below]
+        return F.array_min(F.array(*[F.expr(f"1 - ceil({least} * {n} / {of}) + ceil({least} * ({n} + lo_{other}) / {of + least})") for n in sizes]))
 
     meet = meet.where((F.col("lo_g") * least <= F.col("hi_h") * of) & (F.col("lo_h") * least <= F.col("hi_g") * of))
-    meet = meet.where(F.col("shared") >= F.least(demand("hi_g", "lo_h"), demand("hi_h", "lo_g")))
+    meet = meet.where(F.col("shared") >= F.least(demand("g", "h"), demand("h", "g")))
     turned = F.col("n_g") > F.col("n_h")
     meet = meet.select(F.when(turned, F.col("h")).otherwise(F.col("g")).alias("asks"), F.when(turned, F.col("g")).otherwise(F.col("h")).alias("grp"), F.ceil(F.greatest("n_g", "n_h") / BLOCK_ROWS).cast("int").alias("blocks"))
     asked = written(meet)

@@ -94,6 +94,13 @@ def test_join_with_small_blocks_and_shuffled_texts(spark, monkeypatch):
     assert got == brute_components(dict(enumerate(texts)))
 
 
+def test_join_keeps_links_of_a_groups_smaller_members(spark):
+    words = ["w%d" % k for k in range(104)]
+    texts = [" ".join(words), " ".join(words[1:]), " ".join([*words[23:], "x", "y", "z"])]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(frame(spark, texts).coalesce(1)).collect()}
+    assert got == brute_components(dict(enumerate(texts))) == {0: (100, 0), 1: (99, 0), 2: (80, 0)}
+
+
 @pytest.mark.parametrize("group", [64, 2])
 def test_dedup_removes_the_repeated_bytes(spark, sf_dir, monkeypatch, group):
     monkeypatch.setattr(suffix_dedup, "GROUP_ROWS", group)
