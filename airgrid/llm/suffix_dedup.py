@@ -179,6 +179,13 @@ def repeated_windows(rows: list[Suffix], window: int = WINDOW) -> list[list[tupl
     return out
 
 
+def _same_rows(left: DataFrame, right: DataFrame, names: list[str]) -> DataFrame:
+    """Inner join on equal ``names``; only doc_id may be null, and null ids equal each other. Each name comes once."""
+    renamed = right.withColumnsRenamed({name: f"__{name}" for name in names})
+    equal = [F.col(name).eqNullSafe(F.col(f"__{name}")) if name == "doc_id" else F.col(name) == F.col(f"__{name}") for name in names]
+    return left.join(renamed, equal).drop(*(f"__{name}" for name in names))
+
+
 def repeated_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """Rows (doc_id, hash, start, stop): bytes of each text that lie in a window which begins anywhere else too.
 
@@ -194,9 +201,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> D
     # One row for each different surrounding of an anchor that has several.
     several = zones.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
     one = zones.join(several, "seed").select("seed", "z1", "z2", "first.*", F.col("n").alias("copies"))
-    one = one.join(again.select("seed", "z1", "z2", "doc_id", "hash", "place", "low", "high"), ["seed", "z1", "z2", "doc_id", "hash", "place"]).distinct()
+    one = _same_rows(one, again.select("seed", "z1", "z2", "doc_id", "hash", "place", "low", "high"), ["seed", "z1", "z2", "doc_id", "hash", "place"]).distinct()
     asked = one.groupBy("doc_id", "hash").agg(F.collect_list(F.struct("seed", "place", "low", "high", "copies")).alias("places"))
-    texts = docs.join(small_side(asked), ["doc_id", "hash"])
+    texts = _same_rows(docs, small_side(asked), ["doc_id", "hash"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -244,7 +251,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> D
         whole = halves.where("copies = 1").join(twice, ["key", "zone"]).select("doc_id", "hash", (F.col("place") - F.col("high")).alias("start"), (F.col("place") + window - F.col("low")).alias("stop"))
         spans.append(written(whole))
         kept = known.select("key", "zone", "first.*", F.when(F.col("all") > 1, F.lit(2)).otherwise(F.lit(1)).cast("long").alias("copies"))
-        pending = halves.drop("copies").join(kept, ["key", "zone", "doc_id", "hash", "place"]).select("doc_id", "hash", "seed", "place", "low", "high", "copies", "around", "full", "key", "near", "far").distinct()
+        pending = _same_rows(halves.drop("copies"), kept, ["key", "zone", "doc_id", "hash", "place"]).select("doc_id", "hash", "seed", "place", "low", "high", "copies", "around", "full", "key", "near", "far").distinct()
         pending = written(pending)
     out = spans[0]
     for more in spans[1:]:
@@ -264,7 +271,7 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     Texts are bytes of UTF-8 and matches stay within a document. A byte goes if a string of ``window`` bytes
     that covers it begins anywhere else, in the same document or another; all is judged on the input. In
     ``kept_text`` what is left of a cut character becomes U+FFFD; the digest is of the bytes themselves. Null
-    texts are empty; repeated rows remove each other's bytes, whatever their ids; other columns stay, columns of
+    texts are empty; repeated rows remove each other's bytes, whatever their ids, null ids too; other columns stay, columns of
     the added names are replaced; an empty table gives no rows.
     """
     added = ["kept_text", "n_bytes", "n_removed", "n_spans", "kept_sha256"]

@@ -117,6 +117,20 @@ def test_dedup_removes_the_repeated_bytes(spark, sf_dir, monkeypatch, group):
         assert suffix_dedup.dedup(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("group", [64, 2])
+def test_dedup_joins_rows_without_id(spark, monkeypatch, group):
+    monkeypatch.setattr(suffix_dedup, "GROUP_ROWS", group)
+    part = prose(9, 90)[:450]
+    texts = [(None, prose(3, 40) + part + prose(4, 40)), (7, prose(5, 40) + part + prose(6, 40)), (None, prose(7, 40) + part + prose(8, 40)), (3, prose(3, 40) + part + prose(4, 40)), (None, prose(10, 90))]
+    rows = [(i, t.encode()) for i, t in texts]
+    for source in (rows, rows[:2]):
+        docs = spark.createDataFrame([(i, raw.decode()) for i, raw in source], "doc_id long, text string")
+        got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(docs).collect()]
+        expected = brute_removed(source)
+        assert all(removed >= 450 for _, n, removed, _, _ in expected[:4])
+        assert sorted(got, key=str) == sorted(expected, key=str)
+
+
 def test_suffix_order_and_extensions():
     rows = [suffix_dedup.Suffix(x, 2, 0) for x in (b"xxbanana", b"yxband", b"xxban", b"zzapple", b"xxbanana")]
     order, agree = suffix_dedup.sorted_suffixes(rows)
