@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 # Sphere radii in kilometres.
 EARTH_KM = 6378.137
 S2_EARTH_KM = 6371.01
+# Equatorial radius in kilometres and flattening of the WGS84 ellipsoid.
+ELLIPSOID_KM, FLATTENING = 6378.137, 1 / 298.257223563
+# Steps of the longitude iteration; each gains over two digits for points not nearly opposite each other.
+GEODESIC_STEPS = 8
 
 
 def haversine_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column, radius: float = EARTH_KM) -> Column:
@@ -33,6 +37,69 @@ def aeqd_xy(lon: Column, lat: Column, lon0: Column, lat0: Column, radius: float
     return x, y
 
 
+def _bound(value: Column, then) -> Column:
+    """``then(value)`` with ``value`` computed once."""
+    return F.transform(F.array(value), then)[0]
+
+
+def geodesic(lon1: Column, lat1: Column, lon2: Column, lat2: Column, radius: float = ELLIPSOID_KM, flattening: float = FLATTENING) -> Column:
+    """struct(distance_km, azimuth) of the shortest path on the ellipsoid, azimuth in radians from north at the first point.
+
+    The longitude on the auxiliary sphere is found by iteration, the length by Vincenty's series: half a millimetre over
+    any distance, but not for nearly opposite points, where the iteration does not settle. One point gives zeros.
+    """
+    f, b = flattening, radius * (1 - flattening)
+    one, zero = F.lit(1.0), F.lit(0.0)
+
+    def reduced(lat: Column) -> Column:
+        return F.atan(F.lit(1 - f) * F.tan(F.radians(lat)))
+
+    start = F.struct(
+        F.sin(reduced(lat1)).alias("s1"), F.cos(reduced(lat1)).alias("c1"), F.sin(reduced(lat2)).alias("s2"), F.cos(reduced(lat2)).alias("c2"),
+        F.radians(lon2 - lon1).alias("gap"),
+    )
+
+    def angles(p: Column, lam: Column) -> Column:
+        """Quantities of the great circle for a longitude difference."""
+        x, y = p["c2"] * F.sin(lam), p["c1"] * p["s2"] - p["s1"] * p["c2"] * F.cos(lam)
+        sin_cos = F.struct(F.sqrt(x * x + y * y).alias("ss"), (p["s1"] * p["s2"] + p["c1"] * p["c2"] * F.cos(lam)).alias("cs"), lam.alias("lam"), F.atan2(x, y).alias("azimuth"))
+
+        def rest(a: Column) -> Column:
+            sin_alpha = F.when(a["ss"] == 0, zero).otherwise(p["c1"] * p["c2"] * F.sin(a["lam"]) / a["ss"])
+            return _bound(sin_alpha, lambda q: F.struct(
+                a["ss"].alias("ss"), a["cs"].alias("cs"), F.atan2(a["ss"], a["cs"]).alias("sigma"), q.alias("sa"), (one - q * q).alias("ca2"),
+                F.when(one - q * q < 1e-15, zero).otherwise(a["cs"] - 2 * p["s1"] * p["s2"] / (one - q * q)).alias("c2m"), a["azimuth"].alias("azimuth")))
+
+        return _bound(sin_cos, rest)
+
+    def step(p: Column, lam: Column) -> Column:
+        def more(g: Column) -> Column:
+            return _bound(F.lit(f / 16) * g["ca2"] * (4 + f * (4 - 3 * g["ca2"])), lambda c: p["gap"] + (one - c) * f * g["sa"] * (
+                g["sigma"] + c * g["ss"] * (g["c2m"] + c * g["cs"] * (2 * g["c2m"] * g["c2m"] - 1))))
+
+        return _bound(angles(p, lam), more)
+
+    def length(g: Column) -> Column:
+        u = g["ca2"] * ((radius * radius - b * b) / (b * b))
+        big = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))
+        small = u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
+        m, n = g["c2m"], small
+        turn = n * g["ss"] * (m + n / 4 * (g["cs"] * (2 * m * m - 1) - n / 6 * m * (4 * g["ss"] * g["ss"] - 3) * (4 * m * m - 3)))
+        return F.struct((F.lit(b) * big * (g["sigma"] - turn)).alias("distance_km"), g["azimuth"].alias("azimuth"))
+
+    def whole(p: Column) -> Column:
+        lam = F.aggregate(F.sequence(F.lit(1), F.lit(GEODESIC_STEPS)), p["gap"], lambda x, _: step(p, x))
+        return _bound(angles(p, lam), length)
+
+    return _bound(start, whole)
+
+
+def aeqd_xy_ellipsoid(lon: Column, lat: Column, lon0: Column, lat0: Column) -> tuple[Column, Column]:
+    """Azimuthal-equidistant plane coordinates in kilometres around (lon0, lat0), on the ellipsoid."""
+    g = geodesic(lon0, lat0, lon, lat)
+    return _bound(g, lambda p: p["distance_km"] * F.sin(p["azimuth"])), _bound(g, lambda p: p["distance_km"] * F.cos(p["azimuth"]))
+
+
 def utm_epsg(lon: Column, lat: Column) -> Column:
     """EPSG code of the UTM zone holding a point."""
     zone = F.floor((lon + 180) / 6).cast("int") + 1

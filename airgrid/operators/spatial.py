@@ -37,23 +37,25 @@ def pairs_within(
     radius_km: float,
     sphere_km: float = geo.EARTH_KM,
     salts: int = 1,
+    by: list[str] = (),
 ) -> DataFrame:
-    """All (left_id, right_id, distance_km) with great-circle distance up to ``radius_km``.
+    """All (by, left_id, right_id, distance_km) with great-circle distance up to ``radius_km``.
 
     Both frames need ``lon`` and ``lat``. Rows without coordinates match nothing. ``salts`` spreads a
-    crowded cell over several tasks.
+    crowded cell over several tasks. Rows meet only where they agree in the columns ``by``.
     """
     step = math.degrees(radius_km / sphere_km) * (1 + 1e-9)
     known = F.col("lon").isNotNull() & F.col("lat").isNotNull()
     row = _lat_row(F.col("lat"), step)
+    by = list(by)
     a = left.where(known).select(
-        F.col(left_id).alias("_a"), F.col("lon").alias("_x1"), F.col("lat").alias("_y1"), row.alias("_row"),
+        *by, F.col(left_id).alias("_a"), F.col("lon").alias("_x1"), F.col("lat").alias("_y1"), row.alias("_row"),
         F.floor(F.col("lon") / _lon_width(row, step, radius_km, sphere_km)).cast("long").alias("_cell"),
     )
     around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
     rows = F.transform(around, lambda i: F.struct((row + i).alias("_row"), _lon_width(row + i, step, radius_km, sphere_km).alias("_width")))
     b = right.where(known).select(
-        F.col(right_id).alias("_b"), F.col("lon").alias("_x2"), F.col("lat").alias("_y2"), F.inline(rows)
+        *by, F.col(right_id).alias("_b"), F.col("lon").alias("_x2"), F.col("lat").alias("_y2"), F.inline(rows)
     )
     # Copies shifted by a full turn serve points on both sides of the date line.
     turns = F.filter(
@@ -61,8 +63,8 @@ def pairs_within(
     )
     places = F.flatten(F.transform(turns, lambda x: F.transform(around, lambda i: F.struct(
         x.alias("_xt"), (F.floor(x / F.col("_width")).cast("long") + i).alias("_cell")))))
-    b = b.select("_b", "_x2", "_y2", "_row", F.inline(places))
-    keys = ["_row", "_cell"]
+    b = b.select(*by, "_b", "_x2", "_y2", "_row", F.inline(places))
+    keys = [*by, "_row", "_cell"]
     if salts > 1:
         a = a.withColumn("_salt", F.pmod(F.xxhash64("_a"), F.lit(salts)).cast("int"))
         b = b.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -71,18 +73,18 @@ def pairs_within(
     d = geo.haversine_km(F.col("_x1"), F.col("_y1"), F.col("_x2"), F.col("_y2"), sphere_km)
     right_out = right_id if right_id != left_id else right_id + "_to"
     near = a.join(b, keys).where((gap > -180) & (gap <= 180))
-    near = near.select(F.col("_a").alias(left_id), F.col("_b").alias(right_out), d.alias("distance_km"))
+    near = near.select(*by, F.col("_a").alias(left_id), F.col("_b").alias(right_out), d.alias("distance_km"))
     return near.where(F.col("distance_km") <= radius_km)
 
 
 def planar_pairs_within(
-    left: DataFrame, right: DataFrame, left_id: str, right_id: str, radius_km: float
+    left: DataFrame, right: DataFrame, left_id: str, right_id: str, radius_km: float, ellipsoid: bool = False
 ) -> DataFrame:
     """Pairs by straight distance in the azimuthal-equidistant plane around the box of both frames.
 
-    The plane is the spherical one; against an ellipsoidal plane the difference is tens of metres at
-    50 km.
+    The plane is the spherical one, tens of metres off at 50 km, or with ``ellipsoid`` that of WGS84.
     """
+    plane = geo.aeqd_xy_ellipsoid if ellipsoid else geo.aeqd_xy
     box = left.select("lon", "lat").unionByName(right.select("lon", "lat"))
     mid = box.agg(
         ((F.min("lon") + F.max("lon")) / 2).alias("lon0"), ((F.min("lat") + F.max("lat")) / 2).alias("lat0")
@@ -90,7 +92,7 @@ def planar_pairs_within(
     lon0, lat0 = mid.select("lon0").scalar(), mid.select("lat0").scalar()
 
     def place(df: DataFrame, key: str, name: str, suffix: str) -> DataFrame:
-        x, y = geo.aeqd_xy(F.col("lon"), F.col("lat"), F.col("_lon0"), F.col("_lat0"))
+        x, y = plane(F.col("lon"), F.col("lat"), F.col("_lon0"), F.col("_lat0"))
         out = df.withColumn("_lon0", lon0).withColumn("_lat0", lat0)
         return out.select(F.col(key).alias(name), x.alias("_x" + suffix), y.alias("_y" + suffix))
 
@@ -114,47 +116,57 @@ def nearest(
     k: int = 1,
     start_km: float = 5.0,
     positive_only: bool = False,
+    by: list[str] = (),
 ) -> DataFrame:
     """The k nearest right points of every left point with their rank; ties go to the smaller id.
 
     The radius doubles until every left point has k partners or the sphere is covered. A point leaves
     the search once its k partners lie inside the radius, so the answer is exact. Points without
-    coordinates have no partners and take no part; if fewer than k right points are known, the whole
-    sphere is searched at once.
+    coordinates have no partners and take no part. With ``by`` only points that agree in these columns
+    are partners. Where no more than k right points are known, the whole sphere is searched at once.
     """
+    by = list(by)
     right_out = right_id if right_id != left_id else right_id + "_to"
     known = F.col("lat").isNotNull() & F.col("lon").isNotNull()
     pending, found, radius = left.where(known), None, start_km
     right = right.where(known)
-    if right.limit(k).count() < k:
+    if by:
+        # Groups of so few points meet whole, k times their left points at most.
+        few = reliable_checkpoint(right.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= k).select(*by))
+        if not few.isEmpty():
+            near = pairs_within(pending.join(few, by, "left_semi"), right.join(few, by, "left_semi"), left_id, right_id, HALF_TURN_KM, by=by)
+            found = reliable_checkpoint(rank_nearest(near.where(F.col("distance_km") > 0) if positive_only else near, left_id, right_out, k, by))
+            pending = reliable_checkpoint(pending.join(few, by, "left_anti"))
+    elif right.limit(k).count() < k:
         radius = HALF_TURN_KM
     while True:
         last = radius >= HALF_TURN_KM
-        near = pairs_within(pending, right, left_id, right_id, min(radius, HALF_TURN_KM))
+        near = pairs_within(pending, right, left_id, right_id, min(radius, HALF_TURN_KM), by=by)
         if positive_only:
             near = near.where(F.col("distance_km") > 0)
-        ranked = rank_nearest(near, left_id, right_out, k)
+        ranked = rank_nearest(near, left_id, right_out, k, by)
         if not last:
-            full = ranked.groupBy(left_id).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= k).select(left_id)
-            ranked = ranked.join(full, left_id, "left_semi")
+            # Ranks beyond the k-th are gone, so the k-th is there or the point stays in the search.
+            full = ranked.where(F.col("rank") == k).select(*by, left_id)
+            ranked = ranked.join(full, [*by, left_id], "left_semi")
         ranked = reliable_checkpoint(ranked)
         found = ranked if found is None else found.unionByName(ranked)
         if last:
             return found
-        pending = reliable_checkpoint(pending.join(ranked.select(left_id).distinct(), left_id, "left_anti"))
+        pending = reliable_checkpoint(pending.join(ranked.where(F.col("rank") == k).select(*by, left_id), [*by, left_id], "left_anti"))
         if pending.isEmpty():
             return found
         radius *= 2
 
 
-def rank_nearest(pairs: DataFrame, left_id: str, right_id: str, k: int) -> DataFrame:
+def rank_nearest(pairs: DataFrame, left_id: str, right_id: str, k: int, by: list[str] = ()) -> DataFrame:
     """First k partners per left id by (distance, right id).
 
     The rank filter lets Spark keep only k rows per key in every task before the shuffle.
     """
     from pyspark.sql import Window
 
-    w = Window.partitionBy(left_id).orderBy("distance_km", right_id)
+    w = Window.partitionBy(*by, left_id).orderBy("distance_km", right_id)
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
@@ -174,24 +186,72 @@ def with_box(polygons: DataFrame, rings: str = "rings") -> DataFrame:
     )
 
 
+#: Where in its cell, as shares of its sides, the point lies whose side of each polygon is known; odd shares keep it off vertices.
+ANCHOR_X, ANCHOR_Y = 0.3819660112501, 0.6180339887498
+
+
+def edge_cells(polygons: DataFrame, polygon_id: str, size: float) -> DataFrame:
+    """Edges (polygon_id, x1, y1, x2, y2, _cx, _cy), once for each cell they touch; long edges follow their own line."""
+    edges = _edges(polygons, polygon_id, "").where(F.col("x1").isNotNull() & F.col("y1").isNotNull() & F.col("x2").isNotNull() & F.col("y2").isNotNull())
+    rows = edges.withColumn("_cy", F.explode(_cells(F.least("y1", "y2"), F.greatest("y1", "y2"), size)))
+    slope = (F.col("x2") - F.col("x1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0))
+    at = lambda y: F.col("x1") + slope * (y - F.col("y1"))
+    low = F.greatest(F.least("y1", "y2"), F.col("_cy") * size)
+    high = F.least(F.greatest("y1", "y2"), (F.col("_cy") + 1) * size)
+    a, b = F.coalesce(at(low), F.col("x1")), F.coalesce(at(high), F.col("x2"))
+    margin = 1e-9
+    return rows.withColumn("_cx", F.explode(_cells(F.least(a, b) - margin, F.greatest(a, b) + margin, size)))
+
+
+def anchors_inside(polygons: DataFrame, polygon_id: str, size: float) -> DataFrame:
+    """Cells (polygon_id, _cx, _cy) whose anchor lies in the polygon, from where its edges cross the anchors' latitudes."""
+    from pyspark.sql import Window
+
+    edges = _edges(polygons, polygon_id, "")
+    first = F.floor(F.least("y1", "y2") / size - ANCHOR_Y).cast("long")
+    last = F.floor(F.greatest("y1", "y2") / size - ANCHOR_Y).cast("long") + 1
+    rows = edges.where(F.col("y1") != F.col("y2")).withColumn("_cy", F.explode(F.sequence(first, last)))
+    y = (F.col("_cy") + ANCHOR_Y) * size
+    rows = rows.where((F.col("y1") > y) != (F.col("y2") > y))
+    x = F.col("x1") + (F.col("x2") - F.col("x1")) * (y - F.col("y1")) / (F.col("y2") - F.col("y1"))
+    along = Window.partitionBy(polygon_id, "_cy").orderBy("_x")
+    rows = rows.select(polygon_id, "_cy", x.alias("_x")).withColumns({"_to": F.lead("_x").over(along), "_n": F.row_number().over(along)})
+    # Between an odd crossing and the next lies the inside.
+    begin = F.ceil(F.col("_x") / size - ANCHOR_X).cast("long")
+    end = F.ceil(F.col("_to") / size - ANCHOR_X).cast("long") - 1
+    spans = rows.where((F.col("_n") % 2 == 1) & F.col("_to").isNotNull() & (begin <= end))
+    return spans.select(polygon_id, "_cy", F.explode(F.sequence(begin, end)).alias("_cx"))
+
+
 def points_in_polygons(
     points: DataFrame, polygons: DataFrame, point_id: str, polygon_id: str, cell_deg: float = 0.05
 ) -> DataFrame:
-    """(point_id, polygon_id) for every point inside a polygon."""
-    boxed = with_box(polygons.select(polygon_id, "rings"))
-    cells = boxed.withColumn("_cx", F.explode(_cells(F.col("_x_lo"), F.col("_x_hi"), cell_deg)))
-    cells = cells.withColumn("_cy", F.explode(_cells(F.col("_y_lo"), F.col("_y_hi"), cell_deg)))
-    placed = points.select(
-        point_id, "lon", "lat",
+    """(point_id, polygon_id) for every point inside a polygon.
+
+    Each cell has an anchor whose side of every polygon is known. A point is inside if the anchor is, turned round by
+    each edge between the two; only edges of its own cell can lie there. So a point meets the edges of one cell,
+    however many cells or edges its polygon has, and rings are never copied. ``point_id`` should differ between rows.
+    """
+    polygons = polygons.select(polygon_id, "rings")
+    placed = points.where(F.col("lon").isNotNull() & F.col("lat").isNotNull()).select(
+        F.col(point_id).alias("_point"), "lon", "lat",
         F.floor(F.col("lon") / cell_deg).cast("long").alias("_cx"),
         F.floor(F.col("lat") / cell_deg).cast("long").alias("_cy"),
     )
-    hit = placed.join(cells, ["_cx", "_cy"]).where(
-        F.col("lon").between(F.col("_x_lo"), F.col("_x_hi"))
-        & F.col("lat").between(F.col("_y_lo"), F.col("_y_hi"))
-        & geo.inside(F.col("rings"), F.col("lon"), F.col("lat"))
-    )
-    return hit.select(point_id, polygon_id)
+    ax, ay = (F.col("_cx") + ANCHOR_X) * cell_deg, (F.col("_cy") + ANCHOR_Y) * cell_deg
+    x1, y1, x2, y2, lon, lat = (F.col(c) for c in ("x1", "y1", "x2", "y2", "lon", "lat"))
+
+    def between(value: Column, a: Column, b: Column) -> Column:
+        return F.coalesce((value > F.least(a, b)) & (value <= F.greatest(a, b)), F.lit(False))
+
+    # From the anchor up or down its meridian to the point's latitude, then along that to the point.
+    up = ((x1 > ax) != (x2 > ax)) & between(y1 + (y2 - y1) * (ax - x1) / F.nullif(x2 - x1, F.lit(0.0)), ay, lat)
+    along = ((y1 > lat) != (y2 > lat)) & between((x2 - x1) * (lat - y1) / F.nullif(y2 - y1, F.lit(0.0)) + x1, ax, lon)
+    met = placed.join(edge_cells(polygons, polygon_id, cell_deg), ["_cx", "_cy"])
+    turns = met.select("_point", polygon_id, (up.cast("int") + along.cast("int")).alias("_turns"))
+    known = placed.join(anchors_inside(polygons, polygon_id, cell_deg), ["_cx", "_cy"]).select("_point", polygon_id, F.lit(1).alias("_turns"))
+    sums = turns.unionByName(known).groupBy("_point", polygon_id).agg(F.sum("_turns").alias("_turns"))
+    return sums.where(F.col("_turns") % 2 == 1).select(F.col("_point").alias(point_id), polygon_id)
 
 
 def containing_unit(

@@ -151,23 +151,31 @@ def dominant_group(people: DataFrame, group: str, weight: str = "person_weight")
     )
 
 
-def quintile_table(exposure: DataFrame, days: DataFrame | None, units: DataFrame, pollutant: str, step: str) -> DataFrame:
-    """One vintage's table: mean, hour shares and day counts by the units' dominant group."""
-    e = exposure.select("geo_id", F.col(f"avg_{pollutant}").alias("_x"), F.col(f"hrs_d_{pollutant}_it1").alias("_h1"),
+def quintile_rows(exposure: DataFrame, days: DataFrame | None, units: DataFrame, pollutant: str, by: list[str] = ()) -> DataFrame:
+    """Mean, hour shares and day counts by the units' dominant group, for each of ``by`` apart.
+
+    Tables that share columns of ``by`` are joined on these as well as on the unit.
+    """
+    by = list(by)
+    e = exposure.select(*by, "geo_id", F.col(f"avg_{pollutant}").alias("_x"), F.col(f"hrs_d_{pollutant}_it1").alias("_h1"),
                         F.col(f"hrs_d_{pollutant}_it4").alias("_h4"), F.col(f"total_hrs_{pollutant}").alias("_n"))
-    j = e.where(F.col("_x").isNotNull()).join(units, "geo_id")
+    j = e.where(F.col("_x").isNotNull()).join(units, [c for c in by if c in units.columns] + ["geo_id"])
     if days is not None:
-        j = j.join(days, "geo_id", "left")
+        j = j.join(days, [c for c in by if c in days.columns] + ["geo_id"], "left")
     total = F.greatest(F.coalesce(F.sum("_n"), F.lit(0)), F.lit(1))
-    day_cols = [c for c in (days.columns if days is not None else []) if c != "geo_id"]
-    out = j.groupBy("edu_quintile").agg(
+    day_cols = [c for c in (days.columns if days is not None else []) if c not in ("geo_id", *by)]
+    return j.groupBy(*by, "edu_quintile").agg(
         F.count(F.lit(1)).alias("n_geo"),
         wmean("_x", "pop_w").alias("weighted_mean_conc"),
         (F.coalesce(F.sum("_h1"), F.lit(0)) / total).alias("share_hrs_above_it1"),
         (F.coalesce(F.sum("_h4"), F.lit(0)) / total).alias("share_hrs_above_it4"),
         *[wmean(F.col(c).cast("double"), "pop_w").alias(c) for c in day_cols],
-    )
-    return out.withColumn("step_id", F.lit(step)).withColumn("pollutant", F.lit(pollutant))
+    ).withColumn("pollutant", F.lit(pollutant))
+
+
+def quintile_table(exposure: DataFrame, days: DataFrame | None, units: DataFrame, pollutant: str, step: str) -> DataFrame:
+    """One vintage's table under its label."""
+    return quintile_rows(exposure, days, units, pollutant).withColumn("step_id", F.lit(step))
 
 
 def progression(steps: list[DataFrame]) -> DataFrame:

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from airgrid.functions.keys import normalize_station
 from airgrid.functions.times import year_month
 from airgrid.operators.reshape import dense_hours
-from airgrid.session import broadcast_if_small
+from airgrid.operators.spatial import nearest
+from airgrid.session import broadcast_if_small, reliable_checkpoint
 
 HOUR = "INTERVAL 1 HOUR"
 
@@ -36,35 +37,56 @@ def eligible_neighbours(long: DataFrame, distances: DataFrame, with_data: bool =
     )
 
 
+def reporting_neighbours(long: DataFrame, points: DataFrame, with_data: bool = True, start_km: float = 25.0) -> DataFrame:
+    """Nearest two stations of each station with readings, per pollutant and year, over all distances.
+
+    ``points`` is (station, lon, lat). With ``with_data`` the search itself runs over the stations that report the
+    pollutant in that year, so a neighbour is found however far it is, and no table of distances is needed.
+    """
+    present = long.where(F.col("value").isNotNull()).select("pollutant", "year", "station").distinct()
+    if with_data:
+        here = reliable_checkpoint(present.join(points, "station"))
+        near = nearest(here, here, "station", "station", 2, start_km, positive_only=True, by=["pollutant", "year"])
+        return near.select("pollutant", "year", F.col("station").alias("station_from"), F.col("station_to"), "rank")
+    near = nearest(points, points, "station", "station", 2, start_km, positive_only=True)
+    near = near.select(F.col("station").alias("station_from"), "station_to", "rank")
+    return present.withColumnRenamed("station", "station_from").join(near, "station_from").select("pollutant", "year", "station_from", "station_to", "rank")
+
+
 def flag_long(
     panel: DataFrame,
-    distances: DataFrame,
+    distances: DataFrame | None = None,
     pollutants: list[str] = ("pm10", "pm25"),
     pct_flag: float = 0.99,
     n_sd: float = 2.0,
     on_missing_temporal: str = "continue",
     on_missing_neighbor: str = "second",
     neighbor_eligibility: str = "with_data",
+    stations: DataFrame | None = None,
 ) -> DataFrame:
     """Flags per (pollutant, station, hour) on the dense grid of each year.
 
-    ``distances`` has station_from, station_to, distance_km. Two raw names that normalise to one
-    station are averaged first.
+    Neighbours are the nearest of ``stations`` (station_id, lon, lat), at any distance; or, where a table of
+    ``distances`` (station_from, station_to, distance_km) is given instead, the nearest in it. Two raw names that
+    normalise to one station are averaged first, readings and places alike.
     """
+    if (distances is None) == (stations is None):
+        raise ValueError("give either stations or distances")
     if on_missing_temporal not in ("continue", "finish") or on_missing_neighbor not in ("second", "finish"):
         raise ValueError("unknown missing-value option")
     if neighbor_eligibility not in ("with_data", "all"):
         raise ValueError("unknown neighbour option")
     pols = [p for p in pollutants if p in panel.columns]
     base = panel.groupBy(normalize_station("station").alias("station"), "datetime").agg(*[F.avg(p).alias(p) for p in pols])
-    pairs = distances.select(
-        normalize_station("station_from").alias("station_from"),
-        normalize_station("station_to").alias("station_to"),
-        "distance_km",
-    )
     long = base.unpivot(["station", "datetime"], pols, "pollutant", "value").withColumn("year", F.year("datetime"))
     known = long.where(F.col("value").isNotNull())
-    near = eligible_neighbours(long, pairs, neighbor_eligibility == "with_data")
+    with_data = neighbor_eligibility == "with_data"
+    if stations is not None:
+        points = stations.groupBy(normalize_station("station_id").alias("station")).agg(F.avg("lon").alias("lon"), F.avg("lat").alias("lat"))
+        near = reporting_neighbours(long, points, with_data)
+    else:
+        pairs = distances.select(normalize_station("station_from").alias("station_from"), normalize_station("station_to").alias("station_to"), "distance_km")
+        near = eligible_neighbours(long, pairs, with_data)
     if on_missing_neighbor == "finish":
         near = near.where(F.col("rank") == 1)
     present = known.select("pollutant", "year", F.col("station").alias("station_from")).distinct()
@@ -164,7 +186,7 @@ def _classify(rows: DataFrame, cell, n_sd: float, on_missing_temporal: str) -> D
     )
 
 
-def detect_outliers(panel: DataFrame, distances: DataFrame, pollutants: list[str] = ("pm10", "pm25"), **options) -> DataFrame:
+def detect_outliers(panel: DataFrame, distances: DataFrame | None = None, pollutants: list[str] = ("pm10", "pm25"), **options) -> DataFrame:
     """Clean panel: masked pollutants with their flag, reason and four diagnostic counts."""
     long = flag_long(panel, distances, pollutants, **options)
     pols = [p for p in pollutants if p in panel.columns]

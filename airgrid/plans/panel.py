@@ -14,13 +14,13 @@ def mean_duplicates(readings: DataFrame, keys: list[str], value: str = "value")
     return readings.groupBy(*keys).agg(F.avg(value).alias(value))
 
 
-def widen(readings: DataFrame, params: dict[str, list[str]], station: str = "station") -> DataFrame:
-    """Wide panel: one column per pollutant, the mean over the parameters listed for it."""
+def widen(readings: DataFrame, params: dict[str, list[str]], station: str = "station", by: list[str] = ()) -> DataFrame:
+    """Wide panel: one column per pollutant, the mean over the parameters listed for it; ``by`` keeps further keys."""
     cols = [
         F.avg(F.when(F.col("param").isin(list(codes)), F.col("value"))).alias(name)
         for name, codes in params.items()
     ]
-    return readings.groupBy(station, "datetime").agg(*cols).withColumn("year", F.year("datetime"))
+    return readings.groupBy(*by, station, "datetime").agg(*cols).withColumn("year", F.year("datetime"))
 
 
 #: Label of an hour that the primary source covers without a value.

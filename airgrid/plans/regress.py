@@ -8,7 +8,7 @@ are the outcome columns times the groups named by the caller.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from airgrid.functions.numbers import ratio, wmean
@@ -113,67 +113,78 @@ def exposure_coverage(
     return out.drop("outcome", "_near")
 
 
-def scale_by_base(cells: DataFrame, base: int) -> DataFrame:
-    """Outcome divided by the base group's weighted mean; outcomes without one are left out."""
-    means = cells.where(F.col("group") == base).groupBy("outcome").agg(wmean("y", "pop").alias("_base"))
+def _base(base: int | Column) -> Column:
+    return F.lit(base) if isinstance(base, int) else base
+
+
+def scale_by_base(cells: DataFrame, base: int | Column, keys: list[str] = ("outcome",)) -> DataFrame:
+    """Outcome divided by the base group's weighted mean; models (``keys``) without one are left out."""
+    keys = list(keys)
+    means = cells.where(F.col("group") == _base(base)).groupBy(*keys).agg(wmean("y", "pop").alias("_base"))
     usable = means.where(F.col("_base") != 0)
-    return cells.join(F.broadcast(usable), "outcome").withColumn("y", F.col("y") / F.col("_base")).drop("_base")
+    return cells.join(F.broadcast(usable), keys).withColumn("y", F.col("y") / F.col("_base")).drop("_base")
 
 
-def group_share(cells: DataFrame) -> DataFrame:
-    """Cell weight: population share inside (outcome, group)."""
-    out = with_group_total(cells, ["outcome", "group"], F.col("pop"), "_total")
+def group_share(cells: DataFrame, keys: list[str] = ("outcome",)) -> DataFrame:
+    """Cell weight: population share inside (``keys``, group)."""
+    out = with_group_total(cells, [*keys, "group"], F.col("pop"), "_total")
     return out.withColumn("w", F.col("pop") / F.col("_total")).drop("_total")
 
 
-def fit_gaps(cells: DataFrame, groups: list[int], base: int, se_type: str, conf_level: float | None) -> DataFrame:
-    """Gap of every group to the base with its standard error and interval.
+def fit_gaps(cells: DataFrame, groups: list[int], base: int | Column, se_type: str, conf_level: float | None, keys: list[str] = ("outcome",)) -> DataFrame:
+    """Gap of every group to the base with its standard error and interval, one model for each of ``keys``.
 
-    A group without cells in an outcome gets no row there and is no coefficient of it (``n_coef``).
+    A group without cells in a model gets no row there and is no coefficient of it (``n_coef``). ``base`` may be a
+    column of ``keys`` where models differ in it.
 
-    ``cells`` holds one row per (outcome, geo_id, group) with y and w. With ``conf_level=None`` the
+    ``cells`` holds one row per (``keys``, geo_id, group) with y and w. With ``conf_level=None`` the
     interval columns are left out.
     """
-    means = cells.groupBy("outcome", "group").agg(wmean("y", "w").alias("_mu"), F.sum("w").alias("_W"))
-    e = cells.join(F.broadcast(means), ["outcome", "group"]).withColumn("_e", F.col("y") - F.col("_mu"))
+    keys, base = list(keys), _base(base)
+    means = cells.groupBy(*keys, "group").agg(wmean("y", "w").alias("_mu"), F.sum("w").alias("_W"))
+    e = cells.join(F.broadcast(means), [*keys, "group"]).withColumn("_e", F.col("y") - F.col("_mu"))
     score = F.col("w") * F.col("_e") / F.col("_W")
-    per_cluster = e.groupBy("outcome", "geo_id").agg(
+    zero = F.lit(0.0)
+    per_cluster = e.groupBy(*keys, "geo_id").agg(
         F.count(F.lit(1)).alias("_cells"),
         F.sum(F.col("w") * F.col("_e") * F.col("_e")).alias("_rss"),
-        *[F.coalesce(F.sum(F.when(F.col("group") == g, score)), F.lit(0.0)).alias(f"_s{g}") for g in groups],
+        F.coalesce(F.sum(F.when(F.col("group") == base, score)), zero).alias("_sb"),
+        *[F.coalesce(F.sum(F.when(F.col("group") == g, score)), zero).alias(f"_s{g}") for g in groups],
     )
-    model = per_cluster.groupBy("outcome").agg(
+    model = per_cluster.groupBy(*keys).agg(
         F.sum("_cells").alias("n_units"),
         F.count(F.lit(1)).alias("n_clusters"),
         F.sum("_rss").alias("_rss"),
-        *[F.sum(F.pow(F.col(f"_s{g}") - F.col(f"_s{base}"), F.lit(2.0))).alias(f"_v{g}") for g in groups],
+        *[F.sum(F.pow(F.col(f"_s{g}") - F.col("_sb"), F.lit(2.0))).alias(f"_v{g}") for g in groups],
     )
-    stats = means.groupBy("outcome").agg(
+    at = lambda g, c: F.max(F.when(F.col("group") == g, F.col(c)))
+    stats = means.groupBy(*keys).agg(
         F.count_if(F.col("group").isin(groups)).cast("int").alias("n_coef"),
-        *[F.max(F.when(F.col("group") == g, F.col("_mu"))).alias(f"_mu{g}") for g in groups],
-        *[F.max(F.when(F.col("group") == g, F.col("_W"))).alias(f"_W{g}") for g in groups],
+        at(base, "_mu").alias("_mub"), at(base, "_W").alias("_Wb"),
+        *[at(g, "_mu").alias(f"_mu{g}") for g in groups],
+        *[at(g, "_W").alias(f"_W{g}") for g in groups],
     )
     n, g_n, k = F.col("n_units"), F.col("n_clusters"), F.col("n_coef")
-    rows = model.join(F.broadcast(stats), "outcome").where(n >= k)
+    rows = model.join(F.broadcast(stats), keys).where(n >= k)
     if se_type == "cluster_geo":
         factor = ratio(g_n, g_n - 1.0) * ratio(n - 1.0, (n - k).cast("double"))
         se = lambda g: F.when(g_n > k, F.sqrt(factor * F.col(f"_v{g}")))
         dof = g_n - 1
     else:
         sigma2 = ratio(F.col("_rss"), (n - k).cast("double"))
-        se = lambda g: F.sqrt(sigma2 * (1 / F.col(f"_W{g}") + 1 / F.col(f"_W{base}")))
+        se = lambda g: F.sqrt(sigma2 * (1 / F.col(f"_W{g}") + 1 / F.col("_Wb")))
         dof = n - k
     per_group = F.array(*[
         F.struct(
             F.lit(g).alias("group"),
             F.col(f"_W{g}").isNotNull().alias("_present"),
-            (F.lit(0.0) if g == base else F.col(f"_mu{g}") - F.col(f"_mu{base}")).alias("estimate"),
-            (F.lit(0.0) if g == base else F.when(F.col(f"_mu{g}").isNotNull(), se(g))).alias("std_error"),
+            F.when(base == g, zero).otherwise(F.col(f"_mu{g}") - F.col("_mub")).alias("estimate"),
+            F.when(base == g, zero).when(F.col(f"_mu{g}").isNotNull(), se(g)).alias("std_error"),
         )
         for g in groups
     ])
-    out = rows.select("outcome", "n_units", "n_clusters", dof.alias("_dof"), "n_coef", F.explode(per_group).alias("r"))
-    out = out.where("r._present").select("outcome", "r.*", "n_units", "n_clusters", "_dof", "n_coef").drop("_present")
+    out = rows.select(*keys, "n_units", "n_clusters", dof.alias("_dof"), "n_coef", F.explode(per_group).alias("r"))
+    out = out.where("r._present").select(*keys, "r.*", "n_units", "n_clusters", "_dof", "n_coef").drop("_present")
     if conf_level is not None:
         crit = t_quantile(1 - (1 - conf_level) / 2, F.col("_dof"))
         out = out.withColumn("_half", F.when(F.col("std_error") == 0, F.lit(0.0)).otherwise(crit * F.col("std_error")))

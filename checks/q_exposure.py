@@ -71,6 +71,37 @@ def _(s, d):
     return t.rnd(spatial.planar_pairs_within(t.units(s, d), t.stations(s, d), "geo_id", "station_id", 10), 5)
 
 
+def _ellipsoid_sql() -> str:
+    """Plane coordinates of units and stations around the middle of their box, on the ellipsoid, step by step."""
+    f, a = geo.FLATTENING, geo.ELLIPSOID_KM
+    b = a * (1 - f)
+    circle = """sqrt(pow(c2 * sin(lam), 2) + pow(c1 * s2 - s1 * c2 * cos(lam), 2)) AS ss, s1 * s2 + c1 * c2 * cos(lam) AS cs"""
+    def ctes(k):
+        return f""", a{k} AS (SELECT id, kind, s1, c1, s2, c2, gap, lam, {circle} FROM l{k}),
+ b{k} AS (SELECT *, atan2(ss, cs) AS sg, CASE WHEN ss = 0 THEN 0 ELSE c1 * c2 * sin(lam) / ss END AS sa FROM a{k}),
+ d{k} AS (SELECT *, 1 - sa * sa AS ca2, CASE WHEN 1 - sa * sa < 1e-15 THEN 0 ELSE cs - 2 * s1 * s2 / (1 - sa * sa) END AS c2m FROM b{k}),
+ e{k} AS (SELECT *, {f!r} / 16 * ca2 * (4 + {f!r} * (4 - 3 * ca2)) AS cc FROM d{k})"""
+    def more(k):
+        return f""", l{k} AS (SELECT id, kind, s1, c1, s2, c2, gap, gap + (1 - cc) * {f!r} * sa * (sg + cc * ss * (c2m + cc * cs * (2 * c2m * c2m - 1))) AS lam FROM e{k - 1})"""
+    n = geo.GEODESIC_STEPS
+    return f""", pts AS (SELECT lon, lat FROM units UNION ALL SELECT lon, lat FROM stations),
+ mid AS (SELECT (min(lon) + max(lon)) / 2 AS l0, (min(lat) + max(lat)) / 2 AS p0 FROM pts),
+ u0 AS (SELECT id, kind, atan({(1 - f)!r} * tan(radians(p0))) AS u1, atan({(1 - f)!r} * tan(radians(lat))) AS u2, radians(lon - l0) AS gap
+   FROM (SELECT geo_id AS id, 'u' AS kind, lon, lat FROM units UNION ALL SELECT station_id, 's', lon, lat FROM stations), mid),
+ l0 AS (SELECT id, kind, sin(u1) AS s1, cos(u1) AS c1, sin(u2) AS s2, cos(u2) AS c2, gap, gap AS lam FROM u0)""" + ctes(0) + "".join(more(k) + ctes(k) for k in range(1, n + 1)) + f""",
+ v AS (SELECT *, ca2 * {((a * a - b * b) / (b * b))!r} AS u FROM e{n}),
+ w AS (SELECT *, 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u))) AS aa, u / 1024 * (256 + u * (-128 + u * (74 - 47 * u))) AS bb FROM v),
+ z AS (SELECT id, kind, {b!r} * aa * (sg - bb * ss * (c2m + bb / 4 * (cs * (2 * c2m * c2m - 1) - bb / 6 * c2m * (4 * ss * ss - 3) * (4 * c2m * c2m - 3)))) AS s, atan2(c2 * sin(lam), c1 * s2 - s1 * c2 * cos(lam)) AS az FROM w),
+ xy AS (SELECT id, kind, s * sin(az) AS x, s * cos(az) AS y FROM z)"""
+
+
+@query("J7_ellipsoidal_pairs", t.ctes("units", "stations") + _ellipsoid_sql() + """
+ SELECT a.id AS geo_id, b.id AS station_id, round(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)), 6) AS distance_km FROM xy a, xy b
+ WHERE a.kind = 'u' AND b.kind = 's' AND sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) <= 10""")
+def _(s, d):
+    return t.rnd(spatial.planar_pairs_within(t.units(s, d), t.stations(s, d), "geo_id", "station_id", 10, ellipsoid=True))
+
+
 @query("J8_station_matrix", t.ctes("station_distances") + " SELECT station_from, station_to, round(distance_km, 6) AS distance_km FROM station_distances")
 def _(s, d):
     return t.rnd(t.station_distances(s, d))
@@ -221,20 +252,20 @@ def _(s, d):
     return t.rnd(unit_reach(t.units(s, d), t.stations(s, d), 5.0))
 
 
-def _outlier_sql(miss_temp="continue", second=True, with_data=True) -> str:
-    """Long twin of the outlier rules for one option set."""
+def _outlier_sql(miss_temp="continue", second=True, with_data=True, panel="panel", pairs="station_pairs") -> str:
+    """Long twin of the outlier rules for one option set; neighbours are ranked over all pairs of stations."""
     spat2 = "true" if second else "false"
     semi = ("JOIN present c ON c.pollutant = o.pollutant AND c.year = o.year AND c.station = d.station_to" if with_data else "")
-    return t.ctes("panel", "station_distances") + f""",
- long AS (SELECT 'pm10' AS pollutant, station, datetime, year, pm10 AS value FROM panel UNION ALL SELECT 'pm25', station, datetime, year, pm25 FROM panel),
- span AS (SELECT year, min(datetime) AS lo, max(datetime) AS hi FROM panel GROUP BY 1),
+    return t.ctes(panel, pairs) + f""",
+ long AS (SELECT 'pm10' AS pollutant, station, datetime, year, pm10 AS value FROM {panel} UNION ALL SELECT 'pm25', station, datetime, year, pm25 FROM {panel}),
+ span AS (SELECT year, min(datetime) AS lo, max(datetime) AS hi FROM {panel} GROUP BY 1),
  grid AS (SELECT pollutant, station, unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS datetime
-   FROM (SELECT DISTINCT station, year FROM panel) JOIN span USING (year), (VALUES ('pm10'), ('pm25')) v(pollutant)),
+   FROM (SELECT DISTINCT station, year FROM {panel}) JOIN span USING (year), (VALUES ('pm10'), ('pm25')) v(pollutant)),
  full_rows AS (SELECT g.pollutant, g.station, g.datetime, CAST(year(g.datetime) AS INTEGER) AS year, strftime(g.datetime, '%Y-%m') AS ym, l.value
    FROM grid g LEFT JOIN long l USING (pollutant, station, datetime)),
  present AS (SELECT DISTINCT pollutant, year, station FROM long WHERE value IS NOT NULL),
  near AS (SELECT * FROM (SELECT o.pollutant, o.year, d.station_from AS station, d.station_to, row_number() OVER (PARTITION BY o.pollutant, o.year, d.station_from
-   ORDER BY d.distance_km, d.station_to) AS rk FROM present o JOIN station_distances d ON d.station_from = o.station AND d.distance_km > 0 {semi}) WHERE rk <= 2),
+   ORDER BY d.distance_km, d.station_to) AS rk FROM present o JOIN {pairs} d ON d.station_from = o.station AND d.distance_km > 0 {semi}) WHERE rk <= 2),
  r1 AS (SELECT f.*, lagr.value AS lag_v, leadr.value AS lead_v, v1.value AS nb1, v2.value AS nb2 FROM full_rows f
    LEFT JOIN long lagr ON lagr.pollutant = f.pollutant AND lagr.station = f.station AND lagr.datetime = f.datetime - INTERVAL 1 HOUR
    LEFT JOIN long leadr ON leadr.pollutant = f.pollutant AND leadr.station = f.station AND leadr.datetime = f.datetime + INTERVAL 1 HOUR
@@ -267,7 +298,7 @@ FLAG_COLS = """ SELECT pollutant, station, datetime, round(raw_value, 6) AS raw_
 
 
 def flags(s, d, **kw):
-    return out.flag_long(t.panel(s, d), t.station_distances(s, d), POLS, **kw)
+    return out.flag_long(t.panel(s, d), pollutants=POLS, stations=t.stations(s, d), **kw)
 
 
 @query("K3_outliers_long", _outlier_sql() + FLAG_COLS)
@@ -290,6 +321,21 @@ def _(s, d):
     return t.rnd(flags(s, d, neighbor_eligibility="all"))
 
 
+@query("K3_outliers_many_stations", _outlier_sql(panel="many_panel", pairs="many_pairs") + FLAG_COLS)
+def _(s, d):
+    places, panel = t.many_stations(s, d)
+    return t.rnd(out.flag_long(panel, pollutants=POLS, stations=places))
+
+
+@query("C6_reporting_neighbours", t.ctes("many_panel", "many_pairs") + """, present AS (SELECT DISTINCT p.pollutant, year, station FROM (SELECT station, year, unnest(['pm10', 'pm25']) AS pollutant, unnest([pm10, pm25]) AS v FROM many_panel) p WHERE v IS NOT NULL)
+ SELECT pollutant, year, station_from, station_to, CAST(rk AS INTEGER) AS rank FROM (SELECT o.pollutant, o.year, station_from, station_to, row_number() OVER (PARTITION BY o.pollutant, o.year, station_from ORDER BY distance_km, station_to) AS rk
+  FROM present o JOIN many_pairs d ON d.station_from = o.station AND distance_km > 0 JOIN present c ON c.pollutant = o.pollutant AND c.year = o.year AND c.station = d.station_to) WHERE rk <= 2""")
+def _(s, d):
+    places, panel = t.many_stations(s, d)
+    long = panel.unpivot(["station", "year"], POLS, "pollutant", "value")
+    return out.reporting_neighbours(long, places.withColumnRenamed("station_id", "station"))
+
+
 def _wide_flags() -> str:
     cols = []
     for p in POLS:
@@ -304,7 +350,7 @@ def _wide_flags() -> str:
 @query("K3_clean_panel", _outlier_sql() + f""", w AS (SELECT station, datetime, {_wide_flags()} FROM flags GROUP BY 1, 2)
   SELECT w.*, CAST(year(w.datetime) AS INTEGER) AS year, round(p.ozone, 6) AS ozone FROM w LEFT JOIN panel p ON p.station = w.station AND p.datetime = w.datetime""")
 def _(s, d):
-    return t.rnd(out.detect_outliers(t.panel(s, d), t.station_distances(s, d), POLS))
+    return t.rnd(out.detect_outliers(t.panel(s, d), pollutants=POLS, stations=t.stations(s, d)))
 
 
 @query("D36_outlier_summary", _outlier_sql() + """ SELECT pollutant, count(raw_value) AS n_values, count(*) FILTER (outlier_reason > 0) AS n_removed,

@@ -246,13 +246,14 @@ def _(s, d):
     return p.join(hot, "station", "left_semi").groupBy("station").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("C6_neighbour_hour", t.ctes("panel", "station_distances") + """, n AS (SELECT station_from, min_by(station_to, distance_km) AS near FROM station_distances WHERE distance_km > 0 GROUP BY 1)
+@query("C6_neighbour_hour", t.ctes("panel", "station_pairs") + """, n AS (SELECT station_from, min_by(station_to, distance_km) AS near FROM station_pairs WHERE distance_km > 0 GROUP BY 1)
  SELECT p.station, p.datetime, round(p.pm10 - q.pm10, 6) AS diff FROM panel p LEFT JOIN n ON n.station_from = p.station LEFT JOIN panel q ON q.station = near AND q.datetime = p.datetime""")
 def _(s, d):
-    from airgrid.operators.spatial import rank_nearest
+    from airgrid.operators.spatial import nearest
     p = t.panel(s, d).select("station", "datetime", "pm10")
-    near = rank_nearest(t.station_distances(s, d).where("distance_km > 0"), "station_from", "station_to", 1)
-    j = p.join(near.select(F.col("station_from").alias("station"), F.col("station_to").alias("near")), "station", "left")
+    st = t.stations(s, d)
+    near = nearest(st, st, "station_id", "station_id", 1, 25.0, positive_only=True)
+    j = p.join(near.select(F.col("station_id").alias("station"), F.col("station_id_to").alias("near")), "station", "left")
     q = p.select(F.col("station").alias("near"), "datetime", F.col("pm10").alias("v"))
     return t.rnd(j.join(q, ["near", "datetime"], "left").select("station", "datetime", (F.col("pm10") - F.col("v")).alias("diff")))
 

@@ -234,7 +234,11 @@ def _step_sql(buffer: int, name: str) -> str:
 
 @query("K16_progression", _step_sql(3, "three") + " UNION ALL " + _step_sql(5, "five"))
 def _(s, d):
-    return t.rnd(cp.progression([vintage(s, d, 3, "three"), vintage(s, d, 5, "five")]))
+    from airgrid.plans import runs
+    dom = runs.as_city(cp.dominant_group(qe.persons(s, d), "edu_quintile"), "all")
+    rules = [runs.Rule("three", 3), runs.Rule("five", 5)]
+    out = runs.progression_tables(runs.as_city(t.panel(s, d), "all"), runs.as_city(t.unit_distances(s, d), "all"), dom, rules, "pm25")
+    return t.rnd(out.drop("city_id"))
 
 
 @query("D29_group_means", qe.BASE + DOM + " SELECT edu_quintile, round(sum(avg_pm10 * pop_w) / sum(CASE WHEN avg_pm10 IS NOT NULL THEN pop_w END), 6) AS avg_pm10, round(sum(avg_pm25 * pop_w) / sum(CASE WHEN avg_pm25 IS NOT NULL THEN pop_w END), 6) AS avg_pm25 FROM exposure JOIN dom USING (geo_id) GROUP BY 1")
@@ -291,10 +295,12 @@ def _summary_sql(buffer: int) -> str:
 
 @query("K8_stacked_runs", _summary_sql(3) + " UNION ALL " + _summary_sql(5))
 def _(s, d):
-    p = qe.persons(s, d)
-    run = lambda b: rg.exposure_summaries(ex.idw_exposure(t.panel(s, d), t.unit_distances(s, d), qe.POLS, b), p)
-    out = ex.stack_runs({f"city_{b}km": run(b) for b in (3, 5)})
-    return t.rnd(out.select("city_id", "outcome", "pollutant", "group", "weighted_mean", "weighted_population"))
+    from airgrid.plans import runs
+    city = lambda df: runs.as_city(df, "all")
+    wanted = [runs.Run("All", "all", 2024, b, "education", "edu_quintile", 5) for b in (3, 5)]
+    out = runs.exposure_runs(city(t.panel(s, d)), city(t.unit_distances(s, d)), city(qe.persons(s, d)), city(t.units(s, d)), city(t.stations(s, d)), wanted)["summary"]
+    name = F.concat(F.lit("city_"), F.col("buffer_km").cast("int"), F.lit("km"))
+    return t.rnd(out.select(name.alias("city_id"), "outcome", "pollutant", "group", "weighted_mean", "weighted_population"))
 
 
 @query("K5_city_run_units", qe.BASE + """, ut AS (SELECT geo_id, sum(person_weight) AS pop_total, sum(educ_years * person_weight) / sum(CASE WHEN educ_years IS NOT NULL THEN person_weight END) AS education_mean FROM people WHERE adult = 1 GROUP BY 1),
@@ -374,6 +380,25 @@ def _(s, d):
     return spatial.containing_unit(t.stations(s, d), polygons(s, d), "station_id", "geo_id")
 
 
+STAR = """, star AS (SELECT vec_id, atan2(CAST(embedding[8] AS DOUBLE), CAST(embedding[7] AS DOUBLE)) AS a, 0.2 + 2 * abs(CAST(embedding[9] AS DOUBLE)) AS r FROM embeddings),
+ corners AS (SELECT -74 + r * cos(a) AS x1, 4.6 + r * sin(a) AS y1, row_number() OVER (ORDER BY a, vec_id) AS k, count(*) OVER () AS n FROM star),
+ ring AS (SELECT c.x1, c.y1, d.x1 AS x2, d.y1 AS y2 FROM corners c JOIN corners d ON d.k = c.k % c.n + 1),
+ pts AS (SELECT o_orderkey, -74 + (o_orderkey % 7919) / 7919.0 * 2 - 1 AS lon, 4.6 + (o_orderkey * 31 + o_custkey) % 6007 / 6007.0 * 2 - 1 AS lat FROM orders)"""
+
+
+@query("C22_one_large_polygon", "WITH" + STAR[1:] + """ SELECT o_orderkey, 'star' AS zone FROM pts p JOIN ring e ON (e.y1 > p.lat) <> (e.y2 > p.lat) AND p.lon < (e.x2 - e.x1) * (p.lat - e.y1) / (e.y2 - e.y1) + e.x1
+ GROUP BY 1 HAVING count(*) % 2 = 1""")
+def _(s, d):
+    v = lambda k: F.col("embedding")[k].cast("double")
+    star = t.table(s, d, "embeddings").select(F.atan2(v(7), v(6)).alias("a"), "vec_id", (0.2 + 2 * F.abs(v(8))).alias("r"))
+    ring = star.agg(F.array_sort(F.collect_list(F.struct("a", "vec_id", "r"))).alias("c"))
+    point = lambda c: F.struct((-74 + c["r"] * F.cos(c["a"])).alias("lon"), (4.6 + c["r"] * F.sin(c["a"])).alias("lat"))
+    polygon = ring.select(F.lit("star").alias("zone"), F.array(F.transform("c", point)).alias("rings"))
+    k = F.col("o_orderkey")
+    pts = t.table(s, d, "orders").select("o_orderkey", (-74 + (k % 7919) / 7919.0 * 2 - 1).alias("lon"), (4.6 + ((k * 31 + F.col("o_custkey")) % 6007) / 6007.0 * 2 - 1).alias("lat"))
+    return spatial.points_in_polygons(pts, polygon, "o_orderkey", "zone", 0.01)
+
+
 KMD = "(pi() * 6378.137 / 180)"
 NEAR_POLY = POLY + f""", rel AS (SELECT station_id, geo_id, (x1 - s.lon) * {KMD} * cos(radians(s.lat)) AS px, (y1 - s.lat) * {KMD} AS py, (x2 - s.lon) * {KMD} * cos(radians(s.lat)) AS qx, (y2 - s.lat) * {KMD} AS qy FROM stations s, edges),
  tt AS (SELECT *, greatest(0, least(1, (0 - px * (qx - px) - py * (qy - py)) / (pow(qx - px, 2) + pow(qy - py, 2)))) AS k FROM rel),
@@ -476,16 +501,66 @@ def _(s, d):
 
 # ---- imputation -----------------------------------------------------------------------------------
 
-@query("K9_imputation")
-def _(s, d):
+#: Normal equations of every model, solved column by column in order; a column that earlier ones explain is left out. The months of the
+#: readings must be one, as in the given tables, so that no column holds them.
+GRID = t.ctes("panel") + """, span AS (SELECT year, min(datetime) AS lo, max(datetime) AS hi FROM panel GROUP BY 1),
+ hrs AS (SELECT station, year, unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS datetime FROM (SELECT DISTINCT station, year FROM panel) JOIN span USING (year)),
+ obs AS (SELECT h.station, h.year, h.datetime, p.pm10 AS y, CAST(isodow(h.datetime) AS INTEGER) - 1 AS w, CAST(hour(h.datetime) AS INTEGER) AS h FROM hrs h LEFT JOIN panel p ON p.station = h.station AND p.datetime = h.datetime),
+ names AS (SELECT year, station, row_number() OVER (PARTITION BY year ORDER BY station) - 1 AS k, count(*) OVER (PARTITION BY year) AS n FROM (SELECT DISTINCT year, station FROM obs))"""
+_CALENDAR = """ UNION ALL SELECT {keys}, {first} + w - 1, 1.0 FROM {rows} WHERE w > 0
+ UNION ALL SELECT {keys}, {first} + 5 + h, 1.0 FROM {rows} WHERE h > 0
+ UNION ALL SELECT {keys}, {first} + 29 + (h - 1) * 6 + w - 1, 1.0 FROM {rows} WHERE h > 0 AND w > 0"""
+_SOLVED = """, known AS (SELECT f.*, r.{model} FROM feats f JOIN rws r USING (station, datetime) WHERE r.y IS NOT NULL UNION ALL SELECT station, datetime, 100000, y, {model} FROM rws WHERE y IS NOT NULL),
+ gram AS (SELECT a.{model} AS model, a.i, b.i AS j, sum(a.v * b.v) AS g FROM known a JOIN known b USING (station, datetime) GROUP BY 1, 2, 3),
+ axis AS (SELECT DISTINCT model, i FROM gram),
+ lines AS (SELECT x.model, x.i, list(coalesce(g, 0) ORDER BY y.i) AS line FROM axis x JOIN axis y USING (model) LEFT JOIN gram ON gram.model = x.model AND gram.i = x.i AND gram.j = y.i GROUP BY 1, 2),
+ begun AS (SELECT model, list(line ORDER BY i) AS a, list(i ORDER BY i) AS ids FROM lines GROUP BY 1),
+ steps AS (SELECT model, ids, 1 AS k, a, list_transform(a, lambda r, i: r[i]) AS whole, CAST([] AS BOOLEAN[]) AS used FROM begun
+   UNION ALL SELECT model, ids, k + 1, CASE WHEN a[k][k] <= 1e-9 * whole[k] THEN a ELSE list_transform(a, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda x: x / a[k][k])
+     WHEN r[k] = 0 THEN r ELSE list_transform(r, lambda x, j: x - r[k] * a[k][j] / a[k][k]) END) END, whole, list_append(used, a[k][k] > 1e-9 * whole[k]) FROM steps WHERE k < len(ids)),
+ beta AS (SELECT model, unnest(ids[1:-2]) AS i, unnest(list_transform(used, lambda u, i: CASE WHEN u THEN a[i][len(ids)] ELSE 0 END)) AS b FROM steps WHERE k = len(ids)),
+ found AS (SELECT f.station, f.datetime, sum(f.v * b) AS p FROM feats f JOIN rws r USING (station, datetime) JOIN beta ON beta.model = r.{model} AND beta.i = f.i WHERE r.y IS NULL GROUP BY 1, 2)
+ SELECT o.station, o.datetime, o.year, round(coalesce(o.y, p), {digits}) AS pm10, CASE WHEN o.y IS NULL AND p IS NOT NULL THEN '{label}' END AS pm10_imputed_from FROM obs o LEFT JOIN found USING (station, datetime)"""
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _ols_sql() -> str:
+    near = """, rws AS (SELECT *, station AS model FROM obs),
+ o AS (SELECT a.station, a.datetime, k, n, b.y FROM obs a JOIN obs b ON b.datetime = a.datetime AND b.station <> a.station JOIN names ON names.year = b.year AND names.station = b.station),
+ means AS (SELECT k, avg(y) AS m FROM obs JOIN names USING (year, station) GROUP BY 1),
+ vary AS (SELECT station, k FROM o GROUP BY 1, 2 HAVING min(coalesce(y, 0)) <> max(coalesce(y, 0))),
+ feats AS (SELECT station, datetime, 0 AS i, 1.0 AS v FROM obs UNION ALL SELECT o.station, o.datetime, 1 + o.k, y - m FROM o JOIN means USING (k) SEMI JOIN vary USING (station, k) WHERE y IS NOT NULL
+   UNION ALL SELECT station, datetime, 1 + n + k, 1.0 FROM o SEMI JOIN vary USING (station, k) WHERE y IS NULL""" + _CALENDAR.format(keys="station, datetime", rows="obs", first=1000) + ")"
+    return _recursive(GRID + near + _SOLVED.format(model="model", label="OLS_Unbiased", digits=0))
+
+
+def _pooled_sql() -> str:
+    near = """, many AS (SELECT year, station FROM obs GROUP BY 1, 2 HAVING count(y) > 1),
+ rws AS (SELECT station, datetime, CASE WHEN many.station IS NULL THEN NULL ELSE y END AS y, obs.year AS model FROM obs LEFT JOIN many USING (year, station)),
+ o AS (SELECT a.station, a.datetime, k, b.y, row_number() OVER (PARTITION BY a.station, a.datetime ORDER BY b.station) - 1 AS c FROM obs a JOIN obs b ON b.datetime = a.datetime AND b.station <> a.station JOIN names ON names.year = b.year AND names.station = b.station WHERE b.y IS NOT NULL),
+ c AS (SELECT a.station, a.datetime, n - 1 AS others, k, (SELECT count(*) FROM o WHERE o.station = a.station AND o.datetime = a.datetime) AS present FROM obs a JOIN names USING (year, station)),
+ feats AS (SELECT station, datetime, 0 AS i, 1.0 AS v FROM obs UNION ALL SELECT station, datetime, 1 + c, y FROM o
+   UNION ALL SELECT station, datetime, 1 + others + unnest(range(present, others)), 1.0 FROM c UNION ALL SELECT station, datetime, 500 + k, 1.0 FROM c WHERE k > 0""" + _CALENDAR.format(keys="station, datetime", rows="obs", first=1000) + ")"
+    return _recursive(GRID + near + _SOLVED.format(model="model", label="OLS_Legacy", digits=4))
+
+
+def gaps(s, d):
     from airgrid.operators.reshape import densify
-    return t.rnd(im.impute_ols(densify(t.panel(s, d).select("station", "datetime", "year", "pm10")), "pm10"))
+    return densify(t.panel(s, d).select("station", "datetime", "year", "pm10"))
 
 
-@query("K10_pooled_imputation")
+@query("K9_imputation", _ols_sql())
 def _(s, d):
-    from airgrid.operators.reshape import densify
-    return t.rnd(im.impute_pooled(densify(t.panel(s, d).select("station", "datetime", "year", "pm10")), "pm10"))
+    # Stations with few readings get predictions of tens of thousands, of which two engines share nine digits.
+    return t.rnd(im.impute_ols(gaps(s, d), "pm10"), 0)
+
+
+@query("K10_pooled_imputation", _pooled_sql())
+def _(s, d):
+    return t.rnd(im.impute_pooled(gaps(s, d), "pm10"), 4)
 
 
 @query("K10_pooled_features", t.ctes("panel") + """, r AS (SELECT station, datetime, avg(pm10) AS value FROM panel GROUP BY 1, 2),

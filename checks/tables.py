@@ -79,6 +79,18 @@ def station_distances(spark, folder, radius=30.0) -> DataFrame:
         F.col("station_id").alias("station_from"), F.col("station_id_to").alias("station_to"), "distance_km")
 
 
+def many_stations(spark, folder, n=200) -> tuple[DataFrame, DataFrame]:
+    """``n`` stations far apart and their hourly panel: readings by user, places from the vectors, spread over degrees."""
+    v = table(spark, folder, "embeddings").groupBy((F.col("vec_id") % n).alias("_k")).agg(
+        F.avg(F.col("embedding")[4].cast("double")).alias("x"), F.avg(F.col("embedding")[5].cast("double")).alias("y"))
+    name = lambda k: F.concat(F.lit("W"), F.lpad(k.cast("string"), 3, "0"))
+    places = v.select(name(F.col("_k")).alias("station_id"), (F.col("x") * 40 - 74).alias("lon"), (F.col("y") * 40 + 4.6).alias("lat"))
+    e = table(spark, folder, "events")
+    rows = e.select(name(F.col("user_id") % n).alias("station"), floor_hour("ts").alias("datetime"), F.col("event_type").alias("param"), "value")
+    wide = widen(rows, PARAMS)
+    return places, wide.withColumns({c: F.col(c) / 0.9973 for c in PARAMS})
+
+
 def people(spark, folder) -> DataFrame:
     """One person per order; schooling is unknown for some, units follow the customer."""
     n_units = table(spark, folder, "embeddings").agg(F.count(F.lit(1)).alias("n")).scalar()
@@ -151,6 +163,15 @@ SQL = {
         WHERE {hav('u', 's')} <= 10""",
     "station_distances": f"""SELECT a.station_id AS station_from, b.station_id AS station_to, {hav('a', 'b')} AS distance_km
         FROM stations a, stations b WHERE {hav('a', 'b')} <= 30""",
+    "station_pairs": f"""SELECT a.station_id AS station_from, b.station_id AS station_to, {hav('a', 'b')} AS distance_km
+        FROM stations a, stations b""",
+    "many_stations": """SELECT 'W' || lpad(CAST(vec_id % 200 AS VARCHAR), 3, '0') AS station_id, avg(CAST(embedding[5] AS DOUBLE)) * 40 - 74 AS lon,
+        avg(CAST(embedding[6] AS DOUBLE)) * 40 + 4.6 AS lat FROM embeddings GROUP BY 1""",
+    "many_pairs": f"""SELECT a.station_id AS station_from, b.station_id AS station_to, {hav('a', 'b')} AS distance_km
+        FROM many_stations a, many_stations b""",
+    "many_readings": """SELECT 'W' || lpad(CAST(user_id % 200 AS VARCHAR), 3, '0') AS station, date_trunc('hour', ts) AS datetime, event_type AS param, value FROM events""",
+    "many_panel": """SELECT station, datetime, CAST(year(datetime) AS INTEGER) AS year, avg(CASE WHEN param IN ('view','click') THEN value END) / 0.9973 AS pm10,
+        avg(CASE WHEN param IN ('purchase','signup') THEN value END) / 0.9973 AS pm25 FROM many_readings GROUP BY station, datetime""",
     "people": """SELECT *, CASE WHEN age >= 25 THEN 1 ELSE 0 END AS adult FROM (SELECT o_orderkey AS row_key,
         'G' || lpad(CAST(o_custkey % (SELECT count(*) FROM embeddings) AS VARCHAR), 6, '0') AS geo_id,
         CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_orderkey % 24 AS DOUBLE) END AS educ_years, o_totalprice AS income,
@@ -173,7 +194,7 @@ SQL = {
 }
 NEEDS = {
     "panel": ["readings"], "unit_distances": ["units", "stations"], "station_distances": ["stations"],
-    "weights": ["unit_distances"],
+    "weights": ["unit_distances"], "station_pairs": ["stations"], "many_pairs": ["many_stations"], "many_panel": ["many_readings"],
 }
 
 

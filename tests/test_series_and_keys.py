@@ -106,3 +106,69 @@ def test_pooled_imputation_fills_every_gap(spark):
     out = im.impute_pooled(p, "pm10")
     assert out.where("pm10 IS NULL").count() == 0
     assert out.where("pm10_imputed_from = 'OLS_Legacy'").count() == sum(v is None for _, _, v in rows)
+
+
+def plain_fit(y, columns):
+    """Least squares by columns in order; dependent ones are left out."""
+    kept, basis = [], []
+    for k, c in enumerate(columns):
+        r = c.copy()
+        for _ in range(2):
+            for q in basis:
+                r -= (q @ r) * q
+        if r @ r > 1e-9 * (c @ c):
+            kept.append(k)
+            basis.append(r / np.sqrt(r @ r))
+    beta = np.zeros(len(columns))
+    if kept:
+        beta[kept] = np.linalg.lstsq(np.stack([columns[k] for k in kept], 1), y, rcond=None)[0]
+    return beta
+
+
+def test_imputation_by_sums_equals_a_plain_fit(spark, monkeypatch):
+    """Two years, three months, dependent columns, hours in several chunks."""
+    monkeypatch.setattr(im, "CHUNK_HOURS", 300)
+    draw = random.Random(21)
+    start, rows = dt.datetime(2022, 12, 10), []
+    for h in range(24 * 45):
+        t = start + dt.timedelta(hours=h)
+        a = draw.uniform(5, 50)
+        rows += [("a", t, None if draw.random() < 0.1 else a), ("b", t, None if draw.random() < 0.2 else draw.uniform(5, 50)), ("c", t, None if draw.random() < 0.3 else 2 * a + draw.gauss(0, 3)), ("d", t, 7.0)]
+    p = spark.createDataFrame(rows, "station string, datetime timestamp_ntz, pm10 double").withColumn("year", F.year("datetime"))
+    got = {(r.station, r.datetime): r.pm10 for r in im.impute_ols(p, "pm10").where("pm10_imputed_from is not null").collect()}
+    pooled = {(r.station, r.datetime): r.pm10 for r in im.impute_pooled(p, "pm10").where("pm10_imputed_from is not null").collect()}
+    value = {(s, t): v for s, t, v in rows}
+    names = ["a", "b", "c", "d"]
+    missing = [k for k, v in value.items() if v is None]
+    assert set(got) == set(missing) == set(pooled)
+    for year in (2022, 2023):
+        hours = sorted({t for _, t, _ in rows if t.year == year})
+        levels = [sorted({f(t) for t in hours}) for f in (lambda t: t.month, lambda t: t.weekday(), lambda t: t.hour)]
+
+        def calendar(t):
+            m, w, h = ([1.0 * (v == x) for x in lv[1:]] for lv, v in zip(levels, (t.month, t.weekday(), t.hour), strict=True))
+            out = m + w + h
+            for first, second in ((m, w), (w, h), (m, h)):
+                out += [x * y for y in second for x in first]
+            return out
+
+        def check(design, ys, keys, found):
+            design, known = np.array(design, float), np.array([y is not None for y in ys])
+            beta = plain_fit(np.array([y for y in ys if y is not None]), list(design[known].T))
+            for k, row in zip(keys, design, strict=True):
+                if value[k] is None:
+                    assert found[k] == pytest.approx(row @ beta, rel=1e-6, abs=1e-5)
+
+        for s in names[:3]:
+            others = [o for o in names if o != s and len({value[o, t] or 0.0 for t in hours}) > 1]
+            design = [[1.0, *[value[o, t] or 0.0 for o in others], *[1.0 * (value[o, t] is None) for o in others], *calendar(t)] for t in hours]
+            check(design, [value[s, t] for t in hours], [(s, t) for t in hours], got)
+        design, ys, keys = [], [], []
+        for s in names:
+            for t in hours:
+                present = [value[o, t] for o in names if o != s and value[o, t] is not None]
+                gap = 3 - len(present)
+                design.append([1.0, *present, *[0.0] * gap, *[0.0] * len(present), *[1.0] * gap, *[1.0 * (s == o) for o in names[1:]], *calendar(t)])
+                ys.append(value[s, t])
+                keys.append((s, t))
+        check(design, ys, keys, pooled)

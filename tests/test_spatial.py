@@ -120,3 +120,50 @@ def test_nearest_leaves_unknown_points_out(spark):
     right = spark.createDataFrame([("s", 4.61, -74.1), ("t", None, None)], "v string, lat double, lon double")
     assert [(r.u, r.v) for r in nearest(left, right, "u", "v").collect()] == [("a", "s")]
     assert [(r.u, r.v) for r in nearest(left, right, "u", "v", k=2).collect()] == [("a", "s")]
+
+
+def test_polygon_join_equals_the_even_odd_test(spark):
+    """Rings with holes and crossings, points in and around them, several cell sizes."""
+    draw = random.Random(12)
+    ring = lambda n, cx, cy, r: [(cx + draw.uniform(0.2, r) * math.cos(2 * math.pi * k / n), cy + draw.uniform(0.2, r) * math.sin(2 * math.pi * k / n)) for k in range(n)]
+    shapes = {"a": [ring(40, 0, 0, 1.5)], "b": [ring(30, 0.5, 0.5, 2.0), ring(12, 0.5, 0.5, 0.6)], "c": [[(draw.uniform(-2, 2), draw.uniform(-2, 2)) for _ in range(9)]], "line": [[(0.0, 0.0), (1.0, 1.0)]]}
+    rows = [(k, [[{"lon": x, "lat": y} for x, y in r] for r in rings]) for k, rings in shapes.items()]
+    polygons = spark.createDataFrame(rows, "zone string, rings array<array<struct<lon double, lat double>>>")
+    spots = [(k, draw.uniform(-2.5, 2.5), draw.uniform(-2.5, 2.5)) for k in range(400)] + [(900, None, 0.0)]
+    pts = spark.createDataFrame(spots, "id long, lon double, lat double")
+
+    def inside(rings, x, y):
+        hits = 0
+        for r in rings:
+            for (x1, y1), (x2, y2) in zip(r, r[1:] + r[:1]):
+                if (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1:
+                    hits += 1
+        return hits % 2 == 1
+
+    want = {(i, k) for i, x, y in spots if x is not None for k, rings in shapes.items() if inside(rings, x, y)}
+    for size in (0.05, 0.7, 9.0):
+        assert {(r.id, r.zone) for r in sp.points_in_polygons(pts, polygons, "id", "zone", size).collect()} == want
+
+
+def test_ellipsoidal_distance_is_within_a_millimetre(spark):
+    """Flinders Peak to Buninyong on GRS80: 54972.271 m, azimuth 306 52 05.37 (published by Geoscience Australia)."""
+    dms = lambda d, m, s: math.copysign(abs(d) + m / 60 + s / 3600, d)
+    a, b = (dms(144, 25, 29.52440), dms(-37, 57, 3.72030)), (dms(143, 55, 35.38390), dms(-37, 39, 10.15610))
+    g = spark.range(1).select(geo.geodesic(*[F.lit(v) for v in (*a, *b)], flattening=1 / 298.257222101).alias("g"), geo.geodesic(*[F.lit(v) for v in (*a, *a)]).alias("same"),
+                              geo.geodesic(F.lit(0.0), F.lit(0.0), F.lit(90.0), F.lit(0.0)).alias("quarter")).first()
+    assert g.g.distance_km == pytest.approx(54.972271, abs=1e-6)
+    assert math.degrees(g.g.azimuth) % 360 == pytest.approx(dms(306, 52, 5.37), abs=1e-5)
+    assert g.same.distance_km == 0 and g.quarter.distance_km == pytest.approx(6378.137 * math.pi / 2, abs=1e-9)
+
+
+def test_nearest_within_groups(spark):
+    draw = random.Random(13)
+    rows = [(g, k, draw.uniform(-170, 170), draw.uniform(-80, 80)) for g, n in (("x", 40), ("y", 7), ("z", 2), ("w", 1)) for k in range(n)]
+    pts = spark.createDataFrame(rows, "g string, id long, lon double, lat double")
+    got = {(r.g, r.id, r["rank"]): r.id_to for r in sp.nearest(pts, pts, "id", "id", 2, 50.0, positive_only=True, by=["g"]).collect()}
+    want = {}
+    for g, k, x, y in rows:
+        near = sorted((hav((x, y), (x2, y2)), j) for g2, j, x2, y2 in rows if g2 == g and j != k)[:2]
+        want.update({(g, k, n): j for n, (_, j) in enumerate(near, 1)})
+    assert got == want
+
