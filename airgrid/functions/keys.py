@@ -43,12 +43,19 @@ def slug(c: str | Column) -> Column:
     return F.regexp_replace(text, "^_+|_+$", "")
 
 
-def variable_name(c: str | Column, synonyms: dict[str, str] | None = None) -> Column:
-    """Lower-case slug with a synonym map applied to the whole name."""
+# Patterns on lower-case slugs and the names they stand for.
+VARIABLE_PATTERNS = [
+    ("^pm2_?5$", "pm25"), ("^ozono$", "ozone"), ("^temp(_.*)?$", "temp"), ("^pres(_.*)?$", "pressure"), ("^hr$", "rh"), ("^rad(_.*)?$", "radiation"),
+]
+
+
+def variable_name(c: str | Column, synonyms: dict[str, str] | None = None, patterns: list[tuple[str, str]] | None = None) -> Column:
+    """Lower-case slug; the first pattern that fits, else a synonym of the whole name, replaces it."""
     name = F.lower(slug(c))
-    if not synonyms:
-        return name
-    return F.coalesce(literal_map(synonyms)[name], name)
+    options = [recode_patterns(name, patterns)] if patterns else []
+    if synonyms:
+        options.append(literal_map(synonyms)[name])
+    return F.coalesce(*options, name)
 
 
 def literal_map(pairs: dict[str, str]) -> Column:

@@ -83,8 +83,8 @@ def membership(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def random_rows(df: DataFrame, n: int, key: str, seed: int) -> DataFrame:
-    """Reproducible sample of n rows by hashed key."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
+    """Reproducible sample of n rows: those whose key and seed have the least MD5, which any engine can repeat."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary")), F.col(key)).limit(n)
 
 
 def columns_matching(df: DataFrame, pattern: str, any_of: list[str] | None = None) -> list[str]:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from airgrid.functions.keys import normalize_station, safe_text
+from airgrid.operators.identifiers import apply_repairs, reconcile_ids
 from airgrid.operators.ordered import assign_groups
 from airgrid.operators.reshape import stack
 from airgrid.session import BROADCAST_ROWS, reliable_checkpoint, require_columns
@@ -160,6 +161,42 @@ def city_run(
     return exposure, persons, grouped
 
 
+def repaired_city_run(
+    panel: DataFrame,
+    distances: DataFrame,
+    people: DataFrame,
+    units: DataFrame,
+    pollutants: list[str] = ("pm10", "pm25"),
+    buffer_km: float = 3,
+    n: int = 5,
+    person_key: str = "row_key",
+) -> dict[str, DataFrame]:
+    """A city run whose exposure carries the census's spelling of the unit ids, and what became of them.
+
+    ``exposure``, ``persons`` and ``units`` as in ``city_run``; ``repairs`` has one row for each exposure unit
+    (original, repaired, rule, matched), checked against people and units together; ``report`` is one row of counts:
+    exposure units, those matched as they are, by which repair, unmatched, and people before and after the adult filter.
+    """
+    exposure = reliable_checkpoint(idw_exposure(panel, distances, pollutants, buffer_km))
+    key = lambda df: df.select(safe_text(df, "geo_id").alias("geo_id"))
+    census = reliable_checkpoint(key(people).unionByName(key(units)).where(F.col("geo_id").isNotNull()).distinct())
+    repairs = reconcile_ids(exposure, census)
+    known = census.select(F.col("geo_id").alias("repaired"), F.lit(True).alias("_known"))
+    repairs = reliable_checkpoint(repairs.join(known, "repaired", "left").select("original", "repaired", "rule", F.coalesce("_known", F.lit(False)).alias("matched")))
+    exposure = reliable_checkpoint(apply_repairs(exposure, repairs))
+    adults = people.where(F.col("adult") == 1)
+    persons = assign_groups(adults, "educ_years", "person_weight", n, "edu_quintile", ["geo_id", person_key])
+    grouped = assign_groups(attach_census(exposure, units), "education_mean", "pop_total", n, "edu_quintile", ["geo_id", "year"])
+    rule = F.col("rule")
+    counts = repairs.agg(
+        F.count(F.lit(1)).alias("n_units"), F.count_if(F.col("matched") & rule.isNull()).alias("n_matched_as_is"),
+        *[F.count_if(rule == r).alias(f"n_repaired_{r}") for r in ("left", "right", "strip")], F.count_if(~F.col("matched")).alias("n_unmatched"),
+    )
+    kept = kept_rows(people)
+    report = counts.withColumns({c: kept.select(c).scalar() for c in kept.columns})
+    return {"exposure": exposure, "persons": persons, "units": grouped, "repairs": repairs, "report": report}
+
+
 def kept_rows(people: DataFrame) -> DataFrame:
     """Rows before and after the adult filter."""
     return people.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("adult") == 1).alias("n_adults"))

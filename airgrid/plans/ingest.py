@@ -17,10 +17,19 @@ from airgrid.sources import readers
 
 # Provider parameter names and their codes.
 MEXICO_PARAMS = {
-    "PM10": "pm10", "PARTICULAS MENORES A 10 MICRAS": "pm10", "PM2.5": "pm25", "PM2,5": "pm25",
-    "PARTICULAS MENORES A 2.5": "pm25", "OZONO": "ozone", "O3": "ozone", "DIOXIDO DE NITROGENO": "no2",
-    "NO2": "no2", "DIOXIDO DE AZUFRE": "so2", "SO2": "so2", "MONOXIDO DE CARBONO": "co", "CO": "co",
+    "PM10": "pm10", "PARTICULAS MENORES A 10 MICRAS": "pm10", "PM2.5": "pm25", "PM2,5": "pm25", "PARTICULAS MENORES A 2.5": "pm25",
+    "OZONO": "ozone", "O3": "ozone", "DIOXIDO DE NITROGENO": "no2", "NO2": "no2", "OXIDOS DE NITROGENO": "nox", "NOX": "nox",
+    "MONOXIDO DE NITROGENO": "no", "NO": "no", "MONOXIDO DE CARBONO": "co", "CO": "co", "DIOXIDO DE AZUFRE": "so2", "SO2": "so2",
+    "DIOXIDO DE CARBONO": "co2", "CO2": "co2", "TEMPERATURA": "temperatura", "TEMP": "temperatura", "HUMEDAD RELATIVA": "rh", "RH": "rh",
+    "VELOCIDAD DEL VIENTO": "vel viento", "VEL VIENTO": "vel viento", "DIRECCION DEL VIENTO": "dir viento", "DIR VIENTO": "dir viento",
+    "PRESION BAROMETRICA": "presion baro", "PRESION BARO": "presion baro", "PRECIPITACION": "precipitacion", "LLUVIA": "precipitacion",
+    "RADIACION": "radiation", "RADIACION SOLAR": "radiation",
 }
+# Patterns on lower-case file names, for files that name no parameter otherwise; first match wins.
+MEXICO_FILES = [
+    ("pm10", "pm10"), (r"pm2_5|pm2\.5", "pm25"), (r"dioxido_de_nitrogeno|\bno2\b", "no2"), (r"dioxido_de_azufre|\bso2\b", "so2"),
+    (r"ozono|\bo3\b", "ozone"), (r"monoxido.*carbono|\bco\b", "co"),
+]
 BOGOTA_PARAMS = {
     "pm2.5": "pm25", "pm10": "pm10", "o3": "ozone", "no": "no", "no2": "no2", "nox": "nox", "co": "co",
     "so2": "so2", "temperatura": "temp", "rh": "rh", "presion baro": "pressure", "radiation": "radiation",
@@ -67,7 +76,8 @@ def register_city(config: CityConfig) -> CityConfig:
 def map_stations(readings: DataFrame, exact: dict[str, str], patterns: list[tuple[str, str]]) -> DataFrame:
     """Normalised station names with synonyms replaced; patterns come before exact names."""
     name = keys.normalize_station("station")
-    return readings.withColumn("station", F.coalesce(keys.recode_patterns(name, patterns), keys.recode_exact(name, exact)))
+    options = ([keys.recode_patterns(name, patterns)] if patterns else []) + ([keys.recode_exact(name, exact)] if exact else [])
+    return readings.withColumn("station", F.coalesce(*options, name))
 
 
 def only_listed(readings: DataFrame, stations: DataFrame) -> DataFrame:
@@ -98,10 +108,10 @@ def read_bogota_secondary(spark: SparkSession, path: str, param: str) -> DataFra
 
 
 def read_mexico(spark: SparkSession, path: str, codes: list[str] | None = None, level: int = -1) -> DataFrame:
-    """Wide hourly files with parameter names in Spanish."""
+    """Wide hourly files with parameter names in Spanish; a file that names none is judged by its own name."""
     long = readers.read_wide_stations(spark, path, codes, level)
-    return long.withColumn("param", keys.literal_map(MEXICO_PARAMS)[F.upper(F.trim(keys.strip_accents(F.upper("param"))))]).where(
-        F.col("param").isNotNull())
+    named = keys.literal_map(MEXICO_PARAMS)[F.upper(F.trim(keys.strip_accents(F.upper("param"))))]
+    return long.withColumn("param", F.coalesce(named, keys.recode_patterns(F.lower("file"), MEXICO_FILES))).where(F.col("param").isNotNull())
 
 
 def read_santiago(spark: SparkSession, path: str, registry: DataFrame, level: int = -1) -> DataFrame:
@@ -146,6 +156,22 @@ def ingest_panel(readings: DataFrame, config: CityConfig, secondary: DataFrame |
     return wide.withColumn("year", F.year("datetime"))
 
 
+def run_city(spark: SparkSession, city: str, *sources, stations: DataFrame | None = None) -> DataFrame:
+    """Panel of a registered city: its ``read`` over the sources, its ``harmonise`` over the readings, then the ingest.
+
+    ``read(spark, *sources)`` gives long readings, or a primary and a secondary table of them; ``harmonise`` takes and
+    returns readings and is applied to each.
+    """
+    config = CITIES[city]
+    if config.read is None:
+        raise ValueError(f"{city} has no reader")
+    read = config.read(spark, *sources)
+    tables = read if isinstance(read, tuple) else (read,)
+    if config.harmonise:
+        tables = tuple(config.harmonise(x) for x in tables)
+    return ingest_panel(tables[0], config, tables[1] if len(tables) > 1 else None, stations)
+
+
 def calendar_grid(wide: DataFrame) -> DataFrame:
     """Every hour of the calendar year for each station of that year."""
     members = wide.select("station", "year").distinct()
@@ -177,3 +203,19 @@ register_city(CityConfig("bogota", list(range(2000, 2024)), read=read_bogota_pri
 register_city(CityConfig("cdmx", list(range(2000, 2024)), read=read_mexico, dense=True))
 register_city(CityConfig("santiago", list(range(2000, 2024)), read=read_santiago))
 register_city(CityConfig("sao_paulo", list(range(2000, 2024)), read=read_sao_paulo))
+
+
+def _bogota(spark: SparkSession, primary: str, secondary: str, param: str) -> tuple[DataFrame, DataFrame]:
+    return read_bogota_primary(spark, primary), read_bogota_secondary(spark, secondary, param)
+
+
+def upper_stations(readings: DataFrame) -> DataFrame:
+    """Readings under the normalised names of their stations."""
+    return readings.withColumn("station", keys.normalize_station("station"))
+
+
+# The four cities of the study; the years are those of the stored histories.
+register_city(CityConfig("bogota", list(range(2000, 2024)), read=_bogota, harmonise=upper_stations))
+register_city(CityConfig("cdmx", list(range(2000, 2024)), read=read_mexico, harmonise=upper_stations, dense=True))
+register_city(CityConfig("santiago", list(range(2000, 2024)), read=read_santiago, harmonise=upper_stations))
+register_city(CityConfig("sao_paulo", list(range(2000, 2024)), read=read_sao_paulo, harmonise=upper_stations))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from airgrid.functions.keys import recode_patterns, split_code_name
 from airgrid.functions.numbers import mask_values, parse_number
 from airgrid.functions.times import add_hours, clamp_hour, date_plus_hour, parse_compact, parse_first
-from airgrid.session import require_columns
+from airgrid.session import broadcast_if_small, require_columns
 
 # Text that stands for a missing cell.
 NULL_TOKENS = ("", " ", "NA", "999")
@@ -82,11 +82,40 @@ def read_files(spark: SparkSession, path: str, encoding: str = "ISO-8859-1", lev
     return raw.select(_path_part(level).alias("file"), F.split(text, "\r?\n").alias("lines"))
 
 
+def placed_lines(spark: SparkSession, path: str, level: int = -1) -> DataFrame:
+    """Lines of text files with ``file``, ``block`` (where the line's part of the file begins, in bytes) and ``at``, which grows along a part.
+
+    Files are cut into parts like any text, so that a large one is read by many tasks.
+    """
+    lines = spark.read.text(path).select(F.col("value").alias("line"), _path_part(level).alias("file"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
+    return lines.withColumn("at", F.monotonically_increasing_id())
+
+
+def _after_preamble(spark: SparkSession, path: str, skip: int, schema: str, sep: str, level: int) -> DataFrame:
+    lines = placed_lines(spark, path, level)
+    # One row for each file. Only its first part can hold the preamble, which must not be longer than a part.
+    begins = broadcast_if_small(lines.where(F.col("block") == 0).groupBy("path").agg(F.min("at").alias("first")))
+    rows = lines.join(begins, "path").where((F.col("block") > 0) | (F.col("at") > F.col("first") + skip)).where(F.trim("line") != "")
+    parsed = F.from_csv("line", f"{schema}, _lost string", {"sep": sep, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_lost"})
+    return rows.select("file", "line", parsed.alias("r"))
+
+
 def read_after_preamble(spark: SparkSession, path: str, skip: int, schema: str, sep: str = ",") -> DataFrame:
-    """CSV rows after ``skip`` preamble lines and one header line."""
-    rows = read_files(spark, path, "UTF-8").select(F.posexplode("lines").alias("i", "line"))
-    rows = rows.where((F.col("i") > skip) & (F.trim("line") != ""))
-    return rows.select(F.from_csv("line", schema, {"sep": sep}).alias("r")).select("r.*")
+    """CSV rows after ``skip`` preamble lines and one header line of each file.
+
+    Large files are read in parts; lines that do not fit the schema are left to :func:`preamble_rejects`.
+    """
+    rows = _after_preamble(spark, path, skip, schema, sep, -1)
+    return rows.where(F.col("r._lost").isNull()).select("r.*").drop("_lost")
+
+
+REJECTS = ["file", "line", "cell", "reason"]
+
+
+def preamble_rejects(spark: SparkSession, path: str, skip: int, schema: str, sep: str = ",", level: int = -1) -> DataFrame:
+    """Lines that :func:`read_after_preamble` gives no row for: (file, line, cell, reason); ``line`` is the text, ``cell`` NULL."""
+    rows = _after_preamble(spark, path, skip, schema, sep, level)
+    return rows.where(F.col("r._lost").isNotNull()).select("file", "line", F.lit(None).cast("string").alias("cell"), F.lit("does not fit the schema").alias("reason"))
 
 
 def _first_line(lines: Column, pattern: str) -> Column:
@@ -94,29 +123,51 @@ def _first_line(lines: Column, pattern: str) -> Column:
     return F.array_position(F.transform(lines, lambda x: x.rlike(pattern)), True)
 
 
+def _marked(spark: SparkSession, path: str, level: int) -> DataFrame:
+    """Marker files with their lines and the first and last line of the data (``_s``, ``_e``), NULL without a mark."""
+    f = read_files(spark, path, level=level)
+    lines = F.col("lines")
+    hash_at, eoh_at, eof_at = (_first_line(lines, p) for p in ("^#DATA", "^EOH", "^EOF"))
+    start = F.when(hash_at > 0, hash_at).when(eoh_at > 0, eoh_at)
+    return f.withColumns({"_s": start, "_e": F.when(eof_at > 0, eof_at).otherwise(F.size(lines) + 1)})
+
+
+def _marked_rows(files: DataFrame) -> DataFrame:
+    """Lines between the marks with cells, time and value, readable or not."""
+    rows = files.where(F.col("_s").isNotNull()).select("file", "_s", "_e", F.posexplode("lines").alias("i", "line"))
+    rows = rows.where((F.col("i") >= F.col("_s")) & (F.col("i") < F.col("_e") - 1) & (F.trim("line") != ""))
+    rows = rows.withColumn("_c", F.transform(F.split("line", ","), lambda x: clean_cell(x)))
+    values = F.filter(F.slice(F.col("_c"), 3, F.greatest(F.size("_c"), F.lit(1))), lambda x: x.isNotNull())
+    return rows.select(
+        "file", "line", F.size("_c").alias("_n"), parse_compact(F.get("_c", F.lit(0)), F.get("_c", F.lit(1))).alias("datetime"),
+        F.get(values, F.lit(0)).alias("cell"), F.get(values, F.lit(0)).try_cast("double").alias("value"),
+    )
+
+
 def read_marker_files(spark: SparkSession, path: str, level: int = -1) -> DataFrame:
     """Files whose data lie between a ``#DATA`` or ``EOH`` line and an ``EOF`` line.
 
     Columns are day, clock and several versions of the value, of which the first present one counts.
-    Gives (file, datetime, value).
+    Gives (file, datetime, value); what gives no row is in :func:`marker_rejects`.
     """
-    f = read_files(spark, path, level=level)
-    lines = F.col("lines")
-    hash_at, eoh_at, eof_at = (_first_line(lines, p) for p in ("^#DATA", "^EOH", "^EOF"))
-    start = F.when(hash_at > 0, hash_at).when(eoh_at > 0, eoh_at)
-    end = F.when(eof_at > 0, eof_at).otherwise(F.size(lines) + 1)
-    body = f.withColumn("_s", start).withColumn("_e", end).where(F.col("_s").isNotNull())
-    rows = body.select("file", "_s", "_e", F.posexplode("lines").alias("i", "line"))
-    rows = rows.where((F.col("i") >= F.col("_s")) & (F.col("i") < F.col("_e") - 1))
-    cell = F.transform(F.split("line", ","), lambda x: clean_cell(x))
-    parsed = rows.withColumn("_c", cell).where(F.size("_c") >= 3)
-    values = F.filter(F.slice(F.col("_c"), 3, F.size("_c")), lambda x: x.isNotNull())
-    out = parsed.select(
-        "file",
-        parse_compact(F.get("_c", F.lit(0)), F.get("_c", F.lit(1))).alias("datetime"),
-        F.get(values, F.lit(0)).try_cast("double").alias("value"),
+    rows = _marked_rows(_marked(spark, path, level)).where(F.col("_n") >= 3)
+    return rows.where(F.col("datetime").isNotNull() & F.col("value").isNotNull()).select("file", "datetime", "value")
+
+
+def marker_rejects(spark: SparkSession, path: str, level: int = -1) -> DataFrame:
+    """Files and lines that :func:`read_marker_files` gives no row for: (file, line, cell, reason), ``line`` the text.
+
+    Rows and rejected lines together are all lines between the marks that are not empty.
+    """
+    files = _marked(spark, path, level)
+    none = F.lit(None).cast("string")
+    lost = files.where(F.col("_s").isNull()).select("file", none.alias("line"), none.alias("cell"), F.lit("no data mark").alias("reason"))
+    reason = (
+        F.when(F.col("_n") < 3, "no cells").when(F.col("datetime").isNull(), "unreadable time")
+        .when(F.col("cell").isNull(), "no value").when(F.col("value").isNull(), "unreadable value")
     )
-    return out.where(F.col("datetime").isNotNull() & F.col("value").isNotNull())
+    rows = _marked_rows(files).withColumn("reason", reason).where(F.col("reason").isNotNull())
+    return lost.unionByName(rows.select(*REJECTS))
 
 
 def _report_files(spark: SparkSession, path: str, level: int) -> DataFrame:
@@ -194,38 +245,54 @@ def station_report_rejects(spark: SparkSession, path: str, params: list[tuple[st
 QUOTED_COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 
 
-def read_wide_stations(spark: SparkSession, path: str, codes: list[str] | None = None, level: int = -1) -> DataFrame:
-    """Hourly CSV files with Fecha, Hora and one column per station named ``CODE : Name``.
-
-    Files may list different stations: each file's header meets its lines by file name. The parameter
-    comes from a column of its own or from the fourth ``__`` part of the file name. The hour is
-    clamped to 0..23. Missing readings stay as NULL rows.
-    """
+def _wide_cells(spark: SparkSession, path: str, level: int) -> DataFrame:
+    """Every station cell of wide files (file, line, head, cell, day, clock, param), with no header NULL in all but file and line."""
     bare = lambda c: F.trim(F.replace(F.replace(c, F.lit('"'), F.lit("")), F.lit(NBSP), F.lit(" ")))
     rows = read_lines(spark, path, level=level).withColumn("_c", F.transform(F.split("line", QUOTED_COMMA), bare))
     is_head = F.array_contains(F.col("_c"), "Fecha") & F.array_contains(F.col("_c"), "Hora")
     # One header line per file; the join is by file name.
-    heads = rows.where(is_head).groupBy("file").agg(F.min("_c").alias("_h"))
-    data = rows.where(~is_head).join(heads, "file")
+    heads = broadcast_if_small(rows.where(is_head).groupBy("file").agg(F.min("_c").alias("_h")))
+    data = rows.where(~is_head).join(heads, "file", "left")
     at = lambda name: F.get("_c", (F.array_position("_h", name) - 1).cast("int"))
     param_at = F.filter("_h", lambda x: x.rlike("(?i)^par.metro$"))
     from_column = F.get("_c", (F.array_position("_h", F.get(param_at, F.lit(0))) - 1).cast("int"))
     from_name = F.coalesce(F.get(F.split("file", "__"), F.lit(3)), F.lit("unknown"))
+    stations = F.filter(F.transform("_h", lambda h, j: F.struct(h.alias("head"), j.alias("j"))), lambda x: x["head"].contains(":"))
     long = data.select(
-        "file", at("Fecha").alias("day"), at("Hora").alias("clock"),
-        F.when(F.size(param_at) > 0, from_column).otherwise(from_name).alias("param"),
-        F.posexplode("_h").alias("j", "head"), "_c",
-    ).where(F.col("head").contains(":"))
+        "file", "line", at("Fecha").alias("day"), at("Hora").alias("clock"), F.when(F.size(param_at) > 0, from_column).otherwise(from_name).alias("param"),
+        F.col("_h").isNotNull().alias("_known"), F.size("_h").alias("_width"), F.explode_outer(stations).alias("_s"), "_c",
+    )
+    stamp = add_hours(parse_first("day", ["yyyy-MM-dd", "dd/MM/yyyy"]), clamp_hour(F.substring(F.trim("clock"), 1, 2)))
+    text = clean_cell(F.get("_c", F.col("_s.j")))
+    return long.select("file", "line", "_known", F.col("_s.head").alias("head"), F.col("_s.head").alias("cell"), text.alias("_text"), stamp.alias("datetime"), "param", parse_number(text).alias("value"))
+
+
+def read_wide_stations(spark: SparkSession, path: str, codes: list[str] | None = None, level: int = -1) -> DataFrame:
+    """Hourly CSV files with Fecha, Hora and one column per station named ``CODE : Name``.
+
+    Files may list different stations: each file's header meets its lines by file name, so large files are read in
+    parts. The parameter comes from a column of its own or from the fourth ``__`` part of the file name. The hour is
+    clamped to 0..23. Missing readings stay as NULL rows; what gives no row is in :func:`wide_station_rejects`.
+    """
+    cells = _wide_cells(spark, path, level).where(F.col("head").isNotNull() & F.col("datetime").isNotNull())
     code, name = split_code_name("head")
-    out = long.select(
-        "file",
-        add_hours(parse_first("day", ["yyyy-MM-dd", "dd/MM/yyyy"]), clamp_hour(F.substring(F.trim("clock"), 1, 2))).alias("datetime"),
-        name.alias("station"), code.alias("station_code"), "param",
-        parse_number(clean_cell(F.get("_c", F.col("j")))).alias("value"),
-    ).where(F.col("datetime").isNotNull())
+    out = cells.select("file", "datetime", name.alias("station"), code.alias("station_code"), "param", "value")
     return out.where(F.col("station_code").isin(list(codes))) if codes else out
 
 
+def wide_station_rejects(spark: SparkSession, path: str, level: int = -1) -> DataFrame:
+    """Lines and cells that :func:`read_wide_stations` gives no row for, or no value though there is text: (file, line, cell, reason).
+
+    ``line`` is the text, ``cell`` the station's heading; for a file without header or station ``cell`` is NULL.
+    """
+    reason = (
+        F.when(~F.col("_known"), "no header").when(F.col("head").isNull(), "no station").when(F.col("datetime").isNull(), "unreadable time")
+        .when(F.col("_text").isNotNull() & F.col("value").isNull(), "unreadable value")
+    )
+    cells = _wide_cells(spark, path, level).withColumn("reason", reason).where(F.col("reason").isNotNull())
+    return cells.select(*REJECTS)
+
+
 def read_many(spark: SparkSession, root: str, pattern: str, **options) -> DataFrame:
     """All Parquet files below ``root`` whose name matches, schemas merged by name."""
     return spark.read.options(pathGlobFilter=pattern, recursiveFileLookup=True, mergeSchema=True, **options).parquet(root)

@@ -407,6 +407,23 @@ def _(s, d):
     return t.rnd(rg.exposure_coverage(annual(s, d), persons(s, d), t.unit_distances(s, d), t.units(s, d), t.stations(s, d), buffer_km=5))
 
 
+#: Quantile of Student's t for each of the degrees of freedom in ``dof(nu)``, by bisection of the finite trigonometric sum of its distribution.
+T_QUANTILE = """, tsum AS (SELECT nu, CAST(0 AS DOUBLE) AS lo, CAST(200 AS DOUBLE) AS hi, 0 AS step FROM dof UNION ALL SELECT nu, CASE WHEN below THEN mid ELSE lo END, CASE WHEN below THEN hi ELSE mid END, step + 1 FROM (
+   SELECT *, CASE WHEN nu % 2 = 1 THEN 2 / pi() * (th + CASE WHEN nu = 1 THEN 0 ELSE sin(th) * list_sum(list_transform(range(0, CAST((nu - 1) / 2 AS BIGINT)), lambda k: exp(0.5 * ln(pi()) - ln(2) + lgamma(k + 1.0) - lgamma(k + 1.5) + (2 * k + 1) * ln(cos(th))))) END)
+     ELSE sin(th) * list_sum(list_transform(range(0, CAST(nu / 2 AS BIGINT)), lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1.0) - 0.5 * ln(pi()) + 2 * k * ln(cos(th))))) END < 0.95 AS below
+   FROM (SELECT *, (lo + hi) / 2 AS mid, atan((lo + hi) / 2 / sqrt(nu)) AS th FROM tsum WHERE step < 90))),
+ tq AS (SELECT nu, (lo + hi) / 2 AS t FROM tsum WHERE step = 90)"""
+
+
+def _interval_sql() -> str:
+    """The normalised clustered fit with its 95 percent intervals."""
+    fit = _fit_sql(True, True)
+    head, tail = fit.rsplit(" SELECT outcome, pollutant,", 1)
+    se = "CASE WHEN \"group\" = 5 THEN 0 WHEN g_n > 5 THEN sqrt(g_n / (g_n - 1) * (n - 1) / (n - 5) * v) END"
+    return head.replace("WITH ", "WITH RECURSIVE ", 1) + ", dof AS (SELECT DISTINCT CAST(g_n - 1 AS BIGINT) AS nu FROM fin)" + T_QUANTILE + f""" SELECT outcome, pollutant, "group", round(est, 6) AS estimate, round({se}, 6) AS std_error, CAST(n AS BIGINT) AS n_units, CAST(g_n AS BIGINT) AS n_clusters, 5 AS n_coef,
+  round(est - coalesce(t * {se}, NULL), 6) AS ci_low, round(est + t * {se}, 6) AS ci_high, 5 AS base_group, 'edu_quintile' AS group_col, 'geo_group' AS regression_unit, 'cluster_geo' AS se_type, true AS normalized FROM fin JOIN tq ON nu = CAST(g_n - 1 AS BIGINT)"""
+
+
 def _fit_sql(normalized: bool, clustered: bool) -> str:
     scale = "y / b" if normalized else "y"
     se = ("CASE WHEN g_n > 5 THEN sqrt(g_n / (g_n - 1) * (n - 1) / (n - 5) * v) END" if clustered
@@ -440,7 +457,7 @@ def _(s, d):
     return t.rnd(r.select(*GAP_COLS))
 
 
-@query("K6_gap_intervals")
+@query("K6_gap_intervals", _interval_sql())
 def _(s, d):
     return t.rnd(rg.exposure_regressions(annual(s, d), persons(s, d)))
 

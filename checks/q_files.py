@@ -19,6 +19,11 @@ def scratch(spark) -> str:
     return f"{shared_folder(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
 
 
+def bare(df: DataFrame) -> DataFrame:
+    """The names that ``write_lines`` was given."""
+    return df.withColumn("file", F.replace("file", F.lit("file="), F.lit("")))
+
+
 def write_lines(lines: DataFrame, path: str) -> str:
     """One folder per value of ``file`` with its lines in the order of ``ord``."""
     placed = lines.repartition("file").sortWithinPartitions("file", "ord").select("file", "value")
@@ -83,6 +88,38 @@ def _(s, d):
     return rd.read_after_preamble(s, write_lines(head.unionByName(body), root) + "/*/", 13, "day date, v double, n bigint")
 
 
+def broken_series(s, d) -> tuple[str, str]:
+    """Preamble, header, one line for each event, and a line that is no row for every tenth user."""
+    e = t.table(s, d, "events").select(F.concat(F.lit("part"), (F.col("user_id") % 3).cast("string")).alias("file"), (F.col("event_id") + 100).alias("ord"), F.when(F.col("user_id") % 10 == 0, F.concat(F.lit("lost,"), F.col("event_id").cast("string"))).otherwise(
+        F.concat_ws(",", F.to_date("ts").cast("string"), F.format_string("%.2f", "value"), F.col("event_id").cast("string"))).alias("value"))
+    head = s.range(42).select(F.concat(F.lit("part"), (F.col("id") % 3).cast("string")).alias("file"), F.floor(F.col("id") / 3).alias("ord"), F.when(F.col("id") >= 39, "day,v,n").otherwise("# note").alias("value"))
+    return write_lines(head.unionByName(e), scratch(s)) + "/*/", "day date, v double, n bigint"
+
+
+@query("A6_rows_and_rejects", """SELECT 'part' || (user_id % 3) AS file, count(*) FILTER (user_id % 10 <> 0) AS n_rows, count(*) FILTER (user_id % 10 = 0) AS n_rejects FROM events GROUP BY 1""")
+def _(s, d):
+    path, schema = broken_series(s, d)
+    lost = bare(rd.preamble_rejects(s, path, 13, schema, level=-2)).groupBy("file").agg(F.count("reason").alias("n_rejects"))
+    good = rd.read_after_preamble(s, path, 13, schema).join(t.table(s, d, "events").select(F.col("event_id").alias("n"), "user_id"), "n")
+    return good.groupBy(F.concat(F.lit("part"), (F.col("user_id") % 3).cast("string")).alias("file")).agg(F.count(F.lit(1)).alias("n_rows")).join(lost, "file")
+
+
+@query("A7_marker_rejects", """SELECT 'REGION__ST' || lpad(CAST(user_id % 25 AS VARCHAR), 2, '0') AS file, count(*) FILTER (event_type IN ('view', 'click')) AS n_rows, CASE event_type WHEN 'purchase' THEN 'unreadable value' WHEN 'signup' THEN 'unreadable time' WHEN 'error' THEN 'no value' END AS reason, count(*) AS n
+ FROM events GROUP BY 1, 3""")
+def _(s, d):
+    e = t.table(s, d, "events").withColumn("file", F.concat(F.lit("REGION__ST"), F.lpad((F.col("user_id") % 25).cast("string"), 2, "0")))
+    kind = F.col("event_type")
+    day = F.when(kind == "signup", "999999").otherwise(F.date_format("ts", "yyMMdd"))
+    cell = F.when(kind == "purchase", "n/a").when(kind == "error", "").otherwise(F.format_string("%.2f", "value"))
+    body = e.select("file", (F.col("event_id") + 10).alias("ord"), F.concat_ws(",", day, F.date_format("ts", "HH00"), cell, F.lit("")).alias("value"))
+    marks = e.select("file").distinct().select("file", F.explode(F.array(F.struct(F.lit(0).cast("long").alias("ord"), F.lit("#DATA").alias("value")), F.struct(F.lit(1 << 60).alias("ord"), F.lit("EOF").alias("value")))).alias("m")).select("file", "m.*")
+    path = write_lines(body.unionByName(marks), scratch(s)) + "/*/"
+    good = bare(rd.read_marker_files(s, path, level=-2)).groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    lost = bare(rd.marker_rejects(s, path, level=-2)).groupBy("file", "reason").agg(F.count(F.lit(1)).alias("n"))
+    both = good.withColumn("reason", F.lit(None).cast("string")).unionByName(lost)
+    return both.select("file", F.when(F.col("reason").isNull(), F.col("n")).otherwise(F.lit(0).cast("long")).alias("n_rows"), "reason", "n")
+
+
 @query("A10_many_files", "SELECT s_suppkey AS k, s_acctbal AS balance, NULL AS segment FROM supplier UNION ALL SELECT c_custkey, c_acctbal, c_mktsegment FROM customer")
 def _(s, d):
     root = scratch(s)
@@ -137,69 +174,99 @@ def _(s, d):
     return ig.ingest_panel(long, ig.CityConfig("santiago", [2024], ["pm10", "pm25"]))
 
 
-@query("K2_ingest_sao_paulo", HOURLY + """, g AS (SELECT datetime + INTERVAL 1 HOUR AS datetime, k, event_type, value FROM r)""" + SANTIAGO_SQL.replace("FROM r", "FROM g"))
+@query("K2_ingest_sao_paulo", HOURLY + """, g AS (SELECT datetime + INTERVAL 1 HOUR AS datetime, k, event_type, value FROM r) SELECT 'ST' || lpad(CAST(k AS VARCHAR), 2, '0') AS station, datetime, CAST(year(datetime) AS INTEGER) AS year,
+ avg(CASE WHEN event_type = 'view' THEN value END) AS pm10, avg(CASE WHEN event_type = 'click' THEN value END) AS pm25, avg(CASE WHEN event_type = 'purchase' THEN value END) AS ozone, avg(CASE WHEN event_type = 'signup' THEN value END) AS no2, avg(CASE WHEN event_type = 'error' THEN value END) AS rh FROM g GROUP BY 1, 2""")
 def _(s, d):
-    h = hourly(s, d).where("param in ('view', 'click')")
-    wide = h.groupBy("station", "datetime").agg(F.max(F.when(F.col("param") == "view", F.col("value"))).alias("a"), F.max(F.when(F.col("param") == "click", F.col("value"))).alias("b"))
+    kinds = ["view", "click", "purchase", "signup", "error"]
+    wide = hourly(s, d).groupBy("station", "datetime").agg(*[F.max(F.when(F.col("param") == k, F.col("value"))).alias(k) for k in kinds])
     num = lambda c: F.coalesce(F.replace(F.format_string("%.2f", c), F.lit("."), F.lit(",")), F.lit(""))
     text = lambda c: F.when(F.col(c).isNotNull(), num(c)).otherwise("")
     clock = F.concat(F.lpad((F.hour("datetime") + 1).cast("string"), 2, "0"), F.lit(":00"))
     body = wide.select(F.concat(F.lit("f_"), "station").alias("file"), (F.lit(100) + F.unix_seconds(F.col("datetime").cast("timestamp"))).alias("ord"),
-                       F.concat_ws(";", F.date_format("datetime", "dd/MM/yyyy"), clock, text("a"), text("b")).alias("value"))
+                       F.concat_ws(";", F.date_format("datetime", "dd/MM/yyyy"), clock, *map(text, kinds)).alias("value"))
     heads = wide.select("station").distinct().withColumn("m", F.explode(F.array(
         F.struct(F.lit(0).cast("long").alias("ord"), F.concat(F.lit("Codigo da estacao: "), F.substring("station", 3, 2)).alias("value")),
         F.struct(F.lit(1).cast("long").alias("ord"), F.concat(F.lit("Nome da estacao: "), F.initcap("station")).alias("value")),
-        F.struct(F.lit(2).cast("long").alias("ord"), F.lit("Data;Hora;Media;Media").alias("value")),
-        F.struct(F.lit(3).cast("long").alias("ord"), F.lit(";;MP10 (ug/m3);MP2.5 (ug/m3)").alias("value")))))
+        F.struct(F.lit(2).cast("long").alias("ord"), F.lit("Data;Hora;Media;Media;Media;Media;Media").alias("value")),
+        F.struct(F.lit(3).cast("long").alias("ord"), F.lit(";;MP10 (ug/m3);MP2.5 (ug/m3);O3 (ug/m3);NO2 (ug/m3);UR (%)").alias("value")))))
     path = write_lines(body.unionByName(heads.select(F.concat(F.lit("f_"), "station").alias("file"), "m.ord", "m.value")), scratch(s)) + "/*/"
     reg = t.stations(s, d).select(F.col("station_id").alias("station"))
-    return ig.ingest_panel(ig.read_sao_paulo(s, path, reg, level=-2), ig.CityConfig("sao_paulo", [2024], ["pm10", "pm25"]))
+    return ig.ingest_panel(ig.read_sao_paulo(s, path, reg, level=-2), ig.CityConfig("sao_paulo", [2024], ["pm10", "pm25", "ozone", "no2", "rh"]))
+
+
+#: What each kind of event is called in the name of its wide file; one is only to be guessed.
+WIDE_NAMES = {"view": "a__b__c__PM10", "click": "a__b__c__PM2.5", "purchase": "datos_ozono_2024", "signup": "a__b__c__NO2", "error": "a__b__c__RH"}
 
 
 def wide_files(s, d) -> str:
-    """One file per parameter with a column for every station."""
+    """One file per kind of event with a column for every station."""
     names = [f"ST{i:02d}" for i in range(t.N_STATIONS)]
-    h = hourly(s, d).where("param in ('view', 'click')").withColumn("param", F.when(F.col("param") == "view", "PM10").otherwise("PM2.5"))
-    w = h.groupBy("param", "datetime").agg(*[F.max(F.when(F.col("station") == n, F.col("value"))).alias(n) for n in names])
+    called = F.create_map(*[F.lit(x) for kv in WIDE_NAMES.items() for x in kv])
+    h = hourly(s, d).withColumn("file", called[F.col("param")])
+    w = h.groupBy("file", "datetime").agg(*[F.max(F.when(F.col("station") == n, F.col("value"))).alias(n) for n in names])
     cell = [F.when(F.col(n).isNotNull(), F.format_string("%.2f", n)).otherwise("-") for n in names]
-    file = F.concat(F.lit("a__b__c__"), "param")
-    body = w.select(file.alias("file"), (F.lit(10) + F.unix_seconds(F.col("datetime").cast("timestamp"))).alias("ord"),
-                    F.concat_ws(",", F.date_format("datetime", "yyyy-MM-dd"), F.date_format("datetime", "HH:mm"), *cell).alias("value"))
-    head = h.select(file.alias("file")).distinct().withColumn("ord", F.lit(0).cast("long")).withColumn("value", F.lit("Fecha,Hora," + ",".join(f'"C{n[2:]} : {n}"' for n in names)))
+    body = w.select("file", (F.lit(10) + F.unix_seconds(F.col("datetime").cast("timestamp"))).alias("ord"), F.concat_ws(",", F.date_format("datetime", "yyyy-MM-dd"), F.date_format("datetime", "HH:mm"), *cell).alias("value"))
+    head = h.select("file").distinct().withColumn("ord", F.lit(0).cast("long")).withColumn("value", F.lit("Fecha,Hora," + ",".join(f'"C{n[2:]} : {n}"' for n in names)))
     return write_lines(head.unionByName(body), scratch(s)) + "/*/"
 
 
-@query("A9_wide_station_csv", HOURLY + """, h AS (SELECT DISTINCT event_type, datetime FROM r WHERE event_type IN ('view', 'click')), st AS (SELECT DISTINCT CAST(n_nationkey AS BIGINT) AS k FROM nation)
- SELECT 'ST' || lpad(CAST(st.k AS VARCHAR), 2, '0') AS station, 'C' || lpad(CAST(st.k AS VARCHAR), 2, '0') AS station_code, h.datetime, CASE h.event_type WHEN 'view' THEN 'PM10' ELSE 'PM2.5' END AS param, r.value
+WIDE_PARAM = "CASE event_type WHEN 'view' THEN 'PM10' WHEN 'click' THEN 'PM2.5' WHEN 'signup' THEN 'NO2' WHEN 'error' THEN 'RH' ELSE 'unknown' END"
+
+
+@query("A9_wide_station_csv", HOURLY + f""", h AS (SELECT DISTINCT event_type, datetime FROM r), st AS (SELECT DISTINCT CAST(n_nationkey AS BIGINT) AS k FROM nation)
+ SELECT 'ST' || lpad(CAST(st.k AS VARCHAR), 2, '0') AS station, 'C' || lpad(CAST(st.k AS VARCHAR), 2, '0') AS station_code, h.datetime, {WIDE_PARAM.replace('event_type', 'h.event_type')} AS param, r.value
  FROM h CROSS JOIN st LEFT JOIN r ON r.k = st.k AND r.datetime = h.datetime AND r.event_type = h.event_type""")
 def _(s, d):
     rows = rd.read_wide_stations(s, wide_files(s, d), level=-2)
     return rows.select("station", "station_code", "datetime", "param", "value")
 
 
+@query("A9_wide_rejects", """SELECT 'f' || (user_id % 4) AS file, CASE WHEN user_id % 4 = 3 THEN 'no header' WHEN event_type = 'error' THEN 'unreadable time' WHEN event_type = 'click' THEN 'unreadable value' END AS reason,
+ CASE WHEN user_id % 4 <> 3 THEN 'C01 : one' END AS cell, count(*) AS n FROM events GROUP BY 1, 2, 3""")
+def _(s, d):
+    e = t.table(s, d, "events").withColumn("file", F.concat(F.lit("f"), (F.col("user_id") % 4).cast("string")))
+    kind = F.col("event_type")
+    body = e.select("file", (F.col("event_id") + 10).alias("ord"), F.concat_ws(",", F.when(kind == "error", "soon").otherwise(F.date_format("ts", "yyyy-MM-dd")), F.date_format("ts", "HH:mm"), F.when(kind == "click", "n/a").otherwise(F.format_string("%.2f", "value"))).alias("value"))
+    head = e.select("file").distinct().where("file <> 'f3'").select("file", F.lit(0).cast("long").alias("ord"), F.lit('Fecha,Hora,"C01 : one"').alias("value"))
+    path = write_lines(head.unionByName(body), scratch(s)) + "/*/"
+    lost = bare(rd.wide_station_rejects(s, path, level=-2)).groupBy("file", "reason", "cell").agg(F.count(F.lit(1)).alias("n"))
+    good = bare(rd.read_wide_stations(s, path, level=-2)).where("value is not null").groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    good = good.select("file", F.lit(None).cast("string").alias("reason"), F.lit("C01 : one").alias("cell"), "n")
+    return good.unionByName(lost)
+
+
 @query("K2_ingest_mexico", HOURLY + """, st AS (SELECT DISTINCT 'ST' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS station, 'C' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS station_code, CAST(n_nationkey AS BIGINT) AS k FROM nation),
  hrs AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-12-31 23:00:00', INTERVAL 1 HOUR)) AS datetime)
- SELECT st.station, station_code, hrs.datetime, CAST(2024 AS INTEGER) AS year, avg(CASE WHEN event_type = 'view' THEN value END) AS pm10, avg(CASE WHEN event_type = 'click' THEN value END) AS pm25
- FROM st CROSS JOIN hrs LEFT JOIN r ON r.k = st.k AND r.datetime = hrs.datetime GROUP BY 1, 2, 3""")
+ SELECT st.station, station_code, hrs.datetime, CAST(2024 AS INTEGER) AS year, avg(CASE WHEN event_type = 'view' THEN value END) AS pm10, avg(CASE WHEN event_type = 'click' THEN value END) AS pm25, avg(CASE WHEN event_type = 'purchase' THEN value END) AS ozone,
+  avg(CASE WHEN event_type = 'signup' THEN value END) AS no2, avg(CASE WHEN event_type = 'error' THEN value END) AS rh FROM st CROSS JOIN hrs LEFT JOIN r ON r.k = st.k AND r.datetime = hrs.datetime GROUP BY 1, 2, 3""")
 def _(s, d):
     long = ig.read_mexico(s, wide_files(s, d), level=-2)
-    return ig.ingest_panel(long, ig.CityConfig("cdmx", [2024], ["pm10", "pm25"], dense=True))
+    return ig.ingest_panel(long, ig.CityConfig("cdmx", [2024], ["pm10", "pm25", "ozone", "no2", "rh"], dense=True))
+
+
+@query("M5_registered_city", HOURLY + """ SELECT CASE k WHEN 4 THEN 'FOUR' ELSE 'ST' || lpad(CAST(k AS VARCHAR), 2, '0') END AS station, datetime, CAST(year(datetime) AS INTEGER) AS year, avg(CASE WHEN event_type = 'view' THEN value END) AS pm10, avg(CASE WHEN event_type = 'click' THEN value END) AS pm25
+ FROM r GROUP BY 1, 2""")
+def _(s, d):
+    names = {"view": "pm10", "click": "pm25"}
+    read = lambda spark, folder: hourly(spark, folder).withColumn("param", F.coalesce(F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col("param")], "param"))
+    ig.register_city(ig.CityConfig("demo", [2024], ["pm10", "pm25"], read=read, harmonise=lambda x: ig.map_stations(x, {"ST04": "FOUR"}, [])))
+    return ig.run_city(s, "demo", d)
 
 
-@query("K2_ingest_bogota", HOURLY + """, p AS (SELECT k, datetime, event_type AS param, value FROM r WHERE event_type IN ('view', 'click') AND k <> 3), q AS (SELECT k, datetime, 'view' AS param, value FROM r WHERE event_type = 'purchase'),
+@query("K2_ingest_bogota", HOURLY + """, p AS (SELECT k, datetime, event_type AS param, value FROM r WHERE event_type <> 'purchase' AND k <> 3), q AS (SELECT k, datetime, 'view' AS param, value FROM r WHERE event_type = 'purchase'),
  cov AS (SELECT DISTINCT k, param FROM p), m AS (SELECT p.* FROM p UNION ALL SELECT q.* FROM q WHERE NOT EXISTS (SELECT 1 FROM cov WHERE cov.k = q.k AND cov.param = q.param))
- SELECT 'ST' || lpad(CAST(k AS VARCHAR), 2, '0') AS station, datetime, CAST(year(datetime) AS INTEGER) AS year, avg(CASE WHEN param = 'view' THEN value END) AS pm10, avg(CASE WHEN param = 'click' THEN value END) AS pm25 FROM
+ SELECT 'ST' || lpad(CAST(k AS VARCHAR), 2, '0') AS station, datetime, CAST(year(datetime) AS INTEGER) AS year, avg(CASE WHEN param = 'view' THEN value END) AS pm10, avg(CASE WHEN param = 'click' THEN value END) AS pm25, avg(CASE WHEN param = 'signup' THEN value END) AS ozone, avg(CASE WHEN param = 'error' THEN value END) AS no2 FROM
  (SELECT * FROM m UNION ALL SELECT k, datetime, 'none', NULL FROM q WHERE EXISTS (SELECT 1 FROM cov WHERE cov.k = q.k AND cov.param = q.param) AND NOT EXISTS (SELECT 1 FROM p WHERE p.k = q.k AND p.datetime = q.datetime)) GROUP BY 1, 2""")
 def _(s, d):
     h = hourly(s, d)
     stamp = F.when(F.hour("datetime") == 0, F.concat(F.date_format(F.col("datetime") - F.expr("INTERVAL 1 DAY"), "dd-MM-yyyy"), F.lit(" 24:00"))).otherwise(F.date_format("datetime", "dd-MM-yyyy HH:mm"))
-    first = h.where("param in ('view', 'click') and station <> 'ST03'").groupBy("station", stamp.alias("datetime")).agg(
-        F.max(F.when(F.col("param") == "view", F.col("value"))).alias("PM10"), F.max(F.when(F.col("param") == "click", F.col("value"))).alias("PM2.5"))
+    kinds = {"view": "PM10", "click": "PM2.5", "signup": "O3", "error": "NO2"}
+    first = h.where("param <> 'purchase' and station <> 'ST03'").groupBy("station", stamp.alias("datetime")).agg(*[F.max(F.when(F.col("param") == k, F.col("value"))).alias(c) for k, c in kinds.items()])
     a, b = scratch(s), scratch(s)
     first.withColumn("station", F.lower("station")).write.csv(a, header=True)
     late = F.date_format(F.col("datetime") + F.expr("INTERVAL 20 MINUTES"), "yyyy-MM-dd HH:mm")
     h.where("param = 'purchase'").select(F.col("station").alias("Estacion"), late.alias("Fecha inicial"), late.alias("Fecha final"), F.col("value").alias("PM10")).write.csv(b, header=True)
-    return ig.ingest_panel(ig.read_bogota_primary(s, a), ig.CityConfig("bogota", [2024], ["pm10", "pm25"]), ig.read_bogota_secondary(s, b, "pm10"))
+    return ig.ingest_panel(ig.read_bogota_primary(s, a), ig.CityConfig("bogota", [2024], ["pm10", "pm25", "ozone", "no2"]), ig.read_bogota_secondary(s, b, "pm10"))
 
 
 @query("K19_legacy_preparation", t.ctes("readings") + """, x AS (SELECT CASE station WHEN 'ST01' THEN 'ALPHA' ELSE station END AS station, datetime + INTERVAL 1 HOUR AS datetime, value FROM readings),
@@ -218,11 +285,12 @@ def _(s, d):
     return s.read.parquet(root + "_parquet").unionByName(s.read.csv(root + "_csv", header=True))
 
 
-@query("A14_inferred_name", t.ctes("long_panel") + """ SELECT 'demo_' || min(year) || '_' || max(year) || '_parquet' AS name, count(*) AS n FROM long_panel""")
+@query("A14_inferred_name", t.ctes("long_panel") + """ SELECT 'demo_' || min(year) || '_' || max(year) || '_parquet' AS name, count(*) AS n, count(*) AS n_csv, round(sum(pm10), 3) AS total_csv FROM long_panel""")
 def _(s, d):
     base = sk.write_inferred(t.long_panel(s, d).withColumn("city", F.lit("demo")), scratch(s), ["parquet", "csv.gz"])
     name = base.rsplit("/", 1)[1] + "_parquet"
-    return s.read.parquet(base + "_parquet").agg(F.count(F.lit(1)).alias("n")).withColumn("name", F.lit(name))
+    text = s.read.csv(base + "_csv_gz", header=True).agg(F.count(F.lit(1)).alias("n_csv"), F.round(F.sum(F.col("pm10").cast("double")), 3).alias("total_csv"))
+    return s.read.parquet(base + "_parquet").agg(F.count(F.lit(1)).alias("n")).withColumns({"name": F.lit(name), **{c: text.select(c).scalar() for c in text.columns}})
 
 
 @query("A15_result_writer", "SELECT 'demo' AS city, 3 AS buffer_km, s_suppkey, s_name FROM supplier")

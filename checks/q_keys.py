@@ -41,6 +41,16 @@ def _(s, d):
     return t.table(s, d, "part").select("p_partkey", keys.variable_name("p_type", {"economy": "eco", "standard": "std"}).alias("v"))
 
 
+_RAW_NAMES = "CASE n_nationkey % 9 WHEN 0 THEN ' PM2.5 ' WHEN 1 THEN 'Pm-25' WHEN 2 THEN 'OZONO' WHEN 3 THEN 'Temp. (C)' WHEN 4 THEN 'Presión' WHEN 5 THEN 'HR' WHEN 6 THEN 'Rad [W/m2]' WHEN 7 THEN n_name ELSE 'temporal' END"
+
+
+@query("H4_pattern_synonyms", f"""SELECT n_nationkey, CASE n_nationkey % 9 WHEN 0 THEN 'pm25' WHEN 1 THEN 'pm_25' WHEN 2 THEN 'ozone' WHEN 3 THEN 'temp' WHEN 4 THEN 'presion' WHEN 5 THEN 'rh' WHEN 6 THEN 'radiation' WHEN 7 THEN lower(n_name) ELSE 'other' END AS v
+ FROM nation""")
+def _(s, d):
+    n = t.table(s, d, "nation").withColumn("raw", F.expr(_RAW_NAMES))
+    return n.select("n_nationkey", keys.variable_name("raw", {"temporal": "other"}, keys.VARIABLE_PATTERNS).alias("v"))
+
+
 @query("H5_station_synonyms", "SELECT n_nationkey, CASE WHEN regexp_matches(n_name, 'NATION_1.') THEN 'TEEN' WHEN n_name = 'NATION_3' THEN 'THREE' ELSE n_name END AS station FROM nation")
 def _(s, d):
     from airgrid.plans.ingest import map_stations

@@ -126,9 +126,9 @@ def _(s, d):
     return t.rnd(reshape.densify(t.panel(s, d)))
 
 
-@query("C13_missing_combinations", t.ctes("long_panel") + " SELECT a.station, b.year FROM (SELECT DISTINCT station FROM long_panel WHERE pm10 > 60.5) a, (SELECT DISTINCT year FROM long_panel WHERE pm10 > 60.5) b EXCEPT SELECT station, year FROM long_panel WHERE pm10 > 60.5")
+@query("C13_missing_combinations", t.ctes("long_panel") + ", v AS (SELECT DISTINCT station, CAST(datetime AS DATE) AS day FROM long_panel) SELECT a.station, b.day FROM (SELECT DISTINCT station FROM v) a, (SELECT DISTINCT day FROM v) b EXCEPT SELECT station, day FROM v")
 def _(s, d):
-    return reshape.missing_combinations(t.long_panel(s, d).where("pm10 > 60.5"), "station", "year")
+    return reshape.missing_combinations(t.long_panel(s, d).withColumn("day", F.to_date("datetime")), "station", "day")
 
 
 @query("F6_stack", """ SELECT s_suppkey AS k, s_acctbal AS balance, NULL AS segment FROM supplier UNION ALL SELECT c_custkey, c_acctbal, c_mktsegment FROM customer""")
@@ -151,7 +151,7 @@ def _(s, d):
     return o.where("o_orderstatus = 'F'").select("k").subtract(o.where("o_orderstatus = 'P'").select("k"))
 
 
-@query("F11_random_rows")
+@query("F11_random_rows", "SELECT * FROM orders ORDER BY md5(CAST(o_orderkey AS VARCHAR) || ':42'), o_orderkey LIMIT 200")
 def _(s, d):
     return reshape.random_rows(t.table(s, d, "orders"), 200, "o_orderkey", 42)
 

@@ -85,6 +85,13 @@ def _(s, d):
     return t.rnd(se.correlations(combined(s, d), "sat", "gnd", scales=["hourly", "daily"]))
 
 
+@query("D31_all_scales", t.ctes("long_panel") + """, x AS (SELECT station, CAST(datetime AS DATE) AS day, pm10, pm25 FROM long_panel), dy AS (SELECT station, day, avg(pm10) AS pm10, avg(pm25) AS pm25 FROM x GROUP BY 1, 2),
+ mo AS (SELECT station, date_trunc('month', day) AS m, avg(pm10) AS pm10, avg(pm25) AS pm25 FROM x GROUP BY 1, 2)
+ SELECT station, 'hourly' AS time_scale, round(corr(pm10, pm25), 6) AS correlation FROM x GROUP BY 1 UNION ALL SELECT station, 'daily', round(corr(pm10, pm25), 6) FROM dy GROUP BY 1 UNION ALL SELECT station, 'monthly', round(corr(pm10, pm25), 6) FROM mo GROUP BY 1""")
+def _(s, d):
+    return t.rnd(se.correlations(t.long_panel(s, d).withColumn("date", F.to_date("datetime")), "pm10", "pm25", by="station"))
+
+
 @query("D32_hour_profile", SERIES + """ SELECT city, hour, round(avg(sat), 8) AS mean_sat, round(stddev_samp(sat), 8) AS sd_sat, count(sat) AS n_sat, round(stddev_samp(sat) / sqrt(count(sat)), 8) AS se_sat,
  round(avg(gnd), 8) AS mean_gnd, round(stddev_samp(gnd), 8) AS sd_gnd, count(gnd) AS n_gnd, round(stddev_samp(gnd) / sqrt(nullif(count(gnd), 0)), 8) AS se_gnd FROM cmb GROUP BY 1, 2""")
 def _(s, d):
@@ -167,6 +174,17 @@ def _(s, d):
     return t.rnd(versions(s, d)["diff_summary"])
 
 
+@query("F13_compare_panels", OLDNEW + """ SELECT 'only_old' AS part, count(*) AS n, CAST(NULL AS DOUBLE) AS size FROM j WHERE coalesce(pm10_old, pm25_old) IS NOT NULL AND coalesce(pm10_new, pm25_new) IS NULL
+ UNION ALL SELECT 'only_new', count(*), NULL FROM j WHERE coalesce(pm10_new, pm25_new) IS NOT NULL AND coalesce(pm10_old, pm25_old) IS NULL UNION ALL SELECT 'diffs_long', count(*), round(sum(absv), 3) FROM dl
+ UNION ALL SELECT 'diff_summary', count(DISTINCT variable), CAST(count(*) FILTER (NOT coalesce(within_tol, false)) AS DOUBLE) FROM dl""")
+def _(s, d):
+    parts = versions(s, d)
+    none = F.lit(None).cast("double")
+    size = {"diffs_long": F.round(F.sum("absv"), 3), "diff_summary": F.sum("n_diff").cast("double")}
+    rows = [df.agg(F.count(F.lit(1)).alias("n"), size.get(name, none).alias("size")).withColumn("part", F.lit(name)) for name, df in parts.items()]
+    return cp.progression(rows)
+
+
 @query("K18_match_summary", OLDNEW + """ SELECT variable, count(*) AS n_units, count(*) FILTER (coalesce(within_tol, false)) AS n_match, count(*) FILTER (NOT coalesce(within_tol, false)) AS n_diff,
  round(CAST(count(*) FILTER (coalesce(within_tol, false)) AS DOUBLE) / count(*), 6) AS share_match, round(avg(absv), 6) AS mean_abs_diff, round(max(absv), 6) AS max_abs_diff FROM dl GROUP BY 1""")
 def _(s, d):
@@ -315,6 +333,31 @@ def _(s, d):
     return t.rnd(ex.city_run(t.panel(s, d), t.unit_distances(s, d), people, units, buffer_km=5)[2])
 
 
+@query("K5_repaired_run", qe.BASE + """, ids AS (SELECT DISTINCT CAST(CAST(substr(geo_id, 2) AS INTEGER) AS VARCHAR) AS original, substr(geo_id, 2) AS full_id FROM exposure WHERE CAST(substr(geo_id, 2) AS INTEGER) % 5 <> 0
+   UNION ALL SELECT DISTINCT substr(geo_id, 2), substr(geo_id, 2) FROM exposure WHERE CAST(substr(geo_id, 2) AS INTEGER) % 5 = 0),
+ census AS (SELECT DISTINCT substr(geo_id, 2) AS id FROM people WHERE geo_id IS NOT NULL)
+ SELECT count(*) AS n_units, count(*) FILTER (original = full_id AND full_id IN (SELECT id FROM census)) AS n_matched_as_is, count(*) FILTER (original <> full_id AND full_id IN (SELECT id FROM census)) AS n_repaired_left, 0::BIGINT AS n_repaired_right, 0::BIGINT AS n_repaired_strip,
+  count(*) FILTER (full_id NOT IN (SELECT id FROM census)) AS n_unmatched, (SELECT count(*) FROM people) AS n_rows, (SELECT count(*) FROM people WHERE adult = 1) AS n_adults FROM ids""")
+def _(s, d):
+    return repaired(s, d)["report"]
+
+
+@query("K5_repaired_exposure", qe.BASE + f""", census AS (SELECT DISTINCT substr(geo_id, 2) AS id FROM people WHERE geo_id IS NOT NULL) SELECT CASE WHEN substr(geo_id, 2) IN (SELECT id FROM census) OR CAST(substr(geo_id, 2) AS INTEGER) % 5 = 0 THEN substr(geo_id, 2)
+  ELSE CAST(CAST(substr(geo_id, 2) AS INTEGER) AS VARCHAR) END AS geo_id, year, round(avg_pm10, 6) AS avg_pm10, round(avg_pm25, 6) AS avg_pm25 FROM exposure""")
+def _(s, d):
+    return t.rnd(repaired(s, d)["exposure"].select("geo_id", "year", "avg_pm10", "avg_pm25"))
+
+
+def repaired(s, d):
+    """A run whose distance table has lost the zeros of most unit ids."""
+    from airgrid.plans.census import collapse_census
+    bare = F.substring("geo_id", 2, 6)
+    people = t.people(s, d).withColumn("geo_id", bare)
+    units = collapse_census(people.where("adult = 1"), bands=()).select("geo_id", "pop_total", "education_mean")
+    pairs = t.unit_distances(s, d).withColumn("geo_id", F.when(bare.cast("int") % 5 == 0, bare).otherwise(bare.cast("int").cast("string")))
+    return ex.repaired_city_run(t.panel(s, d), pairs, people, units, buffer_km=5)
+
+
 # ---- stations in context ---------------------------------------------------------------------------
 
 UNIT_TABLE = t.ctes("units", "stations", "people", "panel") + """, ut AS (SELECT u.geo_id, u.lon, u.lat, c.pop_total, c.em AS education_mean FROM units u JOIN (SELECT geo_id, sum(person_weight) AS pop_total,

@@ -86,3 +86,57 @@ def test_panel_sink_replaces_only_written_years(spark, tmp_path):
     assert {(r.year, r.pm10) for r in rd.read_panel(spark, root).collect()} == {(2022, 1.0), (2023, 9.0)}
     plan = rd.read_panel(spark, root, [2023], ["station", "pm10"])._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "datetime" not in plan.split("ReadSchema")[1]
+
+
+def test_large_preamble_files_are_read_in_parts(spark, tmp_path):
+    """Two files of many parts and a small one; the preamble goes from each, broken lines are rejects."""
+    from airgrid.sources import readers as rd
+
+    for name, n in (("a.csv", 20_000), ("b.csv", 12_000), ("c.csv", 3)):
+        lines = ["# note, with, commas", ""] * 6 + ["# last", "day,v,n"] + [f"2024-01-{k % 28 + 1:02d},{k / 4},{k}" if k % 500 != 7 else f"broken {k}" for k in range(n)]
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    schema = "day date, v double, n bigint"
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32768")
+    try:
+        rows = rd.read_after_preamble(spark, str(tmp_path), 13, schema)
+        assert rows.rdd.getNumPartitions() > 10
+        got = sorted((r.n, r.v, r.day.day) for r in rows.collect())
+        lost = rd.preamble_rejects(spark, str(tmp_path), 13, schema).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = [k for n in (20_000, 12_000, 3) for k in range(n)]
+    assert got == sorted((k, k / 4, k % 28 + 1) for k in want if k % 500 != 7)
+    assert sorted((r.file, r.line) for r in lost) == sorted((f, f"broken {k}") for f, n in (("a.csv", 20_000), ("b.csv", 12_000)) for k in range(n) if k % 500 == 7)
+
+
+def test_rejects_share_one_shape(spark, tmp_path):
+    from airgrid.sources import readers as rd
+
+    marked, wide = tmp_path / "m", tmp_path / "w"
+    marked.mkdir()
+    wide.mkdir()
+    (marked / "x").write_text("h\n#DATA\n240101,0100,1.5,,\n240101,9999,2,,\n240101,0300,,,\n240101,0400,abc,,\nshort\nEOF\n240101,0500,3,,\n")
+    (marked / "y").write_text("nothing\n")
+    (wide / "p__q__r__PM10").write_text('Fecha,Hora,"A : a","B : b"\n2024-01-01,01:00,1,-\n2024-01-01,02:00,x,2\nnever,03:00,1,2\n')
+    (wide / "none").write_text("2024-01-01,01:00,1\n")
+    lost = rd.marker_rejects(spark, str(marked))
+    assert lost.columns == rd.REJECTS == rd.wide_station_rejects(spark, str(wide)).columns
+    assert sorted((r.file, r.line or "", r.reason) for r in lost.collect()) == [
+        ("x", "240101,0300,,,", "no value"), ("x", "240101,0400,abc,,", "unreadable value"), ("x", "240101,9999,2,,", "unreadable time"), ("x", "short", "no cells"), ("y", "", "no data mark")]
+    assert rd.read_marker_files(spark, str(marked)).count() == 1
+    assert sorted((r.file, r.cell or "", r.reason) for r in rd.wide_station_rejects(spark, str(wide)).collect()) == [
+        ("none", "", "no header"), ("p__q__r__PM10", "A : a", "unreadable time"), ("p__q__r__PM10", "A : a", "unreadable value"), ("p__q__r__PM10", "B : b", "unreadable time")]
+    assert rd.read_wide_stations(spark, str(wide)).count() == 4
+
+
+def test_registered_city_uses_its_hooks(spark):
+    from pyspark.sql import functions as F
+
+    from airgrid.plans import ingest as ig
+
+    rows = spark.createDataFrame([(" alfa", "2024-03-01 01:00:00", "pm10", 4.0), ("Bêta", "2024-03-01 01:00:00", "pm10", 6.0)], "station string, datetime string, param string, value double").withColumn("datetime", F.to_timestamp_ntz("datetime"))
+    ig.register_city(ig.CityConfig("here", [2024], ["pm10"], read=lambda spark, df: (df.limit(1), df), harmonise=ig.upper_stations))
+    got = {(r.station, r.pm10) for r in ig.run_city(spark, "here", rows).collect()}
+    assert got == {("ALFA", 4.0), ("BETA", 6.0)}
+    assert {"bogota", "cdmx", "santiago", "sao_paulo"} <= set(ig.CITIES)
