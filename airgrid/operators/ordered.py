@@ -154,8 +154,22 @@ def modal_value(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
 
 
 def winsorise(df: DataFrame, x: str, out: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """Clip positive values into [low quantile of positive values, high quantile of all values]."""
-    positive = quantiles(df.where(F.col(x) > 0), [], x, {"_low": low})
-    overall = quantiles(df, [], x, {"_high": high})
-    lo, hi = positive.scalar(), overall.scalar()
+    """Clip positive values into [low quantile of positive values, high quantile of all values].
+
+    Both come from one sort of the distinct values: a positive value's rank among positive ones is its rank among all
+    less the number of others.
+    """
+    points = df.where(F.col(x).isNotNull()).groupBy(x).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = reliable_checkpoint(running_sum(points, [], [x], "_n", "_cum", "_tot"))
+    others = ranked.agg(F.coalesce(F.sum(F.when(F.col(x) <= 0, F.col("_n"))), F.lit(0)).alias("v")).scalar()
+    ranked = ranked.withColumn("_others", others)
+    spots = {"low": (F.col("_tot") - F.col("_others") - 1) * F.lit(float(low)), "high": (F.col("_tot") - 1) * F.lit(float(high))}
+    shift = {"low": F.col("_others"), "high": F.lit(0)}
+    aggs = []
+    for name, h in spots.items():
+        aggs += [F.min(F.when(F.col("_cum") > shift[name] + step(h), F.col(x))).alias(f"{end}_{name}") for end, step in (("a", F.floor), ("b", F.ceil))]
+        aggs.append(F.max(h - F.floor(h)).alias(f"f_{name}"))
+    found = ranked.agg(*aggs)
+    at = lambda name: F.col(f"a_{name}") + F.col(f"f_{name}") * (F.col(f"b_{name}") - F.col(f"a_{name}"))
+    lo, hi = (found.select(at(name).alias(name)).scalar() for name in ("low", "high"))
     return df.withColumn(out, F.when(F.col(x) > 0, F.least(F.greatest(F.col(x), lo), hi)).otherwise(F.col(x)))

@@ -11,7 +11,7 @@ from airgrid.functions.numbers import any_present, ratio, wmean
 from airgrid.functions.times import shift_clock
 from airgrid.operators.ordered import quantiles
 from airgrid.operators.reshape import stack
-from airgrid.session import require_columns
+from airgrid.session import reliable_checkpoint, require_columns
 
 
 def exclude(df: DataFrame, codes: list[str] | None = None, rows: DataFrame | None = None, code: str = "station_code") -> DataFrame:
@@ -62,7 +62,8 @@ def difference_rows(joined: DataFrame, keys: list[str], values: list[str], toler
 
 
 def difference_summary(rows: DataFrame) -> DataFrame:
-    """Counts, share and size of differences per variable."""
+    """Counts, share and size of differences per variable; the rows are written once for the sums and the quantile."""
+    rows = reliable_checkpoint(rows.select("variable", "value_old", "value_new", "absv", "within_tol"))
     n, n_diff = F.count(F.lit(1)), F.count_if(~F.coalesce(F.col("within_tol"), F.lit(False)))
     sums = rows.groupBy("variable").agg(
         n.alias("n"),
