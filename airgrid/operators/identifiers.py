@@ -164,17 +164,22 @@ def unmapped_population(scored: DataFrame, mapped: DataFrame, key: str, pop: str
     )
 
 
+#: Letters of a station label, what fills a short single word, and the label of a name without letters.
+LABEL, FILL, NAMELESS = 3, "X", "STA"
+
+
 def acronyms(df: DataFrame, name: str, out: str = "acronym") -> DataFrame:
-    """Three-letter station labels; labels that occur more than once end in a number along the name."""
-    letters = F.regexp_replace(normalize_station(name), "[^A-Z]+", " ")
-    words = F.filter(F.split(letters, " "), lambda w: w != "")
-    word = lambda i: F.get(words, F.lit(i))
-    three = F.concat(*[F.substring(word(i), 1, 1) for i in range(3)])
-    two = F.concat(F.substring(word(0), 1, 2), F.substring(word(1), 1, 1))
-    one = F.substring(F.concat(word(0), F.lit("XXX")), 1, 3)
-    n = F.size(words)
-    base = F.when(n >= 3, three).when(n == 2, two).when(n == 1, one).otherwise(F.lit("STA"))
+    """Station labels of three letters, dealt over the first words as evenly as they go, earlier words first.
+
+    Word i of m gives the next ceil((3 - i) / m) letters. Labels that occur more than once end in a number along the
+    name instead of their last letter.
+    """
+    words = F.regexp_extract_all(normalize_station(name), F.lit("[A-Z]+"), F.lit(0))
+    used = F.slice(words, 1, LABEL)
+    given = lambda w, i: F.substring(w, F.lit(1), F.ceil((F.lit(LABEL) - i) / F.size(used)).cast("int"))
+    dealt = F.array_join(F.transform(used, given), "")
+    base = F.when(F.size(used) == 0, F.lit(NAMELESS)).when(F.size(used) == 1, F.rpad(dealt, LABEL, FILL)).otherwise(dealt)
     marked = df.withColumn("_base", base).withColumn("_one", F.lit(1).cast("long"))
     ranked = running_sum(marked, ["_base"], [name], "_one", "_i", "_n")
-    label = F.when(F.col("_n") > 1, F.concat(F.substring("_base", 1, 2), F.col("_i").cast("string"))).otherwise(F.col("_base"))
+    label = F.when(F.col("_n") > 1, F.concat(F.substring("_base", 1, LABEL - 1), F.col("_i").cast("string"))).otherwise(F.col("_base"))
     return ranked.withColumn(out, label).drop("_base", "_one", "_i", "_n")

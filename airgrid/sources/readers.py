@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airgrid.functions.keys import recode_patterns, split_code_name
+from airgrid.functions.keys import recode_patterns, split_code_name, strip_accents
 from airgrid.functions.numbers import mask_values, parse_number
 from airgrid.functions.times import add_hours, clamp_hour, date_plus_hour, parse_compact, parse_first
 from airgrid.session import broadcast_if_small, require_columns
@@ -170,20 +170,27 @@ def marker_rejects(spark: SparkSession, path: str, level: int = -1) -> DataFrame
     return lost.unionByName(rows.select(*REJECTS))
 
 
-def _report_files(spark: SparkSession, path: str, level: int) -> DataFrame:
-    """Report files with their header fields, the line of ``Data;Hora`` (``_h``), its delimiter and the parameter names."""
-    f = read_files(spark, path, level=level)
-    lines = F.col("lines")
+#: Keys of report headers, without accents, and the first two cells of the line above the parameter names.
+REPORT_CODE, REPORT_NAME, REPORT_HEAD = "CODIGO DA ESTACAO", "NOME DA ESTACAO", ("DATA", "HORA")
 
-    def header(pattern: str) -> Column:
-        line = F.get(F.filter(lines, lambda x: x.rlike(pattern)), F.lit(0))
-        return F.trim(F.regexp_replace(F.regexp_replace(line, r"(?i)^.*?esta..o[^0-9a-zA-Z]*", ""), "[:;\t]", " "))
 
-    f = f.withColumn("station_code", header(r"(?i)C.digo da esta..o")).withColumn("station_name", header(r"(?i)Nome da esta..o"))
-    f = f.withColumn("_h", _first_line(lines, r"(?i)^Data\s*[;\t]\s*Hora"))
-    f = f.withColumn("_d", F.when(F.get(lines, (F.col("_h") - 1).cast("int")).contains(";"), ";").otherwise("\t"))
+def _report_files(spark: SparkSession, path: str, level: int) -> DataFrame:
+    """Report files with their header fields, the line of ``Data;Hora`` (``_h``), its delimiter and the parameter names.
+
+    A header line is a key and a value parted by the first colon, semicolon or tab; keys are compared without accents.
+    """
+    f = read_files(spark, path, level=level)
+    plain = lambda c: strip_accents(F.upper(F.trim(c)))
+    pair = lambda x: F.split(x, "[:;\t]", 2)
+    fields = F.transform(F.filter("lines", lambda x: x.rlike("[:;\t]")), lambda x: F.struct(plain(pair(x)[0]).alias("key"), F.trim(F.translate(pair(x)[1], ":;\t", "   ")).alias("value")))
+    of = lambda key: F.get(F.filter("_fields", lambda x: x["key"] == key), F.lit(0))["value"]
+    cells = lambda x: F.slice(F.transform(F.split(x, "[;\t]"), plain), 1, 2)
+    f = f.withColumn("_fields", fields).withColumns({"station_code": of(REPORT_CODE), "station_name": of(REPORT_NAME)}).drop("_fields")
+    f = f.withColumn("_h", F.array_position(F.transform("lines", lambda x: F.array_join(cells(x), ";")), ";".join(REPORT_HEAD)))
+    head = F.get("lines", (F.col("_h") - 1).cast("int"))
+    f = f.withColumn("_d", F.when(head.contains(";"), ";").otherwise("\t"))
     whole = F.col("station_code").isNotNull() & F.col("station_name").isNotNull() & (F.col("_h") > 0)
-    return f.withColumn("_p", F.split(F.get(lines, F.col("_h").cast("int")), F.col("_d"))).withColumn("_whole", whole)
+    return f.withColumn("_p", F.split(F.get("lines", F.col("_h").cast("int")), F.col("_d"))).withColumn("_whole", whole)
 
 
 def _report_lines(files: DataFrame) -> DataFrame:
