@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from airgrid.session import shared_folder
 
 #: Text that one vectorised step handles at a time.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Rows up to which the small side of a join with whole texts is broadcast; they hold an id and a short list each.
 SMALL_ROWS = 300_000
 #: A fixed odd base and fixed random letters for hashes modulo 2**64.

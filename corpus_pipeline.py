@@ -7,7 +7,7 @@ but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airgrid.llm import best_fit_packing, language_id, ngram_join, secret_scans, suffix_dedup
@@ -15,13 +15,31 @@ from airgrid.llm.common import table, written
 
 #: Of a document's grams, the share beyond which no learned language explains them and it is dropped.
 MOST_UNEXPLAINED = 0.5
+#: Bytes of the windows that count as repeated passages, and of their anchors: less than 50 words of these languages fill.
+PASSAGE_BYTES, ANCHOR_BYTES = 200, 80
+
+
+def _apart(docs: DataFrame) -> DataFrame:
+    """Id and text of ``docs`` and all its other columns in one, so that an operator's columns don't clash with them."""
+    rest = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(F.lit(True).alias("__row"), *rest).alias("__rest"))
+
+
+def _together(found: DataFrame, docs: DataFrame, changed: Column | None = None, text: Column | None = None) -> DataFrame:
+    """The columns of ``docs`` again; where ``changed``, with the new ``text`` and its length."""
+    columns = {c: F.col("__rest")[c] if c not in ("doc_id", "text") else F.col(c) for c in docs.columns}
+    if changed is not None:
+        columns["text"] = F.when(changed, text).otherwise(F.col("text"))
+        if "n_chars" in columns:
+            columns["n_chars"] = F.when(changed, F.length(text).cast("long")).otherwise(columns["n_chars"])
+    return found.select(*[column.alias(c) for c, column in columns.items()])
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Drop documents without letters and those mostly in no learned language; the model learns from the documents given."""
-    found = language_id.predict(docs, language_id.learned(docs))
+    found = language_id.predict(_apart(docs), language_id.learned(docs))
     rejected = (F.col("lang_pred") == language_id.UNKNOWN) | (F.col("no_lang") > MOST_UNEXPLAINED)
-    return found.where(~rejected).select(*docs.columns)
+    return _together(found.where(~rejected), docs)
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -32,20 +50,17 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFr
 
 
 def repeated_passage_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Cut passages that come again; a text that lost bytes gets its new length, a document that lost all of them goes."""
-    found = suffix_dedup.dedup(docs)
-    cut = F.col("n_removed") > 0
-    found = found.where(~cut | (F.col("n_removed") < F.col("n_bytes")))
-    found = found.withColumn("text", F.when(cut, F.col("kept_text")).otherwise(F.col("text")))
-    return found.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """Cut passages of ``PASSAGE_BYTES`` that come again, wherever they stand; a document that loses all of its text goes."""
+    found = suffix_dedup.dedup(_apart(docs), window=PASSAGE_BYTES, seed=ANCHOR_BYTES)
+    found = found.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_bytes")))
+    return _together(found, docs, F.col("n_removed") > 0, F.col("kept_text"))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Mask secrets; a text that changed gets its new length."""
-    found = secret_scans.scan(docs)
-    held = F.size("secret_spans") > 0
-    found = found.withColumn("text", F.when(held, secret_scans.masked(F.col("text"), F.col("secret_spans"))).otherwise(F.col("text")))
-    return found.withColumn("n_chars", F.when(held, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    found = secret_scans.scan(_apart(docs))
+    found = found.withColumn("__masked", F.when(F.size("secret_spans") > 0, secret_scans.masked(F.col("text"), F.col("secret_spans"))))
+    return _together(found, docs, F.col("__masked").isNotNull(), F.col("__masked"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

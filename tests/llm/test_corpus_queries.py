@@ -199,9 +199,22 @@ def test_search(spark, sf_dir, monkeypatch):
         monkeypatch.setattr(exact_search, "BLOCK_ROWS", rows)
         monkeypatch.setattr(exact_search, "QUERY_ROWS", max(1, rows // 8))
         assert {tuple(r) for r in queries.op8_exact_search(spark, sf_dir).collect()} == expected
+    # Far clusters: balls that cannot reach the k-th score are never sent, and nothing is lost.
+    rng = np.random.default_rng(2)
+    heads = rng.normal(size=(12, 8)) * 3
+    rows = [(k, (heads[k % 12] + rng.normal(size=8) * 0.05).tolist()) for k in range(1500)]
+    clustered = exact_search.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    whole = np.floor(64 * np.array([v for _, v in rows])).astype(np.int64)
+    want = []
+    for i in range(0, 1500, 20):
+        score = whole @ whole[i]
+        want += [(i, r, int(j), int(score[j])) for r, j in enumerate([j for j in np.lexsort((np.arange(1500), -score)) if j != i][:20], 1)]
+    monkeypatch.setattr(exact_search, "BLOCK_ROWS", 100)
+    assert sorted(tuple(r) for r in exact_search.top_k(clustered).collect()) == sorted(want)
     odd = spark.createDataFrame([(0, [1.0, 0.5], "x"), (20, [1.0, 0.5], "x"), (1, None, "x"), (40, [float("nan"), 1.0], "x"), (2, [None, 1.0], "x"), (None, [1.0, 1.0], "x"), (3, [0.1, -0.1], "x"), (0, [1.0, 0.5], "x")], "vec_id long, embedding array<double>, v string")
     got = exact_search.top_k(exact_search.integer_vectors(odd)).collect()
-    assert {tuple(r) for r in got} == {(0, 1, 20, 5120), (0, 2, 3, 160), (20, 1, 0, 5120), (20, 2, 3, 160)}
+    zero = [(0, 1, 0, 5120), (0, 2, 20, 5120), (0, 3, 3, 160)]
+    assert sorted(tuple(r) for r in got) == sorted([*zero, *zero, (20, 1, 0, 5120), (20, 2, 0, 5120), (20, 3, 3, 160)])
     assert exact_search.top_k(exact_search.integer_vectors(odd.limit(0))).count() == 0
 
 
@@ -214,7 +227,7 @@ def test_pipeline_against_plain_stages(spark, sf_dir):
     kept = {r.doc_id: r.text for r in second.collect()}
     assert set(kept) == {i for i, (_, c) in brute_components(texts).items() if i == c}
     third = common.written(corpus_pipeline.repeated_passage_stage(spark, second, sf_dir))
-    plain = {i: (n, removed, sha) for i, n, removed, _, sha in brute_removed([(i, t.encode()) for i, t in kept.items()])}
+    plain = {i: (n, removed, sha) for i, n, removed, _, sha in brute_removed([(i, t.encode()) for i, t in kept.items()], corpus_pipeline.PASSAGE_BYTES)}
     got = {r.doc_id: r for r in third.collect()}
     assert set(got) == {i for i, (n, removed, _) in plain.items() if not removed or removed < n}
     assert all(r.text == kept[i] if not plain[i][1] else r.n_chars == len(r.text) for i, r in got.items())
@@ -231,3 +244,48 @@ def test_stages_take_odd_tables(spark):
             if stage is not corpus_pipeline.packing_stage:
                 assert out.schema.names == source.schema.names
                 source = out
+
+
+def test_word_ids_equal_the_tokenizer():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from airgrid.llm import best_fit_packing as packing
+
+    texts = ["Ab cD", None, "", "  x  y ", "a\nb\r\nc\td", "É é İ Σας ΣΑΣ", "end", "start end", "日本語 \U0001f600 naïve", "A" * 300, "\x00 a b"]
+    plain = Tokenizer.from_file(packing.TOKENIZER)
+    words = packing.WordIds(packing.TOKENIZER)
+    for some in (texts, texts[::-1], texts[:1], []):
+        got = [x.tolist() for x in words.encode(pa.array(some, pa.string()))]
+        assert got == [plain.encode(x or "", add_special_tokens=False).ids for x in some]
+
+
+def test_stages_keep_columns_with_the_operators_names(spark, sf_dir):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    clash = docs.withColumns({c: F.col("doc_id") * 2 for c in ("score", "lang_pred", "n_bytes", "n_removed", "n_spans", "kept_text", "secret_spans", "__masked")})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, clash, sf_dir)
+        assert out.columns == clash.columns
+        assert out.where("score <> doc_id * 2 or n_bytes <> doc_id * 2 or kept_text <> doc_id * 2 or secret_spans <> doc_id * 2 or __masked <> doc_id * 2").count() == 0
+
+
+def test_passages_of_fifty_words_go(spark):
+    import random
+
+    import corpus_pipeline
+
+    draw = random.Random(8)
+    word = lambda: "".join(draw.choice("abcdefghijklmnop") for _ in range(draw.randrange(3, 8)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    shared = text(55)
+    rows = [(k, f"{text(60)} {shared} {text(60)}" if k < 6 else text(150), "en", "s", 1) for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r.doc_id: r for r in corpus_pipeline.repeated_passage_stage(spark, docs, "").collect()}
+    assert len(out) == 12
+    for k, t, *_ in rows:
+        assert (out[k].text == t) == (k >= 6)
+        if k < 6:
+            assert shared[10:-10] not in out[k].text and out[k].n_chars == len(out[k].text)
