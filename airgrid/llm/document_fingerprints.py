@@ -33,34 +33,52 @@ def paragraph_digests(text: Column) -> Column:
     return F.array_distinct(F.transform(lines, lambda x: F.xxhash64(x)))
 
 
-def _place(entry: str, cell: str, seed: int, size: int) -> str:
-    """SQL of the cell that ``entry`` takes in the part of the table in which ``cell`` lies."""
-    part = f"cast(floor({cell} / {size}) as int)"
-    return f"({part} * {size} + cast(pmod(shiftrightunsigned(xxhash64({entry}.key, {seed}), {part} * 20) & 1048575L, {size}) as int))"
+def _placed(entries: str, seed: int, size: int) -> str:
+    """SQL of ``entries`` (struct<n int, key long>) with check value and the cell that each takes in the three parts of a table."""
+    spot = f"shiftrightunsigned(xxhash64(e.key, {seed}), {{0}}) & 1048575L"
+    places = ", ".join(f"'p{k}', cast({k} * {size} + pmod({spot.format(k * 20)}, {size}) as int)" for k in range(3))
+    return f"transform({entries}, e -> named_struct('n', e.n, 'key', e.key, 'mark', xxhash64(e.key, -1), {places}))"
+
+
+def _summed(cell: str, placed: str, start: str, sign: str) -> str:
+    """SQL of a cell with the placed entries that lie in cell number ``cell`` added or taken out."""
+    return f"aggregate(filter({placed}, e -> e.p0 = {cell} or e.p1 = {cell} or e.p2 = {cell}), {start}, (a, e) -> named_struct('n', a.n {sign} e.n, 'key', a.key ^ e.key, 'mark', a.mark ^ e.mark))"
 
 
 def _cells(entries: str, seed: int, size: int) -> str:
     """SQL of a table over ``entries``, an array of struct<n int, key long>."""
     zero = "named_struct('n', 0, 'key', 0L, 'mark', 0L)"
-    return (
-        f"transform(sequence(0, {3 * size - 1}), c -> aggregate(filter({entries}, e -> {_place('e', 'c', seed, size)} = c), {zero}, "
-        f"(a, e) -> named_struct('n', a.n + e.n, 'key', a.key ^ e.key, 'mark', a.mark ^ xxhash64(e.key, -1))))"
-    )
+    return f"transform(array({_placed(entries, seed, size)}), ps -> transform(sequence(0, {3 * size - 1}), c -> {_summed('c', 'ps', zero, '+')}))[0]"
 
 
 def _peeled(entries: str, seed: int, size: int) -> str:
     """SQL of the number of digests that a table of ``entries`` gives up, null if some stay in it."""
     pure = "array_distinct(transform(filter(s.cells, c -> abs(c.n) = 1 and c.mark = xxhash64(c.key, -1)), c -> named_struct('n', c.n, 'key', c.key)))"
-    left = (
-        f"transform(s.cells, (c, i) -> aggregate(filter(pure, p -> {_place('p', 'i', seed, size)} = i), c, "
-        f"(a, p) -> named_struct('n', a.n - p.n, 'key', a.key ^ p.key, 'mark', a.mark ^ xxhash64(p.key, -1))))"
-    )
+    left = f"transform(array({_placed('pure', seed, size)}), ps -> transform(s.cells, (c, i) -> {_summed('i', 'ps', 'c', '-')}))[0]"
     step = f"transform(array({pure}), pure -> if(size(pure) = 0, named_struct('cells', s.cells, 'found', s.found, 'over', true), named_struct('cells', {left}, 'found', s.found + size(pure), 'over', false)))[0]"
     start = f"named_struct('cells', {_cells(entries, seed, size)}, 'found', 0, 'over', false)"
     end = "if(exists(s.cells, c -> c.n <> 0 or c.key <> 0 or c.mark <> 0), cast(null as int), s.found)"
     return f"aggregate(sequence(1, {4 * size}), {start}, (s, r) -> if(s.over, s, {step}), s -> {end})"
 
 
+def _dealt(entries: str, shards: str) -> str:
+    """SQL of ``entries`` (struct<n int, key long>) dealt into ``shards`` arrays by digest, in three steps.
+
+    Each step splits every array into as many as the cube root of the shards, so an entry is looked at some three times
+    that root, not once for each shard.
+    """
+    width = f"cast(ceil(pow({shards}, 1/3)) as int)"
+    keyed = f"transform({entries}, x -> named_struct('n', x.n, 'key', x.key, 'h', cast(pmod(xxhash64(x.key, -2), {shards}) as int)))"
+
+    def split(arrays: str, part: str) -> str:
+        return f"flatten(transform({arrays}, es -> transform(sequence(0, w - 1), b -> filter(es, e -> {part} = b))))"
+
+    first = split("array(all)", "cast(e.h / (w * w) as int)")
+    second = split(first, "cast(e.h / w as int) % w")
+    third = split(second, "e.h % w")
+    return f"transform(array({width}), w -> transform(array({keyed}), all -> {third})[0])[0]"
+
+
 def difference_size(left: str, right: str) -> Column:
     """Number of digests in one of two digest arrays only, found by peeling.
 
@@ -68,11 +86,11 @@ def difference_size(left: str, right: str) -> Column:
     """
     shards = f"cast(ceil((size({left}) + size({right}) + 1) / {SHARD_LOAD}) as int)"
     signed = f"concat(transform({left}, x -> named_struct('n', 1, 'key', x)), transform({right}, x -> named_struct('n', -1, 'key', x)))"
-    own = f"if({shards} = 1, {signed}, filter({signed}, x -> pmod(xxhash64(x.key, -2), {shards}) = h))"
     tries = [_peeled("es", seed, CELLS << seed) for seed in range(TRIES)]
     last = "size(filter(es, a -> not exists(es, b -> b.key = a.key and b.n <> a.n)))"
-    one = f"transform(array({own}), es -> coalesce({', '.join(tries)}, {last}))[0]"
-    return F.expr(f"aggregate(transform(sequence(0, {shards} - 1), h -> {one}), 0, (a, x) -> a + x)")
+    one = f"coalesce({', '.join(tries)}, {last})"
+    dealt = f"transform(array({shards}), m -> if(m = 1, array({signed}), transform({_dealt(signed, 'm')}, es -> transform(es, e -> named_struct('n', e.n, 'key', e.key)))))[0]"
+    return F.expr(f"aggregate(transform(filter({dealt}, es -> size(es) > 0), es -> {one}), 0, (a, x) -> a + x)")
 
 
 def likeness(left: str, right: str) -> Column:
