@@ -128,12 +128,28 @@ def candidates(docs: DataFrame, rules=RULES, id_column: str = "doc_id", text_col
     return kinds.groupBy(id_column).agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
 
 
+def _bound(value: Column, then) -> Column:
+    """``then(value)`` with ``value`` computed once; named inside lambdas it would be computed for every entry."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _before(values: Column, fold, zero: Column) -> Column:
+    """For each entry the fold of all entries before it, by blocks of 256 so that long arrays stay cheap."""
+    over = lambda part: F.aggregate(part, zero, fold)
+    block = lambda i: F.floor(i / 256).cast("int")
+
+    def whole(v: Column) -> Column:
+        sums = F.transform(F.sequence(F.lit(0), block(F.size(v))), lambda b: over(F.slice(v, b * 256 + 1, F.lit(256))))
+        starts = lambda blocks: F.transform(blocks, lambda _, b: over(F.slice(blocks, F.lit(1), b)))
+        each = lambda before: F.transform(v, lambda _, i: fold(F.get(before, block(i)), over(F.slice(v, block(i) * 256 + 1, i % 256))))
+        return _bound(sums, lambda blocks: _bound(starts(blocks), each))
+
+    return _bound(values, whole)
+
+
 def _lengths_before(lengths: Column) -> Column:
-    """Sum of the entries before each one, by blocks of 256 so that long arrays stay cheap."""
-    total = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda a, x: a + x)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(lengths) / 256).cast("int")), lambda b: total(F.slice(lengths, b * 256 + 1, F.lit(256))))
-    before = F.transform(blocks, lambda _, b: total(F.slice(blocks, F.lit(1), b)))
-    return F.transform(lengths, lambda _, i: F.get(before, F.floor(i / 256).cast("int")) + total(F.slice(lengths, F.floor(i / 256).cast("int") * 256 + 1, i % 256)))
+    """Sum of the entries before each one."""
+    return _before(lengths, lambda a, x: a + x, F.lit(0).cast("long"))
 
 
 def spans_of(text: Column, rule: Rule, order: int) -> Column:
@@ -180,15 +196,25 @@ def joined(spans: Column) -> Column:
 
 def masked(text: Column, spans: Column, mark: str = "<secret>") -> Column:
     """The text with every run of touching or overlapping spans replaced by ``mark``."""
-    empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
-
-    def add(runs: Column, x: Column) -> Column:
-        last = F.get(runs, F.size(runs) - 1)
-        grown = F.concat(F.slice(runs, F.lit(1), F.size(runs) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))))
-        return F.when((F.size(runs) > 0) & (x["start"] <= last["end"]), grown).otherwise(F.concat(runs, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end")))))
-
-    runs = F.aggregate(spans, empty, add)
-    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform(runs, lambda x: x["end"]))
-    begins = F.concat(F.transform(runs, lambda x: x["start"]), F.array(F.length(text).cast("long")))
-    pieces = F.zip_with(ends, begins, lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int")))
+    none = F.lit(-1).cast("long")
+    reached = _before(F.transform(spans, lambda x: x["end"]), lambda a, x: F.greatest(a, x), none)
+    # A run begins where no span before reaches; it ends where the one before the next run does.
+    begins = F.filter(F.zip_with(spans, reached, lambda x, r: F.struct(x["start"].alias("start"), r.alias("reached"))), lambda x: x["start"] > x["reached"])
+    last = F.aggregate(spans, none, lambda a, x: F.greatest(a, x["end"]))
+
+    def cut(runs: Column) -> Column:
+        ends = F.concat(F.array(F.lit(0).cast("long")), F.transform(F.slice(runs, F.lit(2), F.greatest(F.size(runs) - 1, F.lit(0))), lambda x: x["reached"]), F.array(last))
+        stops = F.concat(F.transform(runs, lambda x: x["start"]), F.array(F.length(text).cast("long")))
+        pairs = F.zip_with(ends, stops, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        part = lambda body, first, stop: F.substring(body, (first + 1).cast("int"), (stop - first).cast("int"))
+
+        def block(own: Column) -> Column:
+            first = own[0]["a"]
+            return _bound(part(text, first, F.element_at(own, -1)["b"]), lambda body: F.transform(own, lambda x: part(body, x["a"] - first, x["b"] - first)))
+
+        # A substring walks its text from the begin, so 256 pieces are cut out together first.
+        blocks = lambda p: F.filter(F.transform(F.sequence(F.lit(0), F.floor(F.size(p) / 256).cast("int")), lambda k: F.slice(p, k * 256 + 1, F.lit(256))), lambda own: F.size(own) > 0)
+        return _bound(pairs, lambda p: F.flatten(F.transform(blocks(p), block)))
+
+    pieces = _bound(begins, cut)
     return F.when(F.size(spans) > 0, F.array_join(pieces, mark)).otherwise(text)

@@ -198,7 +198,7 @@ def test_mined_rules_against_counting(spark):
     urls = [f"http://{'bad' if i % 3 == 0 else 'good'}.site/{'sale' if i % 2 else 'news'}/{i}" for i in range(120)]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     labels = spark.createDataFrame([(i, 0 if "bad" in u and "sale" in u else 1, 0) for i, u in enumerate(urls)], "doc_id long, quality int, toxic int")
-    rules = url_filters.mine_rules(pages, labels, 0.05, 0.6, 10).collect()
+    rules = url_filters.mine_rules(pages, labels, 0.05, 0.6).collect()
     tokens = {r.page_id: set(r.t) for r in pages.select("page_id", url_filters.url_tokens(F.col("url")).alias("t")).collect()}
     bad = {i for i, u in enumerate(urls) if "bad" in u and "sale" in u}
     for r in rules:
@@ -212,3 +212,56 @@ def test_mined_rules_against_counting(spark):
 def test_schema_types(spark, sf_dir):
     assert dict(queries.op10_document_fingerprints(spark, sf_dir).dtypes)["n_chars"] == "bigint"
     assert queries.op5_secret_scans(spark, sf_dir).schema["n_hex"].dataType == T.LongType()
+
+
+def test_many_secrets_in_one_text_take_seconds(spark):
+    """10,000 checksums in a text: positions and masking in one pass each."""
+    import time
+
+    hexes = [hashlib.sha256(str(k).encode()).hexdigest() for k in range(10_000)]
+    text = "".join(f"é {h}\n" for h in hexes)
+    docs = frame(spark, [text, text + "password=abcdefghijkl0"])
+    start = time.time()
+    found = secret_scans.scan(docs).withColumn("masked", secret_scans.masked(F.col("text"), F.col("secret_spans"))).orderBy("doc_id").collect()
+    assert time.time() - start < 60
+    assert [len(r.secret_spans) for r in found] == [10_000, 10_001]
+    for k, m in enumerate(re.finditer("[0-9a-f]{16,}", text)):
+        assert (found[0].secret_spans[k].start, found[0].secret_spans[k].end) == m.span()
+    assert found[0].masked == "é <secret>\n" * 10_000
+    assert found[1].masked == "é <secret>\n" * 10_000 + "<secret>"
+
+
+def test_masking_joins_overlapping_spans(spark):
+    import random
+
+    draw = random.Random(4)
+    text = "".join(draw.choice("abcdé") for _ in range(900))
+    rows = []
+    for n in (1, 2, 300, 700):
+        spans = sorted((s, 0, "k", min(900, s + draw.randrange(1, 9))) for s in (draw.randrange(900) for _ in range(n)))
+        rows.append((n, text, spans))
+    shape = f"n int, text string, spans {secret_scans.NO_SPANS.replace('order', '`order`')}"
+    for r in spark.createDataFrame(rows, shape).withColumn("m", secret_scans.masked(F.col("text"), F.col("spans"))).collect():
+        held = [False] * 901
+        edge = set()
+        for x in r.spans:
+            held[x.start : x.end] = [True] * (x.end - x.start)
+        runs = re.finditer("1+", "".join("01"[h] for h in held))
+        want, at = "", 0
+        for m in runs:
+            want += text[at : m.start()] + "<secret>"
+            at = m.end()
+        assert not edge and r.m == want + text[at:]
+
+
+def test_fingerprint_differences_of_long_texts(spark):
+    """Thousands of lines are dealt into shards without looking at every entry for every shard."""
+    import time
+
+    lines = [f"line {k} {hashlib.md5(str(k).encode()).hexdigest()}" for k in range(6000)]
+    left, right = lines[:5000], lines[1000:]
+    row = spark.createDataFrame([("\n".join(left), "\n".join(right))], "a string, b string")
+    start = time.time()
+    got = row.select(fp.paragraph_digests(F.col("a")).alias("x"), fp.paragraph_digests(F.col("b")).alias("y")).select(fp.difference_size("x", "y").alias("d")).first().d
+    assert got == 2000
+    assert time.time() - start < 40
