@@ -23,11 +23,11 @@ DEPTH = 3
 #: Least count of a candidate, percentage of its count in a longer candidate at which it is dropped, phrases listed for a language.
 LEAST, INSIDE, TOP = 10, 50, 2000
 #: Suffixes that one group of prefixes holds: the memory budget of a subtree.
-GROUP_ROWS = 500_000
+GROUP_ROWS = 200_000
 #: A prefix with more than this share of all words is extended, if it also exceeds ``GROUP_ROWS``; so at most twice as many hashes are broadcast.
 SHARE = 1 / 20_000
 #: Bytes of text that one vectorised step counts before its leaves are sent.
-LEAF_BYTES = 8 << 20
+LEAF_BYTES = 4 << 20
 #: Lower case, all ends of pieces as a line feed and the tab as a space.
 _BYTES = np.arange(256, dtype=np.uint8)
 _BYTES[ord("A") : ord("Z") + 1] += 32
@@ -133,26 +133,35 @@ def _changed(column: pa.Array) -> np.ndarray:
     return np.concatenate([[True], values[1:] != values[:-1]])
 
 
+def _split(texts: pa.Array) -> list[pa.Array]:
+    """Language and words of ``lang TAB w1 TAB w2 TAB w3 TAB``; missing words are null."""
+    parts = pc.split_pattern(texts, "\t")
+    begin, end = parts.offsets.to_numpy()[:-1], parts.offsets.to_numpy()[1:] - 1
+    return [parts.values.take(pa.array(begin + k, mask=begin + k >= end)) for k in range(DEPTH + 1)]
+
+
 def subtree(rows: pa.Table, least: int) -> pa.Table:
-    """Nodes (lang, size, phrase, n, whole) of the subtrees over a group's suffixes, sorted by key, depth, lang and words.
+    """Nodes (lang, size, phrase, n, whole) of the subtrees over a group's suffixes (text, m), sorted by text.
 
-    A node at or below its prefix is whole and left out below ``least``; one above it holds this group's part.
+    ``m`` is four times the count and the words of the prefix. A node at or below its prefix is whole and left out
+    below ``least``; one above it holds this group's part.
     """
-    change = _changed(rows["key"]) | _changed(rows["depth"]) | _changed(rows["lang"])
-    n, depth = rows["n"].to_numpy(), rows["depth"].to_numpy()
+    m = rows["m"].to_numpy()
+    n, depth = m // 4, m % 4
+    lang, *words = _split(rows["text"].combine_chunks())
+    change = _changed(lang)
     out, phrase = [], None
     for size in range(1, DEPTH + 1):
-        word = rows[f"w{size}"].combine_chunks()
-        change = change | _changed(word)
+        change = change | _changed(words[size - 1])
         first = np.flatnonzero(change)
         totals = np.add.reduceat(n, first)
-        held = word.is_valid().to_numpy(zero_copy_only=False)[first]
+        held = words[size - 1].is_valid().to_numpy(zero_copy_only=False)[first]
         whole = depth[first] <= size
-        take = first[held & (~whole | (totals >= least))]
-        totals, whole = totals[held & (~whole | (totals >= least))], depth[take] <= size
-        words = [rows[f"w{k}"].combine_chunks().take(pa.array(take)) for k in range(1, size + 1)]
-        phrase = pc.binary_join_element_wise(*words, " ") if size > 1 else words[0]
-        nodes = pa.table([rows["lang"].combine_chunks().take(pa.array(take)), pa.array(np.full(len(take), size, np.int32)), phrase, pa.array(totals.astype(np.int64)), pa.array(whole)], names=NODE_NAMES)
+        held &= ~whole | (totals >= least)
+        take = pa.array(first[held])
+        parts = [w.take(take) for w in words[:size]]
+        phrase = pc.binary_join_element_wise(*parts, " ") if size > 1 else parts[0]
+        nodes = pa.table([lang.take(take), pa.array(np.full(len(take), size, np.int32)), phrase, pa.array(totals[held].astype(np.int64)), pa.array(whole[held])], names=NODE_NAMES)
         part = nodes.filter(pc.invert(nodes["whole"])).group_by(["lang", "size", "phrase", "whole"]).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
         out += [nodes.filter(nodes["whole"]), part.select(NODE_NAMES)]
     return pa.concat_tables(out)
@@ -162,17 +171,21 @@ NODE_NAMES = ["lang", "size", "phrase", "n", "whole"]
 
 
 def phrase_nodes(source: DataFrame, hot: DataFrame, least: int = LEAST) -> DataFrame:
-    """Rows (lang, size, phrase, n): all phrases of up to ``DEPTH`` words that occur ``least`` times; ``hot`` is (hash) of prefixes to extend."""
-    one, two, three = F.xxhash64("lang", "w1"), F.xxhash64("lang", "w1", "w2"), F.xxhash64("lang", "w1", "w2", "w3")
-    rows = leaves(source).withColumns({"h1": one, "h2": two})
+    """Rows (lang, size, phrase, n): all phrases of up to ``DEPTH`` words that occur ``least`` times; ``hot`` is (hash) of prefixes to extend.
+
+    A suffix travels as one text, each word closed by a tab, which no word holds; so the suffixes of a prefix lie side
+    by side in the order of bytes, and the prefix itself is cut from the text to deal them out.
+    """
+    rows = leaves(source).withColumns({"h1": F.xxhash64("lang", "w1"), "h2": F.xxhash64("lang", "w1", "w2")})
     # At most two prefixes for each word share are hot.
     rows = rows.join(F.broadcast(hot.select(F.col("hash").alias("h1"), F.lit(True).alias("hot1"))), "h1", "left")
     rows = rows.join(F.broadcast(hot.select(F.col("hash").alias("h2"), F.lit(True).alias("hot2"))), "h2", "left")
     # Suffixes that end with an extended prefix count as extended too: their nodes are parts like all others below it.
-    rows = rows.withColumn("depth", F.when(F.col("hot1") & F.col("hot2"), 3).when(F.col("hot1"), 2).otherwise(1))
-    key = F.when(F.col("depth") == 1, F.col("h1")).when(F.col("depth") == 2, F.col("h2")).otherwise(three)
-    rows = rows.select(key.alias("key"), "depth", "lang", "w1", "w2", "w3", "n")
-    dealt = rows.repartition("key").sortWithinPartitions("key", "depth", "lang", "w1", "w2", "w3")
+    depth = F.when(F.col("hot1") & F.col("hot2"), 3).when(F.col("hot1"), 2).otherwise(1)
+    # A tab within the name of a language is written as %09.
+    named = F.replace(F.replace("lang", F.lit("%"), F.lit("%25")), F.lit("\t"), F.lit("%09"))
+    rows = rows.select(F.concat(F.concat_ws("\t", named, "w1", "w2", "w3"), F.lit("\t")).alias("text"), (F.col("n") * 4 + depth).alias("m"))
+    dealt = rows.repartition(F.expr("xxhash64(substring_index(text, '\t', cast(m % 4 + 1 as int)))")).sortWithinPartitions("text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -182,8 +195,13 @@ def phrase_nodes(source: DataFrame, hot: DataFrame, least: int = LEAST) -> DataF
             if size < GROUP_ROWS:
                 continue
             rows = pa.Table.from_batches(held).combine_chunks()
-            # A group ends where a prefix does.
-            last = int(np.flatnonzero(_changed(rows["key"]))[-1])
+            # A group ends where a prefix does; one of the longest ends with its text.
+            lang, *words = _split(rows["text"].combine_chunks())
+            depth = rows["m"].to_numpy() % 4
+            change = _changed(lang) | _changed(words[0])
+            change |= (depth >= 2) & _changed(words[1])
+            change |= (depth == 3) & _changed(words[2])
+            last = int(np.flatnonzero(change)[-1])
             if last:
                 yield from subtree(rows.slice(0, last), least).to_batches()
             held, size = rows.slice(last).to_batches(), rows.num_rows - last
@@ -191,6 +209,7 @@ def phrase_nodes(source: DataFrame, hot: DataFrame, least: int = LEAST) -> DataF
             yield from subtree(pa.Table.from_batches(held).combine_chunks(), least).to_batches()
 
     nodes = written(dealt.mapInArrow(work, "lang string, size int, phrase string, n long, whole boolean"))
+    nodes = nodes.withColumn("lang", F.replace(F.replace("lang", F.lit("%09"), F.lit("\t")), F.lit("%25"), F.lit("%")))
     parts = nodes.where("not whole").groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     return nodes.where("whole").drop("whole").union(parts.select("lang", "size", "phrase", "n"))
 

@@ -54,7 +54,7 @@ def test_collocations_equal_counting(spark, monkeypatch, hot):
     if hot:  # every prefix with over ten words is extended, groups are small
         monkeypatch.setattr(phrase_collocations, "GROUP_ROWS", 10)
         monkeypatch.setattr(phrase_collocations, "LEAF_BYTES", 500)
-    rows = [(t, [None, "en", "de"][k % 3]) for k, t in enumerate(odd_texts())]
+    rows = [(t, [None, "en", "d%09\te"][k % 3]) for k, t in enumerate(odd_texts())]
     docs = spark.createDataFrame([(k, t, lang, 0.5, "p") for k, (t, lang) in enumerate(rows)], DOCS)
     for least, top in ((2, 20), (10, 2000)):
         got = phrase_collocations.collocations(docs, least=least, top=top)
