@@ -51,8 +51,8 @@ class CoverTree:
         return me
 
 
-def dual_search(query_ids, queries, ids, vectors, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows (query place, id, score): the best ``k`` of each query by (score falling, id), none with the query's own id.
+def dual_search(query_rows, queries, rows, ids, vectors, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (query place, id, score): the best ``k`` of each query by (score falling, id), without the query's own row.
 
     ``floor`` holds for each query a score that its k-th best of all vectors reaches. A pair of nodes is left
     out when no inner product across it can reach the worst k-th score among the node's queries.
@@ -79,7 +79,7 @@ def dual_search(query_ids, queries, ids, vectors, k: int, floor: np.ndarray) ->
         else:
             q, v = upper.rows[a], lower.rows[b]
             product = (queries[q] @ vectors[v].T).astype(float)
-            product[query_ids[q][:, None] == ids[v][None, :]] = -np.inf
+            product[query_rows[q][:, None] == rows[v][None, :]] = -np.inf
             least = kth[q]
             if len(v) > k and not np.isfinite(least).all():
                 least = np.maximum(least, np.partition(product, len(v) - k, axis=1)[:, len(v) - k])
@@ -107,27 +107,28 @@ def dual_search(query_ids, queries, ids, vectors, k: int, floor: np.ndarray) ->
 def integer_vectors(vectors: DataFrame, factor: int = 64, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """Rows (vec_id, v array<long>) of floor(factor * x); vectors that are null or hold null, NaN or infinity are left out.
 
-    Of rows with an equal id the one with the smallest vector stays; a null id takes no part.
+    Rows with an equal id all stay; a null id takes no part.
     """
     column = F.col(vector_column)
     sound = column.isNotNull() & F.col(id_column).isNotNull() & F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     whole = F.transform(column, lambda x: F.floor(F.lit(factor) * x.cast("double")))
-    return vectors.where(sound).select(F.col(id_column).alias("vec_id"), whole.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return vectors.where(sound).select(F.col(id_column).alias("vec_id"), whole.alias("v"))
 
 
 def top_k(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
-    """Rows (query_id, rank int, vec_id, score long): for each id divisible by ``every`` its ``k`` best other rows.
+    """Rows (query_id, rank int, vec_id, score long): for each row whose id is divisible by ``every`` its ``k`` best other rows.
 
-    ``vectors`` is (vec_id long, v array<long>), ids distinct, as ``integer_vectors`` gives it; vectors of
-    different lengths are an error. Fewer others than ``k`` give fewer rows; ties go to the smaller id. An
-    empty table gives no rows.
+    ``vectors`` is (vec_id long, v array<long>), as ``integer_vectors`` gives it; vectors of different lengths are an
+    error. Rows that share an id are queries and candidates of their own, and each such query has its ranks. Fewer
+    others than ``k`` give fewer rows; ties go to the smaller id. An empty table gives no rows.
 
-    Vectors are blocked by the most alike of at most ``MOST_PIVOTS`` pivots (a bounded sample, which decides
-    speed only) and a hash that splits large groups. Queries first search the block they lie in; the k-th
-    score found there prunes the pairs of the other blocks, which every query visits. Queries are dealt into
-    groups of some ``QUERY_ROWS`` by a hash, and a task takes one group and one block.
+    Vectors are blocked by the nearest of at most ``MOST_PIVOTS`` pivots (a bounded sample, which decides speed only)
+    and a hash that splits large groups. Queries first search the block they lie in, which gives each a k-th score to
+    beat. Around each pivot lie a ball of vectors and a ball of queries; a pair of balls across which no inner product
+    reaches the least of these scores is left out before anything is sent. Of the other pairs every block meets the
+    queries in groups of some ``QUERY_ROWS``, and a task takes one group and one block, pruned by their trees.
     """
-    rows = written(vectors)
+    rows = written(vectors.withColumn("row", F.monotonically_increasing_id()))
     n = rows.count()
     blocks = max(1, -(-n // BLOCK_ROWS))
     pivots = [np.array(r.v, float) for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(MOST_PIVOTS, blocks)).collect()]
@@ -138,36 +139,54 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     def nearest(batches):
         for part in batches:
             if len(part):
-                own = np.stack(part["v"].to_numpy())
-                yield part.assign(pivot=((matrix**2).sum(1) - 2 * (own @ matrix.T)).argmin(1).astype("int32"))
-
-    keyed = written(rows.mapInPandas(nearest, "vec_id long, v array<long>, pivot int"))
-    sizes = keyed.groupBy("pivot").count().collect()
-    first, splits, at = {}, {}, 0
+                own = np.stack(part["v"].to_numpy()).astype(float)
+                place = ((matrix**2).sum(1) - 2 * (own @ matrix.T)).argmin(1)
+                yield part.assign(pivot=place.astype("int32"), far=np.sqrt(((own - matrix[place]) ** 2).sum(1)))
+
+    keyed = written(rows.mapInPandas(nearest, "vec_id long, v array<long>, row long, pivot int, far double"))
+    asks = F.col("vec_id") % every == 0
+    # One row for each pivot.
+    sizes = keyed.groupBy("pivot").agg(F.count("*").alias("n"), F.max("far").alias("far"), F.count_if(asks).alias("n_asks"), F.max(F.when(asks, F.col("far"))).alias("far_asks")).collect()
+    spans, at, groups = {}, 0, 0
     for r in sorted(sizes):
-        splits[r["pivot"]], first[r["pivot"]] = -(-r["count"] // BLOCK_ROWS), at
-        at += splits[r["pivot"]]
-    per_pivot = lambda table: F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), F.col("pivot"))
-    keyed = keyed.withColumn("block", (per_pivot(first) + F.pmod(F.xxhash64("vec_id"), per_pivot(splits))).cast("int"))
-    queries = keyed.where(F.col("vec_id") % every == 0).select("block", F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    shape = "query_id long, vec_id long, score long"
+        spans[r["pivot"]] = (at, -(-r["n"] // BLOCK_ROWS), groups, -(-r["n_asks"] // QUERY_ROWS))
+        at, groups = at + spans[r["pivot"]][1], groups + spans[r["pivot"]][3]
+    place = lambda i: F.element_at(F.create_map(*[F.lit(x) for p, span in spans.items() for x in (p, span[i])]), F.col("pivot"))
+    dealt = lambda first, count, salt: (place(first) + F.pmod(F.xxhash64("row", F.lit(salt)), F.greatest(place(count), F.lit(1)))).cast("int")
+    keyed = keyed.withColumn("block", dealt(0, 1, 0))
+    queries = keyed.where(asks).select("block", "pivot", F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"), dealt(2, 3, 1).alias("asks"))
+    shape = "query_row long, query_id long, vec_id long, score long"
 
     def search(key, mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         if not len(mine) or not len(theirs):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        ids = mine["query_id"].to_numpy(np.int64)
+            return pd.DataFrame({"query_row": [], "query_id": [], "vec_id": [], "score": []}, dtype="int64")
+        own, ids = mine["query_row"].to_numpy(np.int64), mine["query_id"].to_numpy(np.int64)
         floor = mine["kth"].to_numpy(float) if "kth" in mine else np.full(len(mine), -np.inf)
-        place, found, score = dual_search(ids, np.stack(mine["q"].to_numpy()).astype(float), theirs["vec_id"].to_numpy(np.int64), np.stack(theirs["v"].to_numpy()).astype(float), k, np.where(np.isnan(floor), -np.inf, floor))
-        return pd.DataFrame({"query_id": ids[place], "vec_id": found, "score": score})
-
-    by_block = keyed.select("block", "vec_id", "v")
-    near = written(queries.groupBy("block").cogroup(by_block.groupBy("block")).applyInPandas(search, shape))
-    kth = near.groupBy("query_id").agg(F.min("score").alias("kth"), F.count("*").alias("n")).where(F.col("n") >= k).select("query_id", "kth")
-    groups = max(1, -(-queries.count() // QUERY_ROWS))
-    every_one = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    known = queries.join(kth, "query_id", "left").withColumns({"own": F.col("block"), "asks": F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int")})
-    visits = known.withColumn("block", every_one(at)).where("block <> own").drop("own")
-    visited = by_block.withColumn("asks", every_one(groups))
+        place, found, score = dual_search(
+            own, np.stack(mine["q"].to_numpy()).astype(float), theirs["row"].to_numpy(np.int64), theirs["vec_id"].to_numpy(np.int64), np.stack(theirs["v"].to_numpy()).astype(float), k,
+            np.where(np.isnan(floor), -np.inf, floor))
+        return pd.DataFrame({"query_row": own[place], "query_id": ids[place], "vec_id": found, "score": score})
+
+    by_block = keyed.select("block", "pivot", "row", "vec_id", "v")
+    near = written(queries.groupBy("block").cogroup(by_block.drop("pivot").groupBy("block")).applyInPandas(search, shape))
+    kth = near.groupBy("query_row").agg(F.min("score").alias("kth"), F.count("*").alias("n")).where(F.col("n") >= k).select("query_row", "kth")
+    known = written(queries.join(kth, "query_row", "left"))
+    least = {r["pivot"]: r["least"] for r in known.groupBy("pivot").agg(F.min(F.coalesce(F.col("kth").cast("double"), F.lit(float("-inf")))).alias("least")).collect()}
+    radius = {r["pivot"]: (r["far"], r["far_asks"]) for r in sizes}
+    pairs = []
+    for p, beaten in least.items():
+        for q in spans:
+            a, b, ra, rb = matrix[p], matrix[q], radius[p][1], radius[q][0]
+            bound = a @ b + ra * np.sqrt(b @ b) + rb * np.sqrt(a @ a) + ra * rb
+            # A little more than rounding can take away.
+            if bound * (1 + 1e-9) + 1e-6 >= beaten:
+                pairs.append((int(p), int(q), *map(int, spans[q][:2]), *map(int, spans[p][2:])))
+    # At most the square of the number of pivots.
+    met = F.broadcast(keyed.sparkSession.createDataFrame(pairs, "asking int, pivot int, first int, blocks int, first_asks int, groups int"))
+    each = lambda first, count: F.explode(F.sequence(F.col(first), F.col(first) + F.col(count) - 1))
+    visits = known.withColumnsRenamed({"block": "own", "pivot": "asking"}).join(met.drop("pivot"), "asking").withColumn("block", each("first", "blocks")).where("block <> own")
+    visits = visits.select("asks", "block", "query_row", "query_id", "q", "kth")
+    visited = by_block.join(met, "pivot").withColumn("asks", each("first_asks", "groups")).select("asks", "block", "row", "vec_id", "v")
     far = visits.groupBy("asks", "block").cogroup(visited.groupBy("asks", "block")).applyInPandas(search, shape)
-    best = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    best = W.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id")
     return near.union(far).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
