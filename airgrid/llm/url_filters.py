@@ -18,6 +18,8 @@ RULES = (
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLOCKED = "label:block"
+#: Share of the labelled pages in which a mined rule and its label come together, and of a rule's pages those with the label.
+MIN_SUPPORT, MIN_CONFIDENCE = 0.005, 0.5
 
 
 def host_of(url: Column) -> Column:
@@ -55,19 +57,18 @@ def url_tokens(url: Column) -> Column:
     ), F.array().cast("array<string>")))
 
 
-def mine_rules(pages: DataFrame, labels: DataFrame, min_support: float = 0.002, min_confidence: float = 0.5, min_count: int = 20) -> DataFrame:
+def mine_rules(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Rules (rule_id, tokens, support, confidence) that say "block", mined by FP-growth.
 
     A label says "block" for quality 0 or toxic 1; labels and pages meet on page_id = doc_id, and a page with
-    several labels is blocked by any. A rule's tokens must come in ``min_support`` of the labelled pages and in
-    ``min_count`` of them. Rows without label or URL take no part; without labels there are no rules.
+    several labels is blocked by any. A rule's tokens and the label must come together in ``min_support`` of the labelled
+    pages, at every size of the table. Rows without label or URL take no part; without labels there are no rules.
     """
     bad = F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))
     marks = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max(bad).alias("__bad"))
     found = pages.where("url is not null").select("page_id", url_tokens(F.col("url")).alias("__tokens")).join(marks, F.col("page_id") == F.col("doc_id"))
     baskets = written(found.select(F.when(F.col("__bad"), F.array_append("__tokens", F.lit(BLOCKED))).otherwise(F.col("__tokens")).alias("items")))
-    least = min(1.0, max(min_support, min_count / max(1, baskets.count())))
-    sets = FPGrowth(itemsCol="items", minSupport=least, minConfidence=min_confidence).fit(baskets).freqItemsets
+    sets = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets).freqItemsets
     sets = written(sets.select(F.array_sort("items").alias("items"), "freq"))
     rules = sets.where(F.array_contains("items", BLOCKED) & (F.size("items") > 1)).select(F.array_remove("items", BLOCKED).alias("items"), F.col("freq").alias("__both"))
     confidence = F.col("__both") / F.col("freq")
@@ -86,7 +87,7 @@ def mined_matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return hits.where("hit = n").groupBy("url").agg(F.max("confidence").alias("confidence"))
 
 
-def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES, min_support: float = 0.002, min_confidence: float = 0.5) -> DataFrame:
+def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Rows (page_id, host, path, rule, verdict, confidence), one for each row of ``pages``.
 
     The longest stated rule that fits decides; else a URL that matches a mined rule is blocked, and any other
