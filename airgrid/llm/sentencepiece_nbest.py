@@ -21,8 +21,10 @@ from pyspark.sql import types as T
 from airgrid.llm import lattice
 from airgrid.llm.common import mixed, slices
 
-#: Distinct units that a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 250_000
+#: Distinct units that a worker remembers, and their characters in all; beyond either the memory starts anew.
+REMEMBERED, REMEMBERED_CHARACTERS = 400_000, 4_000_000
+#: Bytes of text whose units are looked up at a time.
+TEXT_BYTES = 1 << 20
 #: Longer units are searched one by one.
 VECTOR_LENGTH = 24
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -71,6 +73,7 @@ class Segmenter:
     def clear(self) -> None:
         """Forget all units."""
         self.number = Numbering()
+        self.characters = 0
         self.flat, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.best, self.gap = np.zeros(0), np.zeros(0)
         self.alternatives: dict[int, list[tuple[float, list[int]]]] = {}
@@ -189,12 +192,14 @@ class Segmenter:
 
     def numbers(self, texts: list[str | None]) -> list[np.ndarray]:
         """Numbers of the units of each text; new units are learned."""
-        if len(self.number) > REMEMBERED:
+        if len(self.number) > REMEMBERED or self.characters > REMEMBERED_CHARACTERS:
             self.clear()
         known = len(self.number)
         out = [np.fromiter(map(self.number.__getitem__, units), np.int64, len(units)) for units in map(self.units, texts)]
         if len(self.number) > known:
-            self.learn([plain(x) for x in itertools.islice(self.number, known, None)])
+            new = [plain(x) for x in itertools.islice(self.number, known, None)]
+            self.characters += sum(map(len, new))
+            self.learn(new)
         return out
 
     def others(self, number: int, unit: str) -> list[tuple[float, list[int]]]:
@@ -260,27 +265,32 @@ class Decoder:
         return b"".join(self.texts[ids].tolist()).decode("utf-8", "replace").removeprefix(" ")
 
 
-def encode_nbest(docs: DataFrame, n: int = 3, id_column: str = "doc_id", text_column: str = "text", model: str = lattice.MODEL) -> DataFrame:
+def encode_nbest(docs: DataFrame, n: int = 3, id_column: str = "doc_id", text_column: str = "text", model: str = lattice.MODEL, decoded: str | None = None) -> DataFrame:
     """Rows (id, rank int from 1, score double, n_pieces int, ids array<int>), up to ``n`` for each row of ``docs``.
 
+    With ``decoded`` the same worker adds the text of the ids under that name, as ``decode`` does.
+
     Scores fall with the rank; of equal scores the segmentation that changes fewer and earlier units comes
     first, and within a unit the one found first by the search. A text with fewer segmentations has fewer
     rows. Null and empty texts give one row without pieces, score 0. Equal ids stay separate rows; an empty
     table gives no rows; other columns are not read. Memory follows the largest text, not the partition.
     """
     schema = docs.select(id_column).schema.add("rank", T.IntegerType()).add("score", "double").add("n_pieces", T.IntegerType()).add("ids", T.ArrayType(T.IntegerType()))
+    if decoded:
+        schema = schema.add(decoded, T.StringType())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segmenter = Segmenter(lattice.load(model), n)
-        for part in slices(batches, text_column):
+        vocabulary = lattice.load(model)
+        segmenter, decoder = Segmenter(vocabulary, n), Decoder(vocabulary) if decoded else None
+        for part in slices(batches, text_column, TEXT_BYTES):
             found = segmenter.encode(part.column(text_column).to_pylist())
             flat = [(k, rank, score, ids) for k, best in enumerate(found) for rank, (score, ids) in enumerate(best, 1)]
             sizes = np.array([len(x[3]) for x in flat])
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate([x[3] for x in flat])))
-            yield pa.RecordBatch.from_arrays(
-                [part.column(id_column).take(pa.array([x[0] for x in flat])), pa.array([x[1] for x in flat], pa.int32()), pa.array([x[2] for x in flat], pa.float64()), pa.array(sizes, pa.int32()), lists],
-                [id_column, "rank", "score", "n_pieces", "ids"],
-            )
+            columns = [part.column(id_column).take(pa.array([x[0] for x in flat])), pa.array([x[1] for x in flat], pa.int32()), pa.array([x[2] for x in flat], pa.float64()), pa.array(sizes, pa.int32()), lists]
+            if decoder:
+                columns.append(pa.array([decoder(x[3]) for x in flat], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, schema.fieldNames())
 
     return docs.select(id_column, text_column).mapInArrow(work, schema)
 
