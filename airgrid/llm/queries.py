@@ -24,7 +24,7 @@ def query(f):
 def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     """Three best segmentations of every document, decoded again."""
     docs = table(spark, folder, "documents")
-    return sentencepiece_nbest.decode(sentencepiece_nbest.encode_nbest(docs)).withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
+    return sentencepiece_nbest.encode_nbest(docs, decoded="decoded").withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
 
 
 @query
@@ -122,12 +122,12 @@ def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
 
 ORACLES["op8_exact_search"] = """
 WITH sound AS (
-  SELECT vec_id, min(list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT))) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 GROUP BY vec_id),
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
 pairs AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
-  FROM sound q JOIN sound c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
-ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pairs)
+  SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM sound q JOIN sound c ON q.r <> c.r WHERE q.vec_id % 20 = 0),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pairs)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
