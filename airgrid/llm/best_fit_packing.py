@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from airgrid.llm.common import slices, written
+from airgrid.llm.common import byte_buffer, slices, written
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 CAPACITY = 4096
@@ -26,6 +26,12 @@ END = 1
 PARTITION_ROWS, ROUNDS = 8192, 4
 #: Distinct words that a worker remembers; beyond it the memory starts anew.
 REMEMBERED = 600_000
+#: What parts words that are encoded together, and bytes of text whose words are looked up at a time.
+BAR, WORD_BYTES = " | ", 4 << 20
+#: The tokenizer takes A-Z as a-z; line ends and spaces both end words.
+_BYTES = np.arange(256, dtype=np.uint8)
+_BYTES[ord("A") : ord("Z") + 1] += 32
+_BYTES[10] = 32
 
 
 class WordIds(dict):
@@ -35,6 +41,7 @@ class WordIds(dict):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        self.bar = self.tokenizer.encode("|", add_special_tokens=False).ids[0]
         self.forget()
 
     def __missing__(self, word: str) -> int:
@@ -45,28 +52,55 @@ class WordIds(dict):
         self.clear()
         self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text."""
+    def encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words and how many each has; runs of words go through the tokenizer as one text with a bar between them."""
+        flat, sizes = [], []
+        for k in range(0, len(words), 2000):
+            some = words[k : k + 2000]
+            text = BAR.join(some)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            bars = np.flatnonzero(ids == self.bar)
+            # Words that hold a bar themselves are told by their number, and are encoded one by one.
+            if text.count("|") == len(some) - 1 == len(bars):
+                sizes.append(np.diff(np.concatenate([[-1], bars, [len(ids)]])) - 1)
+                flat.append(np.delete(ids, bars))
+                continue
+            each = [x.ids for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, each), np.int64, len(each)))
+            flat.append(np.fromiter(itertools.chain.from_iterable(each), np.uint32, int(sizes[-1].sum())))
+        return np.concatenate(flat), np.concatenate(sizes)
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text; words are found in the buffer of all texts, and only distinct ones become strings."""
         if len(self) > REMEMBERED:
             self.forget()
+        raw, ends = byte_buffer(texts)
+        data = _BYTES[raw]
+        inner = data != 32
+        head = inner.copy()
+        head[1:] &= ~inner[:-1]
+        # A text begins a word even where the one before ends without a space.
+        begins = ends[:-1][ends[:-1] < len(data)]
+        head[begins] = inner[begins]
+        starts = np.flatnonzero(head)
+        offsets = np.append(np.cumsum(inner) - inner, inner.sum())[np.append(starts, len(data))].astype(np.int32)
+        words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data[inner])).dictionary_encode()
         known = len(self)
-        rows = []
-        for text in texts:
-            words = (text or "").replace("\n", " ").split(" ")
-            rows.append(np.fromiter(map(self.__getitem__, words), np.int64, len(words)))
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        number = np.fromiter(map(self.__getitem__, distinct), np.int64, len(distinct))
         fresh = list(itertools.islice(self, known, None))
         if fresh:
-            ids = [x.ids for k in range(0, len(fresh), 500) for x in self.tokenizer.encode_batch_fast(fresh[k : k + 500], add_special_tokens=False)]
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            ids, size = self.encoded(fresh)
             self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
             self.size = np.concatenate([self.size, size])
-            self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(size.sum()))])
-        out = []
-        for words in rows:
-            size = self.size[words]
-            shift = np.repeat(self.start[words] - (np.cumsum(size) - size), size)
-            out.append(self.flat[shift + np.arange(len(shift))])
-        return out
+            self.flat = np.concatenate([self.flat, ids])
+        number = number[words.indices.to_numpy(zero_copy_only=False)]
+        size = self.size[number]
+        done = np.concatenate([[0], np.cumsum(size)])
+        shift = np.repeat(self.start[number] - done[:-1], size)
+        ids = self.flat[shift + np.arange(len(shift))]
+        border = done[np.searchsorted(starts, ends)]
+        return [ids[a:b] for a, b in zip(border[:-1].tolist(), border[1:].tolist(), strict=True)]
 
 
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end: int | None = END, id_column: str = "doc_id", text_column: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
@@ -80,9 +114,9 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end: int | None = EN
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordIds(tokenizer)
         tail = np.array([] if end is None else [end], "<u4")
-        for part in slices(batches, text_column):
+        for part in slices(batches, text_column, WORD_BYTES):
             rows = []
-            for k, ids in enumerate(words.encode(part.column(text_column).to_pylist())):
+            for k, ids in enumerate(words.encode(part.column(text_column))):
                 ids = np.concatenate([ids, tail]).astype("<u4")
                 rows += [(k, i, at, min(capacity, len(ids) - at), zlib.crc32(ids[at : at + capacity].tobytes())) for i, at in enumerate(range(0, len(ids), capacity))]
             columns = list(zip(*rows, strict=True)) or [[]] * 5
