@@ -11,6 +11,9 @@ from airgrid.operators.ordered import assign_groups
 from airgrid.operators.reshape import stack
 from airgrid.session import BROADCAST_ROWS, reliable_checkpoint, require_columns
 
+# Pairs of one task where the readings come to them, and pairs and readings of one slice where both are cut.
+PAIRS_PER_TASK, PAIRS_PER_SLICE, READINGS_PER_SLICE = 10_000, 20_000, 500_000
+
 # Interim target concentrations per pollutant.
 TARGETS = {
     "pm10": {"it1": 150.0, "it2": 100.0, "it3": 75.0, "it4": 50.0},
@@ -35,6 +38,39 @@ def zero_distances(distances: DataFrame) -> DataFrame:
     return distances.agg(F.count_if(F.col("distance_km") == 0).alias("n_zero"))
 
 
+def fan_out(rows: DataFrame, pairs: DataFrame, by: list[str], max_broadcast_rows: int = BROADCAST_ROWS, salts: int = 32) -> tuple[DataFrame, list[str]]:
+    """Readings met with the pairs of their station, and the keys whose sums need no shuffle of that fan-out.
+
+    ``by`` names what a station is known by. The smaller side comes whole to the parts of the other while it is within
+    ``max_broadcast_rows``: pairs to readings spread by hour, else readings to pairs spread by unit, where days and
+    years need no shuffle either. Beyond that both are cut, days into ``salts`` slices at least and units into slices of
+    ``PAIRS_PER_SLICE``; each slice of the one is copied to the slices of the other, and every (unit, hour) lies in one
+    of these tiles. Only the copies are sent, never the fan-out.
+    """
+    unit = [c for c in ("city_id", "geo_id") if c in pairs.columns]
+    pairs = reliable_checkpoint(pairs)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if pairs.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows:
+        spread = rows.repartition(n, "datetime").sortWithinPartitions("datetime")
+        return spread.join(F.broadcast(pairs), by), [*unit, "datetime"]
+    rows, n_pairs = reliable_checkpoint(rows), pairs.count()
+    n_rows = rows.count()
+    if n_rows <= max_broadcast_rows:
+        spread = pairs.repartition(max(n, -(-n_pairs // PAIRS_PER_TASK)), "geo_id")
+        return spread.join(F.broadcast(rows), by), [*unit, "datetime"]
+    across, down = max(salts, -(-n_rows // READINGS_PER_SLICE)), -(-n_pairs // PAIRS_PER_SLICE)
+    tile = lambda unit_slice, day_slice: (unit_slice * F.lit(across) + day_slice).cast("long").alias("_tile")
+    slices = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    own = lambda key, count: F.pmod(F.xxhash64(key), F.lit(count))
+    pair, reading = F.struct(*[c for c in pairs.columns if c not in by]), F.struct(*[c for c in rows.columns if c not in by])
+    a = pairs.withColumn("_day", slices(across)).select(*by, tile(own("geo_id", down), F.col("_day")), pair.alias("_pair"))
+    b = rows.withColumn("_unit", slices(down)).select(*by, tile(F.col("_unit"), own(F.to_date("datetime"), across)), reading.alias("_reading"))
+    both = a.unionByName(b, allowMissingColumns=True).dropna(subset=by).repartition(max(n, across * down), "_tile")
+    met = both.groupBy("_tile", *by).agg(F.collect_list("_pair").alias("_pairs"), F.collect_list("_reading").alias("_readings"))
+    fan = met.select("_tile", *by, "_readings", F.inline("_pairs")).select("*", F.inline("_readings")).drop("_readings")
+    return fan, ["_tile", *unit, "datetime"]
+
+
 def hourly_idw(
     panel: DataFrame,
     distances: DataFrame,
@@ -50,22 +86,12 @@ def hourly_idw(
     ``missing="drop"`` leaves a missing reading out of both sums; ``"zero"`` keeps its weight in the
     denominator, as the older rule did.
 
-    The panel, which is far smaller than its fan-out over the pairs, is spread by hour first. With
-    the pairs broadcast the (unit, hour) sums then need no further shuffle. Pairs beyond the checked
-    bound are joined by (station, hour slice) instead: every station is cut into ``salts`` slices.
+    The readings meet the pairs as in ``fan_out``, so that the (unit, hour) sums need no shuffle.
     """
     keep = [p for p in pollutants if p in panel.columns]
     rows = panel.where(F.coalesce(*[F.col(p) for p in keep]).isNotNull()) if missing == "drop" else panel
     rows = rows.select(normalize_station("station").alias("station_id"), "datetime", *keep)
-    pairs = reliable_checkpoint(in_buffer(distances, buffer_km, power))
-    small = pairs.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows
-    if small:
-        n = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        fan = rows.repartition(n, "datetime").sortWithinPartitions("datetime").join(F.broadcast(pairs), "station_id")
-    else:
-        sliced = rows.withColumn("_slice", F.pmod(F.xxhash64("datetime"), F.lit(salts)).cast("int"))
-        copies = pairs.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        fan = sliced.join(copies, ["station_id", "_slice"])
+    fan, keys = fan_out(rows, in_buffer(distances, buffer_km, power), ["station_id"], max_broadcast_rows, salts)
     w = F.col("inv_d")
     sums = []
     for p in keep:
@@ -73,7 +99,7 @@ def hourly_idw(
         den = F.when(known, w) if missing == "drop" else w
         num = F.col(p) * w if missing == "drop" else F.coalesce(F.col(p), F.lit(0.0)) * w
         sums.append((F.sum(num) / F.sum(den)).alias(p))
-    return fan.groupBy("geo_id", "datetime").agg(*sums)
+    return fan.groupBy(*keys).agg(*sums).drop("_tile")
 
 
 def annual_exposure(hourly: DataFrame, pollutants: list[str], targets: dict | None = None) -> DataFrame:

@@ -50,6 +50,55 @@ def test_absent_pollutant_for_a_unit_is_null(spark):
     assert got["b"].avg_pm10 is None and got["b"].avg_pm25 == 7.0
 
 
+@pytest.fixture(scope="module")
+def scattered(spark):
+    """40 units within reach of some of 6 stations, 90 hours over five days with gaps; an unnamed station and an unknown hour."""
+    draw = random.Random(3)
+    start = dt.datetime(2023, 12, 29)
+    value = lambda gap: None if draw.random() < gap else draw.uniform(1, 200)
+    panel = [(f"s{k}", start + dt.timedelta(hours=h), value(0.2), value(0.5)) for k in range(6) for h in range(90) if draw.random() < 0.9]
+    panel += [("s1", None, 5.0, 6.0), (None, start, 7.0, 8.0)]
+    pairs = [(f"g{u}", f"S{k}", draw.uniform(0.5, 7)) for u in range(40) for k in range(6)] + [("g1", None, 1.0), ("g2", "s9", 1.0), (None, "s1", 1.0)]
+    return (spark.createDataFrame(panel, "station string, datetime timestamp_ntz, pm10 double, pm25 double"),
+            spark.createDataFrame(pairs, "geo_id string, station_id string, distance_km double"))
+
+
+def hours_by_hand(panel, pairs, buffer, missing):
+    sums, near = {}, pairs.collect()
+    for r in panel.collect():
+        for g, s, d in near:
+            if s and r.station and s.upper() == r.station.upper() and d <= buffer and (missing == "zero" or r.pm10 is not None or r.pm25 is not None):
+                at = sums.setdefault((g, r.datetime), [0, 0, 0, 0])
+                for k, x in enumerate((r.pm10, r.pm25)):
+                    if x is not None or missing == "zero":
+                        at[2 * k] += (x or 0) / d
+                        at[2 * k + 1] += 1 / d
+    return {key: (v[0] / v[1] if v[1] else None, v[2] / v[3] if v[3] else None) for key, v in sums.items()}
+
+
+@pytest.mark.parametrize("missing", ["drop", "zero"])
+@pytest.mark.parametrize("way", ["pairs", "readings", "tiles"])
+def test_sums_of_the_fan_out_are_never_shuffled(spark, scattered, way, missing, monkeypatch):
+    panel, pairs = scattered
+    # Readings are fewer than the pairs in one case, so that they are what is sent to the others.
+    monkeypatch.setattr(ex, "PAIRS_PER_SLICE", 50, raising=False)
+    monkeypatch.setattr(ex, "PAIRS_PER_TASK", 50, raising=False)
+    if way == "readings":
+        panel = panel.where("coalesce(day(datetime), 30) = 30 AND coalesce(hour(datetime), 0) < 12")
+    bound = {"pairs": 1_000, "readings": 80, "tiles": 0}[way]
+    hourly = ex.hourly_idw(panel, pairs, ["pm10", "pm25"], 5, missing=missing, max_broadcast_rows=bound, salts=3)
+    plan = hourly._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1, plan
+    got = {(r.geo_id, r.datetime): (r.pm10, r.pm25) for r in hourly.collect()}
+    want = hours_by_hand(panel, pairs, 5, missing)
+    assert hourly.columns == ["geo_id", "datetime", "pm10", "pm25"] and set(got) == set(want) and len(want) > 400
+    for key, pair in want.items():
+        assert got[key] == pytest.approx(pair)
+    if way == "readings":
+        days = ex.day_metrics(hourly, "pm25", {"it1": 75.0})._jdf.queryExecution().executedPlan().toString()
+        assert days.count("Exchange hashpartitioning") == 1, days
+
+
 def groups(spark, rows, n, shuffle=False, partitions=None):
     rows = [(i, *r) for i, r in enumerate(rows)]
     if shuffle:
