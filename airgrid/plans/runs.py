@@ -18,9 +18,9 @@ from airgrid.functions.numbers import wmean
 from airgrid.operators.ordered import running_sum, weighted_quantile
 from airgrid.operators.reshape import columns_matching
 from airgrid.plans.compare import quintile_rows
-from airgrid.plans.exposure import TARGETS
+from airgrid.plans.exposure import TARGETS, fan_out
 from airgrid.plans.regress import _labels, fit_gaps, group_share, scale_by_base
-from airgrid.session import BROADCAST_ROWS, reliable_checkpoint
+from airgrid.session import reliable_checkpoint
 
 GROUP_TYPES = {5: "quintile", 10: "decile"}
 
@@ -64,22 +64,14 @@ def _pairs(distances: DataFrame, rules: list[Rule]) -> DataFrame:
 def daily_by_rule(panel: DataFrame, distances: DataFrame, pollutants: list[str], rules: list[Rule], targets: dict | None = None, salts: int = 32) -> DataFrame:
     """Rows (rule, city_id, geo_id, day) with sum, known hours and hours at each target of every pollutant.
 
-    A row says that the rule has a value in some hour of the day. Pairs are broadcast within the checked bound; beyond
-    it every station is cut into ``salts`` hour slices.
+    A row says that the rule has a value in some hour of the day. Readings meet the pairs as in ``fan_out``.
     """
     targets = TARGETS if targets is None else targets
     keep = [p for p in pollutants if p in panel.columns]
     rows = panel.select("city_id", normalize_station("station").alias("station_id"), "datetime", *keep)
     if all(r.missing == "drop" for r in rules):
         rows = rows.where(F.coalesce(*[F.col(p) for p in keep]).isNotNull())
-    pairs = reliable_checkpoint(_pairs(distances, rules))
-    if pairs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        n = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        fan = rows.repartition(n, "datetime").join(F.broadcast(pairs), ["city_id", "station_id"])
-    else:
-        sliced = rows.withColumn("_slice", F.pmod(F.xxhash64("datetime"), F.lit(salts)).cast("int"))
-        copies = pairs.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        fan = sliced.join(copies, ["city_id", "station_id", "_slice"])
+    fan, keys = fan_out(rows, _pairs(distances, rules), ["city_id", "station_id"], salts=salts)
     values, met = [], []
     for k, r in enumerate(rules):
         w = F.col(f"_w{k}")
@@ -92,7 +84,7 @@ def daily_by_rule(panel: DataFrame, distances: DataFrame, pollutants: list[str],
         # An hour of a dropping rule counts if any pollutant is known within its buffer.
         any_known = w.isNotNull() if r.missing == "zero" else w.isNotNull() & F.coalesce(*[F.col(p) for p in keep]).isNotNull()
         met.append(F.max(any_known).alias(f"_{k}_met"))
-    hourly = fan.groupBy("city_id", "geo_id", "datetime").agg(*values, *met)
+    hourly = fan.groupBy(*keys).agg(*values, *met)
     sums = []
     for k in range(len(rules)):
         sums.append(F.max(f"_{k}_met").alias(f"_{k}_met"))

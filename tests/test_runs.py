@@ -31,6 +31,24 @@ def cities(spark):
     return {name: [spark.createDataFrame(rows, shape) for rows, shape in zip(city(seed), shapes, strict=True)] for name, seed in (("a", 1), ("b", 2))}
 
 
+def test_rules_in_tiles_equal_rules_by_broadcast(cities, monkeypatch):
+    panel, pairs = (runs.from_cities({c: t[k] for c, t in cities.items()}) for k in range(2))
+    rules = [runs.Rule("three", 3), runs.Rule("five_zero", 5, missing="zero")]
+    rows = lambda df: {(r.rule, r.city_id, r.geo_id, r.day): (r.n_pm10, r.n_pm25, r.sum_pm10 or 0, r.sum_pm25 or 0) for r in df.collect()}
+    want = rows(runs.daily_by_rule(panel, pairs, POLS, rules))
+    monkeypatch.setattr(runs, "BROADCAST_ROWS", 0, raising=False)
+    monkeypatch.setattr(runs, "fan_out", lambda *a, **k: ex.fan_out(*a, **{**k, "max_broadcast_rows": 0}), raising=False)
+    monkeypatch.setattr(ex, "PAIRS_PER_SLICE", 20, raising=False)
+    days = runs.daily_by_rule(panel, pairs, POLS, rules, salts=2)
+    plan = days._jdf.queryExecution().executedPlan().toString()
+    got = rows(days)
+    assert set(got) == set(want) and len(want) > 60
+    for key, row in want.items():
+        assert got[key] == pytest.approx(row)
+    # The tiles, and days; not the fan-out.
+    assert plan.count("Exchange hashpartitioning") == 2, plan
+
+
 def test_runs_equal_one_city_at_a_time(spark, cities):
     panel, pairs, people, units = (runs.from_cities({c: t[k] for c, t in cities.items()}) for k in range(4))
     people = runs.city_groups(people, "educ_years", "person_weight", 5, "edu_quintile", ["geo_id", "row_key"])
