@@ -117,14 +117,18 @@ def longest_key_match(files: DataFrame, keys: DataFrame, file_col: str, key_col:
     """Longest key contained in each file key; ties go to the smaller key.
 
     Every file key is cut into its substrings of the key lengths in use, which turns the containment
-    test into an equi join.
+    test into an equi join. File keys are spread first and their substrings held nowhere: those that are
+    no key leave at once, and what occurs twice in a file key does not change its longest.
     """
     k = keys.select(F.col(key_col).alias("_k")).where(F.col("_k") != "").distinct()
+    k = broadcast_if_small(k)
     lengths = k.select(F.length("_k").alias("l")).distinct().agg(F.collect_set("l").alias("v"))
-    f = files.select(file_col).distinct().withColumn("_l", F.explode(lengths.scalar())).where(F.length(file_col) >= F.col("_l"))
+    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    f = files.select(file_col).repartition(n, file_col).distinct()
+    f = f.withColumn("_l", F.explode(lengths.scalar())).where(F.length(file_col) >= F.col("_l"))
     starts = F.sequence(F.lit(1), F.length(file_col) - F.col("_l") + 1)
     f = f.withColumn("_at", F.explode(starts))
-    cut = f.select(file_col, F.substring(F.col(file_col), F.col("_at"), F.col("_l")).alias("_k")).distinct()
+    cut = f.select(file_col, F.substring(F.col(file_col), F.col("_at"), F.col("_l")).alias("_k"))
     hits = cut.join(k, "_k").groupBy(file_col).agg(
         F.min_by("_k", F.struct(-F.length("_k"), F.col("_k"))).alias(key_col)
     )

@@ -172,3 +172,26 @@ def test_imputation_by_sums_equals_a_plain_fit(spark, monkeypatch):
                 ys.append(value[s, t])
                 keys.append((s, t))
         check(design, ys, keys, pooled)
+
+
+def test_longest_key_holds_no_substrings(spark):
+    import random
+
+    from airgrid.operators import identifiers as own
+
+    draw = random.Random(5)
+    word = lambda a, b: "".join(draw.choice("ABC") for _ in range(draw.randrange(a, b)))
+    names, keys = [word(1, 30) for _ in range(60)] + ["ABABABAB", None, ""], [word(2, 6) for _ in range(12)] + ["", None]
+    out = own.longest_key_match(spark.createDataFrame([(x,) for x in names], "f string"), spark.createDataFrame([(x,) for x in keys], "k string"), "f", "k")
+    hit = lambda f: min((k for k in keys if k and f and k in f), key=lambda k: (-len(k), k), default=None)
+    assert sorted(map(str, out.collect())) == sorted(map(str, [type(out.first())(f=f, k=hit(f)) for f in names]))
+    k, f = spark.createDataFrame([("AB",)], "k string"), spark.createDataFrame([("AB" * 40,)], "f string")
+    seen = []
+    whole = own.broadcast_if_small
+    own.broadcast_if_small = lambda df, *a: seen.append(df._jdf.queryExecution().executedPlan().toString()) or whole(df, *a)
+    try:
+        own.longest_key_match(f, k, "f", "k")
+    finally:
+        own.broadcast_if_small = whole
+    # The substrings of a file key are joined as they come, not grouped first.
+    assert not any("keys=[f#" in line and "_k#" in line.split("functions=")[0] for plan in seen for line in plan.splitlines())
