@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from airgrid.functions import geo
-from airgrid.session import broadcast_if_small, reliable_checkpoint
+from airgrid.session import BROADCAST_ROWS, broadcast_if_small, reliable_checkpoint
 
 HALF_TURN_KM = math.pi * geo.EARTH_KM
 
@@ -186,6 +186,19 @@ def with_box(polygons: DataFrame, rings: str = "rings") -> DataFrame:
     )
 
 
+def _meet(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Equi join by cell in which a crowded cell is no single task's: the smaller side comes to the other, spread evenly.
+
+    Both are written and counted. Where the smaller is beyond the bound of broadcasts, both are shuffled and adaptive
+    execution splits the crowded cells.
+    """
+    (few, small), (_, large) = sorted(((w.count(), w) for w in (reliable_checkpoint(left), reliable_checkpoint(right))), key=lambda x: x[0])
+    if few > BROADCAST_ROWS:
+        return small.join(large, keys)
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return large.repartition(n).join(F.broadcast(small), keys)
+
+
 #: Where in its cell, as shares of its sides, the point lies whose side of each polygon is known; odd shares keep it off vertices.
 ANCHOR_X, ANCHOR_Y = 0.3819660112501, 0.6180339887498
 
@@ -247,9 +260,9 @@ def points_in_polygons(
     # From the anchor up or down its meridian to the point's latitude, then along that to the point.
     up = ((x1 > ax) != (x2 > ax)) & between(y1 + (y2 - y1) * (ax - x1) / F.nullif(x2 - x1, F.lit(0.0)), ay, lat)
     along = ((y1 > lat) != (y2 > lat)) & between((x2 - x1) * (lat - y1) / F.nullif(y2 - y1, F.lit(0.0)) + x1, ax, lon)
-    met = placed.join(edge_cells(polygons, polygon_id, cell_deg), ["_cx", "_cy"])
+    met = _meet(placed, edge_cells(polygons, polygon_id, cell_deg), ["_cx", "_cy"])
     turns = met.select("_point", polygon_id, (up.cast("int") + along.cast("int")).alias("_turns"))
-    known = placed.join(anchors_inside(polygons, polygon_id, cell_deg), ["_cx", "_cy"]).select("_point", polygon_id, F.lit(1).alias("_turns"))
+    known = _meet(placed, anchors_inside(polygons, polygon_id, cell_deg), ["_cx", "_cy"]).select("_point", polygon_id, F.lit(1).alias("_turns"))
     sums = turns.unionByName(known).groupBy("_point", polygon_id).agg(F.sum("_turns").alias("_turns"))
     return sums.where(F.col("_turns") % 2 == 1).select(F.col("_point").alias(point_id), polygon_id)
 
@@ -283,18 +296,23 @@ def edge_distances(
         point_id, "lon", "lat",
         F.floor(F.col("lon") / size).cast("long").alias("_cx"),
         F.floor(F.col("lat") / size).cast("long").alias("_cy"),
+        (F.lit(per_deg) * F.cos(F.radians(F.col("lat")))).alias("_k"),
     )
-    k = F.lit(per_deg) * F.cos(F.radians(F.col("lat")))
+    k = F.col("_k")
     zero = F.lit(0.0)
     d = geo.segment_distance(
         zero, zero,
         (F.col("x1") - F.col("lon")) * k, (F.col("y1") - F.col("lat")) * per_deg,
         (F.col("x2") - F.col("lon")) * k, (F.col("y2") - F.col("lat")) * per_deg,
     )
-    near = placed.join(cells, ["_cx", "_cy"]).select(point_id, polygon_id, d.alias("distance_km"))
-    near = near.where(F.col("distance_km") <= radius_km)
+    # An edge is no nearer than its box; the distance itself is compared once, after the least is taken.
+    reach = radius_km * (1 + 1e-9) + 1e-9
+    gap = lambda a, b, at: F.greatest(F.least(a, b) - F.col(at), F.col(at) - F.greatest(a, b))
+    close = (gap("x1", "x2", "lon") * k <= reach) & (gap("y1", "y2", "lat") * per_deg <= reach)
+    near = _meet(placed, cells, ["_cx", "_cy"]).where(close).select(point_id, polygon_id, d.alias("distance_km"))
     inner = points_in_polygons(points, polygons, point_id, polygon_id).withColumn("distance_km", F.lit(0.0))
-    return near.unionByName(inner).groupBy(point_id, polygon_id).agg(F.min("distance_km").alias("distance_km"))
+    least = near.unionByName(inner).groupBy(point_id, polygon_id).agg(F.min("distance_km").alias("distance_km"))
+    return least.where(F.col("distance_km") <= radius_km)
 
 
 def points_near_polygons(
@@ -326,7 +344,7 @@ def crossing_polygons(left: DataFrame, right: DataFrame, left_id: str, right_id:
 
     a, b = place(left, left_id, "a"), place(right, right_id, "b")
     crossed = (side("x1b", "y1b", "a") * side("x2b", "y2b", "a") < 0) & (side("x1a", "y1a", "b") * side("x2a", "y2a", "b") < 0)
-    return a.join(b, ["_cx", "_cy"]).where(crossed).select(left_id, right_id).distinct()
+    return _meet(a, b, ["_cx", "_cy"]).where(crossed).select(left_id, right_id).distinct()
 
 
 def polygon_distances(

@@ -167,3 +167,28 @@ def test_nearest_within_groups(spark):
         want.update({(g, k, n): j for n, (_, j) in enumerate(near, 1)})
     assert got == want
 
+
+
+def test_edges_of_a_crowded_cell_are_spread(spark):
+    draw = random.Random(9)
+    at = lambda: (draw.uniform(-0.02, 0.02), 4 + draw.uniform(-0.02, 0.02))
+    points_at, centres = [at() for _ in range(8)], [at() for _ in range(60)]
+    ring = lambda x, y: [(x + a, y + b) for a, b in ((-0.002, -0.001), (0.002, -0.001), (0.0, 0.002))]
+    p = spark.createDataFrame([(f"p{i}", *xy) for i, xy in enumerate(points_at)], "pid string, lon double, lat double")
+    g = spark.createDataFrame([(f"g{i}", [ring(*c)]) for i, c in enumerate(centres)], "gid string, rings array<array<struct<lon:double,lat:double>>>")
+    out = sp.edge_distances(p, g, "pid", "gid", 1.0)
+    assert "RoundRobinPartitioning" in out._jdf.queryExecution().executedPlan().toString()
+    per_deg, want = math.pi * 6378.137 / 180, {}
+    for i, (lon, lat) in enumerate(points_at):
+        k = per_deg * math.cos(math.radians(lat))
+        for j, c in enumerate(centres):
+            corners = [((x - lon) * k, (y - lat) * per_deg) for x, y in ring(*c)]
+            sides = list(zip(corners, corners[1:] + corners[:1], strict=True))
+            best = 0.0 if sum((b[1] > 0) != (a[1] > 0) and 0 < a[0] - a[1] * (b[0] - a[0]) / (b[1] - a[1]) for a, b in sides) % 2 else min(
+                math.hypot(a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1])) for a, b in sides
+                for t in [max(0.0, min(1.0, -(a[0] * (b[0] - a[0]) + a[1] * (b[1] - a[1])) / ((b[0] - a[0]) ** 2 + (b[1] - a[1]) ** 2)))])
+            if best <= 1.0:
+                want[f"p{i}", f"g{j}"] = best
+    got = {(r.pid, r.gid): r.distance_km for r in out.collect()}
+    assert set(got) == set(want) and len(want) > 20
+    assert all(got[key] == pytest.approx(d, abs=1e-9) for key, d in want.items())
