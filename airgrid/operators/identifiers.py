@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,12 +12,20 @@ from airgrid.operators.ordered import running_sum
 from airgrid.session import broadcast_if_small
 
 
-def reconcile_ids(geo: DataFrame, census: DataFrame, key: str = "geo_id") -> DataFrame:
+#: What may have become of an id: zeros lost in front, zeros left out at the end, zeros that the census lost in front.
+REPAIR_RULES = ("left", "right", "strip")
+
+
+def reconcile_ids(geo: DataFrame, census: DataFrame, key: str = "geo_id", rules: Sequence[str] = REPAIR_RULES) -> DataFrame:
     """Map of distinct ids to census ids: (original, repaired, rule).
 
     An unmatched id is zero-padded left and right to every wider census width, or loses its leading
-    zeros; it is changed only when exactly one census id results.
+    zeros; it is changed only when exactly one census id results. Where it is known how a table lost its
+    zeros, ``rules`` names that alone: candidates of the others would be ids of other units.
     """
+    unknown = set(rules) - set(REPAIR_RULES)
+    if unknown:
+        raise ValueError(f"unknown repair rules: {', '.join(sorted(unknown))}")
     ids = geo.select(F.col(key).alias("original")).distinct().where(F.col("original").isNotNull())
     known = census.select(F.col(key).alias("candidate")).distinct()
     open_ids = ids.join(known, ids["original"] == known["candidate"], "left_anti")
@@ -34,7 +44,8 @@ def reconcile_ids(geo: DataFrame, census: DataFrame, key: str = "geo_id") -> Dat
     stripped = open_ids.select("original", F.lit("strip").alias("rule"), bare.alias("candidate")).where(
         (F.col("candidate") != "") & (F.col("candidate") != o)
     )
-    hits = padded.unionByName(stripped).join(known, "candidate", "left_semi")
+    tried = padded.unionByName(stripped).where(F.col("rule").isin(list(rules)))
+    hits = tried.join(known, "candidate", "left_semi")
     unique = hits.groupBy("original").agg(
         F.count_distinct("candidate").alias("_n"), F.min("candidate").alias("repaired"), F.min("rule").alias("rule")
     )

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from airgrid.functions.keys import normalize_station, safe_text
-from airgrid.operators.identifiers import apply_repairs, reconcile_ids
+from airgrid.operators.identifiers import REPAIR_RULES, apply_repairs, reconcile_ids
 from airgrid.operators.ordered import assign_groups
 from airgrid.operators.reshape import stack
 from airgrid.session import BROADCAST_ROWS, reliable_checkpoint, require_columns
@@ -196,17 +198,19 @@ def repaired_city_run(
     buffer_km: float = 3,
     n: int = 5,
     person_key: str = "row_key",
+    rules: Sequence[str] = REPAIR_RULES,
 ) -> dict[str, DataFrame]:
     """A city run whose exposure carries the census's spelling of the unit ids, and what became of them.
 
     ``exposure``, ``persons`` and ``units`` as in ``city_run``; ``repairs`` has one row for each exposure unit
     (original, repaired, rule, matched), checked against people and units together; ``report`` is one row of counts:
     exposure units, those matched as they are, by which repair, unmatched, and people before and after the adult filter.
+    ``rules`` as in ``reconcile_ids``.
     """
     exposure = reliable_checkpoint(idw_exposure(panel, distances, pollutants, buffer_km))
     key = lambda df: df.select(safe_text(df, "geo_id").alias("geo_id"))
     census = reliable_checkpoint(key(people).unionByName(key(units)).where(F.col("geo_id").isNotNull()).distinct())
-    repairs = reconcile_ids(exposure, census)
+    repairs = reconcile_ids(exposure, census, rules=rules)
     known = census.select(F.col("geo_id").alias("repaired"), F.lit(True).alias("_known"))
     repairs = reliable_checkpoint(repairs.join(known, "repaired", "left").select("original", "repaired", "rule", F.coalesce("_known", F.lit(False)).alias("matched")))
     exposure = reliable_checkpoint(apply_repairs(exposure, repairs))

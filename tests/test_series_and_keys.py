@@ -54,6 +54,17 @@ def test_reconcile_rules(spark):
     assert got == {"09002": ("9002", "strip"), "17": ("00017", "left"), "123": ("123", None), "777": ("777", None), "555": ("555", None), "0777": ("777", "strip")}
 
 
+def test_named_rules_alone_are_tried(spark):
+    census = spark.createDataFrame([(x,) for x in ("12300", "00123", "90000", "4", "777")], "geo_id string")
+    geo = spark.createDataFrame([(x,) for x in ("123", "9", "004", "777")], "geo_id string")
+    got = lambda *rules: {r.original: (r.repaired, r.rule) for r in ids.reconcile_ids(geo, census, rules=rules).collect()}
+    alone = {x: (x, None) for x in ("123", "9", "004", "777")}
+    assert got("left") == {**alone, "123": ("00123", "left")} and got("strip") == {**alone, "004": ("4", "strip")} and got() == alone
+    assert got("left", "right", "strip") == {**alone, "9": ("90000", "right"), "004": ("4", "strip")}
+    with pytest.raises(ValueError):
+        ids.reconcile_ids(geo, census, rules=["middle"])
+
+
 def test_acronyms(spark):
     df = spark.createDataFrame([(x,) for x in ("Las Ferias", "Las Flores", "Usme", "El Alto Norte Sur", "Á")], "n string")
     got = {r.n: r.a for r in ids.acronyms(df, "n", "a").collect()}
